@@ -29,7 +29,7 @@ HTML_ESCAPES = (("&", "\\u0026"), ("<", "\\u003c"), (">", "\\u003e"))
 # chr() takes its argument modulo 256, so chr(8232) and chr(8233) are the parentheses.
 SEPARATOR_ESCAPES = {
     "literal": (("(", "\\u2028"), (")", "\\u2029")),
-    "unicode": ((" ", "\\u2028"), (" ", "\\u2029")),
+    "unicode": (("\u2028", "\\u2028"), ("\u2029", "\\u2029")),
 }
 
 
