@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-
-from dateutil.relativedelta import relativedelta
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,7 +36,11 @@ def incremental_filter(
 
 
 def window_start(as_of: datetime, years: int = 1) -> datetime:
-    return as_of - relativedelta(years=years)
+    """The same day `years` earlier; 29 February becomes 28 February."""
+    try:
+        return as_of.replace(year=as_of.year - years)
+    except ValueError:
+        return as_of.replace(year=as_of.year - years, day=28)
 
 
 def window_by_timestamp(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.errors import PySparkException
@@ -26,21 +26,19 @@ def _failure(e: Exception) -> tuple[str, str]:
 
 def count_many(
     spark: SparkSession,
-    targets: Iterable[tuple[str, str, str | None]],
+    targets: Iterable[tuple[str, str, Sequence[str]]],
     isolate: bool = False,
 ) -> DataFrame:
-    """Row counts of `(label, source, column)` targets, one row each, in one job.
+    """Row counts of `(label, source, columns)` targets, one row each, in one job.
 
-    A target that cannot be resolved (absent source, absent column) becomes a row with a null
+    `columns` are columns the source must have. A target that cannot be resolved (absent source, absent column) becomes a row with a null
     count and the first line of its error. With `isolate` every target is counted on its own,
     so that a failure while reading is also confined to its row.
     """
     counted, failed = [], []
-    for label, source, column in targets:
+    for label, source, columns in targets:
         try:
-            df = scan_view(spark, source)
-            n = F.count("*") if column is None else F.count(F.when(df[column].isNotNull() | F.lit(True), 1))
-            one = df.agg(n.alias("n")).select(
+            one = scan_view(spark, source).select(*columns).agg(F.count("*").alias("n")).select(
                 F.lit(label).alias("label"), F.lit(source).alias("source"), "n",
                 F.lit("OK").alias("status"), F.lit(None).cast("string").alias("message"),
             )

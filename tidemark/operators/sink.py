@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql.types import StructType
 
 LOAD = "load_id"
 UPDATED = "last_updated_time"
@@ -63,10 +64,17 @@ def write_load(df: DataFrame, path: str, load_id: int, updated_ms: int | None =
     df.write.mode("overwrite").parquet(f"{path}/{LOAD}={load_id}")
 
 
-def read_loads(spark: SparkSession, path: str) -> DataFrame | None:
-    """All loads of a table, or None when nothing was ever stored."""
+def read_loads(
+    spark: SparkSession, path: str, schema: StructType | None = None
+) -> DataFrame | None:
+    """All loads of a table, or None when nothing was ever stored.
+
+    Sources may gain columns, so by default the schemas of all loads are merged; a given
+    `schema` spares reading every footer for that.
+    """
+    reader = spark.read.option("mergeSchema", "true") if schema is None else spark.read.schema(schema)
     try:
-        df = spark.read.option("mergeSchema", "true").parquet(path)
+        df = reader.parquet(path)
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
