@@ -102,8 +102,12 @@ def json_escape(text: Column, separators: str = "literal") -> Column:
 
 
 def row_key(df: DataFrame, columns: Sequence[str] | None = None, separators: str = "literal") -> Column:
-    """SHA-256 of the whole row, lowercase hex: any change of any column gives another key."""
-    return F.sha2(json_escape(canonical_json(df, columns), separators), 256)
+    """SHA-256 of the whole row, lowercase hex: any change of any column gives another key.
+
+    The text is never null; `coalesce` tells the optimizer so, which otherwise adds a null test
+    before joins and thereby computes the key twice.
+    """
+    return F.coalesce(F.sha2(json_escape(canonical_json(df, columns), separators), 256), F.lit(""))
 
 
 def business_key(*columns: str | Column) -> Column:

@@ -27,20 +27,26 @@ def run_load(
     initial_start: str = INITIAL_START,
     field: str = INCREMENTAL_FIELD,
     updated_ms: int | None = None,
+    rows_per_file: int | None = None,
 ) -> int:
     """Read from the mark on, key, store, then move the mark. Returns the rows stored.
 
     Sink first, mark second: a failure between the two repeats the load, which replaces its own
     rows. Count and mark are read back from what was stored, so the source is read and keyed
-    once, and a retried task cannot count twice.
+    once, and a retried task cannot count twice. A delta is a thin slice of every source
+    partition; it is rebalanced so that each load adds few files. The catch-up is not, it would
+    shuffle the whole source.
     """
     state = f"{state}/{query}"
     start = read_mark(spark, state, query, initial_start, before_load=load_id)
-    write_load(keyed_incremental(source, start, field), sink, load_id, updated_ms)
+    rows = keyed_incremental(source, start, field)
+    if start != initial_start:
+        rows = rows.hint("rebalance")
+    write_load(rows, sink, load_id, updated_ms, rows_per_file)
     stored = read_load(spark, sink, load_id)
-    rows, seen = stored.agg(F.count("*"), mark_value(field)).first()
+    n, seen = stored.agg(F.count("*"), mark_value(field)).first()
     write_mark(spark, state, query, max(start, seen or start), load_id)
-    return rows
+    return n
 
 
 def run_all(

@@ -11,27 +11,40 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
 
 LOAD = "load_id"
 UPDATED = "last_updated_time"
 
 
-def last_per_key(df: DataFrame, key: str, order: Sequence[str | Column]) -> DataFrame:
-    """One row per key: the greatest by `order`.
+def last_per_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """One row per key: the greatest by `order`, ties by the other columns.
 
     An aggregate, not a window: each task first reduces its rows to one per key, so a key that
     holds a large part of the rows never meets in one task.
     """
-    rest = [c for c in df.columns if c != key]
-    rank = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
-    return df.groupBy(key).agg(F.max_by(F.struct(*rest), rank).alias("row")).select(key, "row.*")
+    rest = [c for c in df.columns if c != key and c not in order]
+    if any(_unordered(f.dataType) for f in df.schema.fields if f.name in rest):
+        row = F.max_by(F.struct(*order, *rest), F.struct(*order))
+    else:
+        row = F.max(F.struct(*order, *rest))
+    picked = df.groupBy(key).agg(row.alias("row"))
+    return picked.select(*[key if c == key else F.col("row").getField(c).alias(c) for c in df.columns])
+
+
+def _unordered(dtype: T.DataType) -> bool:
+    """Whether values of a type cannot be compared."""
+    if isinstance(dtype, T.StructType):
+        return any(_unordered(f.dataType) for f in dtype.fields)
+    if isinstance(dtype, T.ArrayType):
+        return _unordered(dtype.elementType)
+    return isinstance(dtype, (T.MapType, T.VariantType))
 
 
 def upsert(
-    existing: DataFrame, batch: DataFrame, key: str, order: Sequence[str | Column]
+    existing: DataFrame, batch: DataFrame, key: str, order: Sequence[str]
 ) -> DataFrame:
     """Existing and new rows merged to one row per key. Rows without a key are not kept."""
     merged = existing.unionByName(batch, allowMissingColumns=True)
@@ -57,15 +70,24 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     return counts.where((F.col("n") > 1) | F.col(key).isNull())
 
 
-def write_load(df: DataFrame, path: str, load_id: int, updated_ms: int | None = None) -> None:
+def write_load(
+    df: DataFrame,
+    path: str,
+    load_id: int,
+    updated_ms: int | None = None,
+    rows_per_file: int | None = None,
+) -> None:
     """Store the rows of one load. Running the same load again replaces them."""
     if updated_ms is not None:
         df = df.withColumn(UPDATED, F.lit(updated_ms).cast("long"))
-    df.write.mode("overwrite").parquet(f"{path}/{LOAD}={load_id}")
+    writer = df.write.mode("overwrite")
+    if rows_per_file is not None:
+        writer = writer.option("maxRecordsPerFile", rows_per_file)
+    writer.parquet(f"{path}/{LOAD}={load_id}")
 
 
 def read_loads(
-    spark: SparkSession, path: str, schema: StructType | None = None
+    spark: SparkSession, path: str, schema: T.StructType | None = None
 ) -> DataFrame | None:
     """All loads of a table, or None when nothing was ever stored.
 
@@ -88,13 +110,19 @@ def read_load(spark: SparkSession, path: str, load_id: int) -> DataFrame:
 
 
 def read_table(
-    spark: SparkSession, path: str, key: str = "key", ties: Sequence[str] = ()
+    spark: SparkSession, path: str, key: str = "key", since_load: int | None = None
 ) -> DataFrame | None:
-    """The table as stored: one row per key, of the latest load that wrote it."""
+    """The table as stored: one row per key, of the latest load that wrote it.
+
+    `since_load` keeps the keys written by that load or a later one. Their latest row is in one
+    of these loads, so the others are not read.
+    """
     loads = read_loads(spark, path)
     if loads is None:
         return None
-    return last_per_key(loads.where(F.col(key).isNotNull()), key, [LOAD, *ties])
+    if since_load is not None:
+        loads = loads.where(F.col(LOAD) >= since_load)
+    return last_per_key(loads.where(F.col(key).isNotNull()), key, [LOAD])
 
 
 def compact(spark: SparkSession, path: str, target: str, key: str = "key") -> None:

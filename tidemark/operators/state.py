@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemark.functions.times import parse_ts
 from tidemark.operators.extract import INCREMENTAL_FIELD, INITIAL_START
 from tidemark.operators.sink import LOAD, read_loads, write_load
 
 
+MARK = StructType([StructField("query", StringType()), StructField("high_water", StringType())])
+
+
 def mark_value(field: str = INCREMENTAL_FIELD, well_formed_only: bool = True) -> Column:
     """The next mark: the greatest value of the field, as text.
 
@@ -51,7 +55,7 @@ def read_mark(
     Repeating a load must start from the mark its first attempt saw, or rows that only that
     attempt read would be lost.
     """
-    loads = read_loads(spark, path)
+    loads = read_loads(spark, path, MARK)
     if loads is None:
         return initial_start
     rows = loads.where(F.col("query") == query)
@@ -62,8 +66,7 @@ def read_mark(
 
 
 def write_mark(spark: SparkSession, path: str, query: str, high_water: str, load_id: int) -> None:
-    row = spark.createDataFrame([(query, high_water)], "query string, high_water string")
-    write_load(row.coalesce(1), path, load_id)
+    write_load(spark.createDataFrame([(query, high_water)], MARK).coalesce(1), path, load_id)
 
 
 def late_rows(df: DataFrame, mark: str | Column, field: str = INCREMENTAL_FIELD) -> DataFrame:

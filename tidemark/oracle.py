@@ -74,7 +74,7 @@ _ENTRY = f"{_DOMAIN} AS domain, upper(event_type) AS view, 'tb_' || event_type A
 
 RAW_ROWS = f"""
 raw_text AS (
-  SELECT *, epoch_ms(ts) AS ms, CASE
+  SELECT *, epoch_us(ts) // 1000 AS ms, CASE
     WHEN event_id % 89 = 0 THEN 'garbage'
     WHEN event_id % 83 = 0 THEN 'abcd-ef-gh tail'
     WHEN event_id % 79 = 0 THEN '2024-02-30 10:00:00'
@@ -142,7 +142,7 @@ per_table AS (
     count(*) FILTER (WHERE source_day IS NULL) AS source_day_missing
   FROM fresh GROUP BY ALL),
 days AS (SELECT "table", coalesce(source_day, '<missing>') AS day, count(*) AS n FROM fresh GROUP BY ALL),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY "table" ORDER BY n DESC, day) AS place FROM days),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY "table" ORDER BY n DESC, day) AS INTEGER) AS place FROM days),
 top AS (SELECT "table", string_agg(day || '=' || n, ', ' ORDER BY place) AS top_source_days
   FROM ranked WHERE place <= 3 GROUP BY ALL),
 stated AS (
@@ -380,7 +380,7 @@ SELECT count(*) AS tables, CAST(sum(rows_today) FILTER (WHERE status = 'OK') AS
 SELECT tier, count(*) AS views, CAST(sum(n) AS BIGINT) AS "rows",
   CAST(sum(n) AS DOUBLE) * 100 / (SELECT sum(n) FROM volumes) AS pct FROM volumes GROUP BY tier"""
     sql["volume_concentration"] = volumes + """
-SELECT row_number() OVER w AS top, name, n,
+SELECT CAST(row_number() OVER w AS INTEGER) AS top, name, n,
   CAST(sum(n) OVER w AS DOUBLE) * 100 / (SELECT sum(n) FROM volumes) AS cum_pct
 FROM volumes WHERE n IS NOT NULL
 WINDOW w AS (ORDER BY n DESC, name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
@@ -411,16 +411,16 @@ FROM by_domain d LEFT JOIN previous p USING (domain)"""
 SELECT key AS "table", expected_rows, row_ingested AS actual_rows FROM counted"""
     sql["catalog_x_rows"] = f"""WITH {RAW_ROWS}, {CATALOG},
 counts AS (SELECT "table", count(*) AS n FROM raw_rows GROUP BY ALL)
-SELECT row_number() OVER (ORDER BY domain, c."table") AS place, domain, view, c."table", tier, n AS stored_rows
+SELECT CAST(row_number() OVER (ORDER BY domain, c."table") AS INTEGER) AS place, domain, view, c."table", tier, n AS stored_rows
 FROM catalog c LEFT JOIN counts USING ("table")"""
     sql["order_incremental"] = events + f"""
 SELECT "DATETIMESTAMP", event_id, event_type FROM src_events WHERE {_LATER} ORDER BY 1, 2"""
     sql["order_reconcile"] = COUNTED + """
-SELECT *, row_number() OVER (ORDER BY status, expected_rows DESC, key) AS place FROM report"""
+SELECT *, CAST(row_number() OVER (ORDER BY status, expected_rows DESC, key) AS INTEGER) AS place FROM report"""
     sql["tier_sort"] = volumes + f"""
 SELECT tier, count(*) AS views, CAST(sum(n) AS BIGINT) AS "rows", {_rank('12?345')} AS rank
 FROM volumes GROUP BY tier"""
-    queue = f"row_number() OVER (ORDER BY {_rank('1?2345')}, coalesce(n, 0), name)"
+    queue = f"CAST(row_number() OVER (ORDER BY {_rank('1?2345')}, coalesce(n, 0), name) AS INTEGER)"
     sql["small_first_order"] = volumes + f"SELECT name, tier, n, {queue} AS queue_place FROM volumes"
     sql["union_all"] = dup + " UNION ALL ".join(
         f"SELECT domain, \"table\", key FROM raw_dup WHERE domain = '{d}'" for d in ("erp", "ledger_in", "ledger_na")

@@ -62,7 +62,9 @@ def balanced_split(tables: DataFrame, workers: int, plan: str | None = None) ->
     a plan; `plan` names a column when several plans are split at once. Rows were counted before:
     only one line per table arrives here.
     """
-    group = [plan] if plan else [F.lit(0)]
+    if plan is None:
+        one_plan = tables.withColumn("plan", F.lit(0))
+        return balanced_split(one_plan, workers, "plan").drop("plan")
     columns = [f"{f.name} {f.dataType.simpleString()}" for f in tables.schema.fields]
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -80,7 +82,7 @@ def balanced_split(tables: DataFrame, workers: int, plan: str | None = None) ->
             chosen[index] = w + 1
         return pdf.assign(worker=pd.Series(chosen, dtype="int32"))
 
-    return tables.groupBy(*group).applyInPandas(assign, ", ".join([*columns, "worker int"]))
+    return tables.groupBy(plan).applyInPandas(assign, ", ".join([*columns, "worker int"]))
 
 
 def split_summary(assigned: DataFrame) -> DataFrame:

@@ -236,6 +236,10 @@ class Source:
         """Whether the previous generation cut its timestamp window to a sample."""
         return self.load == "timestamp" and self.domain != "ledger_in"
 
+    @property
+    def query_name(self) -> str:
+        return f"extract-{self.domain}-{self.view}"
+
 
 def sources(domain: str) -> list[Source]:
     """Sources of `erp`, `ledger_in` or `ledger_na`."""

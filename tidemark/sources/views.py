@@ -133,7 +133,7 @@ def raw_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 5 == 0, upper)
         .when(i % 5 == 1, F.concat(F.lit('{"datetimestamp":"'), ts, F.lit('"}')))
         .when(i % 5 == 2, F.concat(F.lit('{"DATETIMESTAMP":null,"datetimestamp":"'), ts, F.lit('"}')))
-        .when(i % 5 == 3, F.concat(F.lit('{"DATETIMESTAMP":'), 1.7e9 + i, F.lit("}")))
+        .when(i % 5 == 3, F.concat(F.lit('{"DATETIMESTAMP":'), i + 1_700_000_000, F.lit("}")))
         .otherwise('{"other":1}')
     )
     return e.select("event_id", F.parse_json(text).alias("columns"))

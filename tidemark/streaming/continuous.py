@@ -32,6 +32,12 @@ def read_stream(
     return reader.parquet(path)
 
 
+def _start(stream, load, query: str, checkpoint: str, once: bool, interval: str) -> StreamingQuery:
+    writer = stream.writeStream.queryName(query).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)
+    return writer.foreachBatch(load).start()
+
+
 def start_load(
     stream: DataFrame,
     query: str,
@@ -41,13 +47,14 @@ def start_load(
     initial_start: str = INITIAL_START,
     field: str = INCREMENTAL_FIELD,
     once: bool = False,
+    interval: str = INTERVAL,
     now_ms: Callable[[], int] = lambda: int(time.time() * 1000),
 ) -> StreamingQuery:
     """Load every micro-batch: rows at or after the mark, keyed, stored, mark moved.
 
     The batch number is the load number. A batch repeated after a failure reads the mark as it
     was before that batch and replaces its own rows, so it stores the same rows again. `once`
-    takes what is there and stops; otherwise a batch starts every 15 minutes, or when the one
+    takes what is there and stops; otherwise a batch starts every interval, or when the one
     before has finished if that took longer.
     """
 
@@ -56,6 +63,29 @@ def start_load(
             batch.sparkSession, batch, query, sink, state, batch_id, initial_start, field, now_ms()
         )
 
-    writer = stream.writeStream.queryName(query).option("checkpointLocation", checkpoint)
-    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=INTERVAL)
-    return writer.foreachBatch(load).start()
+    return _start(stream, load, query, checkpoint, once, interval)
+
+
+def start_polling(
+    spark: SparkSession,
+    read: Callable[[], DataFrame],
+    query: str,
+    sink: str,
+    state: str,
+    checkpoint: str,
+    initial_start: str = INITIAL_START,
+    field: str = INCREMENTAL_FIELD,
+    interval: str = INTERVAL,
+    now_ms: Callable[[], int] = lambda: int(time.time() * 1000),
+) -> StreamingQuery:
+    """The same for a view, which has no files to watch: read it again at every trigger.
+
+    The streaming source only serves as the clock that numbers the loads; the rows are those of
+    `read()` at or after the mark.
+    """
+    clock = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+
+    def load(_: DataFrame, batch_id: int) -> None:
+        run_load(spark, read(), query, sink, state, batch_id, initial_start, field, now_ms())
+
+    return _start(clock, load, query, checkpoint, False, interval)
