@@ -1,3 +1,4 @@
+import logging
 import os
 import sys
 
@@ -18,6 +19,7 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
-    session.sparkContext.setLogLevel("ERROR")
+    session.sparkContext.setLogLevel("OFF")
+    logging.getLogger("DataFrameQueryContextLogger").setLevel(logging.CRITICAL)
     yield session
     session.stop()

@@ -24,12 +24,21 @@ COLUMNS = {
     "events": "event_id:i ts:t user_id:i event_type:s value:d props:s",
     "documents": "doc_id:i text:s lang:s source:s n_chars:i",
     "pages": "page_id:i url:s html:s",
+    "embeddings": "vec_id:i embedding:f label:i",
     "benchmark": "item_id:i text:s",
     "labels": "doc_id:i quality:i toxic:i",
     "conversations": "conv_id:i turn:i role:s text:s",
 }
 
+# A float printed with an exponent below a thousandth, as the JVM does.
+_FLOAT = r"""CASE
+  WHEN abs(x) >= 1e-3 OR x = 0 THEN regexp_replace(CAST(x AS VARCHAR), '\.0$', '')
+  WHEN abs(x) >= 1e-4 THEN regexp_replace(
+    regexp_replace(CAST(x AS VARCHAR), '0\.000(\d)(\d*)$', '\1.\2E-4'), '\.E', '.0E')
+  ELSE regexp_replace(regexp_replace(upper(CAST(x AS VARCHAR)), '^(-?\d)E', '\1.0E'), 'E-0', 'E-') END"""
+
 _VALUE = {
+    "f": "'[' || array_to_string(list_transform({c}, lambda x: " + _FLOAT + "), ',') || ']'",
     "s": "CAST(to_json({c}) AS VARCHAR)",
     "i": "CAST({c} AS VARCHAR)",
     "d": "regexp_replace(CAST({c} AS VARCHAR), '\\.0$', '')",

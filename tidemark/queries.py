@@ -161,12 +161,11 @@ def row_key_sha256(spark, sf):
 
 @query
 def row_key_tables(spark, sf):
-    """The whole-row key of every row of every table but `embeddings`."""
+    """The whole-row key of every row of every table."""
     frames = []
     for name in TABLES:
-        if name != "embeddings":
-            df = table(spark, sf, name)
-            frames.append(df.select(F.lit(name).alias("table"), keys.row_key(df).alias("key")))
+        df = table(spark, sf, name)
+        frames.append(df.select(F.lit(name).alias("table"), keys.row_key(df).alias("key")))
     return _union(frames)
 
 
