@@ -131,15 +131,13 @@ def catalog_filter(
 
 
 def single_table_filter(catalog: DataFrame, table: str) -> DataFrame:
-    """The entry of one table whatever its domain and tier, or a made-up one if it is unknown."""
-    spark = catalog.sparkSession
-    asked = spark.range(1).select(F.lit(table).alias("table"))
-    return asked.join(catalog.where(F.col("table") == table), "table", "left").select(
-        F.coalesce("domain", F.lit("custom")).alias("domain"),
-        F.coalesce("view", "table").alias("view"),
-        "table",
-        F.coalesce("tier", F.lit("-")).alias("tier"),
+    """The entries of one table whatever their domain and tier, or a made-up one if there is none."""
+    found = catalog.where(F.col("table") == table).select("domain", "view", "table", "tier")
+    made_up = found.agg(F.count("*").alias("n")).where("n = 0").select(
+        F.lit("custom").alias("domain"), F.lit(table).alias("view"), F.lit(table).alias("table"),
+        F.lit("-").alias("tier"),
     )
+    return found.unionByName(made_up)
 
 
 def catalog_x_rows(catalog: DataFrame, counts: DataFrame) -> DataFrame:
