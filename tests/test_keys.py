@@ -15,7 +15,7 @@ KEEP = {"ignoreNullFields": "false"}
 
 def round_trip(df):
     """The same text by the long way: parse the row as VARIANT and print it again."""
-    return F.to_json(F.parse_json(F.to_json(F.struct(*df.columns), KEEP)))
+    return F.to_json(F.parse_json(F.to_json(F.struct("*"), KEEP)))
 
 
 def both(df):
@@ -125,3 +125,19 @@ def test_key_is_computed_once(spark):
     joined = keyed.join(keyed.select("key"), "key", "left_anti")
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert plan.count("sha2") == 2  # once per side, none in a null test
+
+
+def test_escaping_parts_equals_escaping_the_whole(spark):
+    df = spark.sql("""select '<a> (b) & c' as `x<(&)>`, 1 as `n(1)`, 2.5D as `d&`, array('(', '<') as g,
+        timestamp_ntz'2024-01-01 00:00:00' as `t>`, cast(null as string) as `q"\\\\(`""")
+    whole = F.sha2(keys.json_escape(keys.canonical_json(df)), 256)
+    assert df.select(keys.row_key(df) == whole).first()[0]
+    a, b = both(df)[0]
+    assert a == b
+
+
+def test_labels_are_constants(spark):
+    df = spark.range(3).select("id", (F.col("id") * 2.0).alias("x"), F.col("id").cast("string").alias("s"))
+    plan = df.select(keys.row_key(df))._jdf.queryExecution().optimizedPlan().toString()
+    assert '"id":' in plan and '"s":' in plan and '"x":' in plan
+    assert plan.count("StructsToJsonEvaluator(") == 2  # the one string, and its length

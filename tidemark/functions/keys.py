@@ -10,19 +10,8 @@ from pyspark.sql import types as T
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
 
-# Types whose JSON text is already canonical, so a run of them is printed by one to_json.
-PLAIN_TYPES = (
-    T.StringType,
-    T.BooleanType,
-    T.ByteType,
-    T.ShortType,
-    T.IntegerType,
-    T.LongType,
-    T.DateType,
-    T.TimestampType,
-    T.TimestampNTZType,
-    T.BinaryType,
-)
+NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)
+TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 # Characters replaced in the canonical text, in this order.
 HTML_ESCAPES = (("&", "\\u0026"), ("<", "\\u003c"), (">", "\\u003e"))
@@ -48,47 +37,60 @@ def _double_text(c: Column) -> Column:
     )
 
 
-def _members(json_object: Column) -> Column:
-    """The text between the outer braces of a JSON object."""
-    return json_object.substr(F.lit(2), F.length(json_object) - 2)
+def _json_value(c: Column, normalize: bool = False) -> Column:
+    """A value as JSON text, cut out of an object with a member of one letter."""
+    text = F.to_json(F.struct(c.alias("v")), KEEP_NULLS)
+    if normalize:
+        text = F.to_json(F.parse_json(text))
+    return text.substr(F.lit(6), F.length(text) - 6)
 
 
-def canonical_json(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
-    """The row as JSON text: every column, nulls kept, members in byte order of their names.
+def _label(name: str) -> Column:
+    """`"name":`; a constant, which the optimizer folds."""
+    text = F.to_json(F.struct(F.lit(0).alias(name)))
+    return text.substr(F.lit(2), F.length(text) - 3)
 
-    Numbers are in normal form (no trailing zeros), so rows that differ only in decimal scale
-    share a text. The member order is known from the schema, so no map is built or sorted per
-    row. Adjacent columns of plain types are printed by one `to_json`, doubles by a cast, and
-    only the other types (decimals, floats, nested) take the detour over VARIANT.
+
+def _members(df: DataFrame, columns: Sequence[str] | None) -> list[tuple[str, Column, bool]]:
+    """Name, JSON text and whether the text is free, per column in byte order of the names.
+
+    Numbers are printed by a cast, which is far cheaper than a JSON writer; strings and times by
+    `to_json`; decimals, floats and nested values take the detour over VARIANT, which drops
+    trailing zeros and sorts nested members.
     """
     names = list(columns) if columns is not None else df.columns
     if len(set(names)) != len(names):
         raise ValueError(f"duplicate column names cannot be keyed: {names}")
-    fields = {f.name: f.dataType for f in df.schema.fields}
+    types = {f.name: f.dataType for f in df.schema.fields}
+    members = []
+    for name in sorted(names, key=lambda n: n.encode("utf-8")):
+        c, dtype = _quoted(name), types[name]
+        if isinstance(dtype, NUMBERS):
+            members.append((name, F.coalesce(c.cast("string"), F.lit("null")), False))
+        elif isinstance(dtype, T.DoubleType):
+            members.append((name, F.coalesce(_double_text(c), F.lit("null")), False))
+        elif isinstance(dtype, TIMES):
+            members.append((name, _json_value(c), False))
+        else:
+            plain = isinstance(dtype, (T.StringType, T.BinaryType))
+            members.append((name, _json_value(c, normalize=not plain), True))
+    return members
+
 
+def _object(members: Sequence[tuple[Column, Column]]) -> Column:
     parts: list[Column] = []
-    run: list[Column] = []
+    for label, value in members:
+        parts += [F.lit("," if parts else "{"), label, value]
+    return F.concat(*parts, F.lit("}")) if parts else F.lit("{}")
 
-    def close_run() -> None:
-        if run:
-            parts.append(_members(F.to_json(F.struct(*run), KEEP_NULLS)))
-            run.clear()
 
-    for name in sorted(names, key=lambda n: n.encode("utf-8")):
-        c, dtype = _quoted(name), fields[name]
-        if isinstance(dtype, PLAIN_TYPES):
-            run.append(c)
-            continue
-        close_run()
-        if isinstance(dtype, T.DoubleType):
-            label = _members(F.to_json(F.struct(F.lit(0).alias(name))))
-            label = label.substr(F.lit(1), F.length(label) - 1)
-            parts.append(F.concat(label, F.coalesce(_double_text(c), F.lit("null"))))
-        else:
-            normal = F.to_json(F.parse_json(F.to_json(F.struct(c.alias(name)), KEEP_NULLS)))
-            parts.append(_members(normal))
-    close_run()
-    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+def canonical_json(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
+    """The row as JSON text: every column, nulls kept, members in byte order of their names.
+
+    Numbers are in normal form (no trailing zeros), so rows that differ only in decimal scale
+    share a text. The member order is known from the schema, so no map is built or sorted per row.
+    """
+    return _object([(_label(name), text) for name, text, _ in _members(df, columns)])
 
 
 def json_escape(text: Column, separators: str = "literal") -> Column:
@@ -102,12 +104,17 @@ def json_escape(text: Column, separators: str = "literal") -> Column:
 
 
 def row_key(df: DataFrame, columns: Sequence[str] | None = None, separators: str = "literal") -> Column:
-    """SHA-256 of the whole row, lowercase hex: any change of any column gives another key.
+    """SHA-256 of the whole escaped row, lowercase hex: any change of any column gives another key.
 
-    The text is never null; `coalesce` tells the optimizer so, which otherwise adds a null test
-    before joins and thereby computes the key twice.
+    Numbers and times hold none of the escaped characters, so only free text is searched for
+    them. The text is never null; `coalesce` tells the optimizer so, which otherwise adds a null
+    test before joins and thereby computes the key twice.
     """
-    return F.coalesce(F.sha2(json_escape(canonical_json(df, columns), separators), 256), F.lit(""))
+    members = [
+        (json_escape(_label(name), separators), json_escape(text, separators) if free else text)
+        for name, text, free in _members(df, columns)
+    ]
+    return F.coalesce(F.sha2(_object(members), 256), F.lit(""))
 
 
 def business_key(*columns: str | Column) -> Column:
