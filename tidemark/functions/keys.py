@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ KEEP_NULLS = {"ignoreNullFields": "false"}
 
 NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)
 TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
+TEXTS = (T.StringType, T.BinaryType)
 
 # Characters replaced in the canonical text, in this order.
 HTML_ESCAPES = (("&", "\\u0026"), ("<", "\\u003c"), (">", "\\u003e"))
@@ -37,51 +39,72 @@ def _double_text(c: Column) -> Column:
     )
 
 
-def _json_value(c: Column, normalize: bool = False) -> Column:
-    """A value as JSON text, cut out of an object with a member of one letter."""
-    text = F.to_json(F.struct(c.alias("v")), KEEP_NULLS)
-    if normalize:
-        text = F.to_json(F.parse_json(text))
-    return text.substr(F.lit(6), F.length(text) - 6)
+def _inside(json_object: Column, skip: int = 1) -> Column:
+    """A JSON object without its first `skip` characters and its last."""
+    return json_object.substr(F.lit(skip + 1), F.length(json_object) - skip - 1)
 
 
-def _label(name: str) -> Column:
-    """`"name":`; a constant, which the optimizer folds."""
-    text = F.to_json(F.struct(F.lit(0).alias(name)))
-    return text.substr(F.lit(2), F.length(text) - 3)
+def _printed(*columns: Column) -> Column:
+    return F.to_json(F.struct(*columns), KEEP_NULLS)
 
 
-def _members(df: DataFrame, columns: Sequence[str] | None) -> list[tuple[str, Column, bool]]:
-    """Name, JSON text and whether the text is free, per column in byte order of the names.
+def _special(name: str) -> bool:
+    return any(char in name for escapes in (HTML_ESCAPES, *SEPARATOR_ESCAPES.values()) for char, _ in escapes)
 
-    Numbers are printed by a cast, which is far cheaper than a JSON writer; strings and times by
-    `to_json`; decimals, floats and nested values take the detour over VARIANT, which drops
-    trailing zeros and sorts nested members.
+
+def _members(
+    df: DataFrame, columns: Sequence[str] | None, escape: Callable[[Column], Column]
+) -> list[Column]:
+    """Escaped JSON members, one or several columns each, in byte order of the names.
+
+    Numbers are printed by a cast, which is far cheaper than a JSON writer. Adjacent texts share
+    one `to_json`, and so do adjacent times. Decimals, floats and nested values take the detour
+    over VARIANT, which drops trailing zeros and sorts nested members. Numbers and times hold
+    none of the escaped characters, so only free text and odd names are searched for them.
     """
     names = list(columns) if columns is not None else df.columns
     if len(set(names)) != len(names):
         raise ValueError(f"duplicate column names cannot be keyed: {names}")
     types = {f.name: f.dataType for f in df.schema.fields}
-    members = []
+    members: list[Column] = []
+    run: list[str] = []
+
+    def labelled(name: str, value: Column) -> Column:
+        label = F.lit(json.dumps(name, ensure_ascii=False) + ":")
+        return F.concat(escape(label) if _special(name) else label, value)
+
+    def close_run() -> None:
+        if len(run) == 1:
+            value = _inside(_printed(_quoted(run[0]).alias("v")), skip=5)
+            free = isinstance(types[run[0]], TEXTS)
+            members.append(labelled(run[0], escape(value) if free else value))
+        elif run:
+            members.append(escape(_inside(_printed(*map(_quoted, run)))))
+        run.clear()
+
     for name in sorted(names, key=lambda n: n.encode("utf-8")):
         c, dtype = _quoted(name), types[name]
-        if isinstance(dtype, NUMBERS):
-            members.append((name, F.coalesce(c.cast("string"), F.lit("null")), False))
-        elif isinstance(dtype, T.DoubleType):
-            members.append((name, F.coalesce(_double_text(c), F.lit("null")), False))
-        elif isinstance(dtype, TIMES):
-            members.append((name, _json_value(c), False))
+        if isinstance(dtype, TEXTS + TIMES):
+            if run and isinstance(dtype, TEXTS) != isinstance(types[run[0]], TEXTS):
+                close_run()
+            run.append(name)
+            continue
+        close_run()
+        if isinstance(dtype, T.DoubleType):
+            members.append(labelled(name, F.coalesce(_double_text(c), F.lit("null"))))
+        elif isinstance(dtype, NUMBERS):
+            members.append(labelled(name, F.coalesce(c.cast("string"), F.lit("null"))))
         else:
-            plain = isinstance(dtype, (T.StringType, T.BinaryType))
-            members.append((name, _json_value(c, normalize=not plain), True))
+            members.append(escape(_inside(F.to_json(F.parse_json(_printed(c))))))
+    close_run()
     return members
 
 
-def _object(members: Sequence[tuple[Column, Column]]) -> Column:
-    parts: list[Column] = []
-    for label, value in members:
-        parts += [F.lit("," if parts else "{"), label, value]
-    return F.concat(*parts, F.lit("}")) if parts else F.lit("{}")
+def _object(members: Sequence[Column]) -> Column:
+    parts = [F.lit("{")]
+    for member in members:
+        parts += [F.lit(","), member] if len(parts) > 1 else [member]
+    return F.concat(*parts, F.lit("}"))
 
 
 def canonical_json(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
@@ -90,7 +113,7 @@ def canonical_json(df: DataFrame, columns: Sequence[str] | None = None) -> Colum
     Numbers are in normal form (no trailing zeros), so rows that differ only in decimal scale
     share a text. The member order is known from the schema, so no map is built or sorted per row.
     """
-    return _object([(_label(name), text) for name, text, _ in _members(df, columns)])
+    return _object(_members(df, columns, lambda text: text))
 
 
 def json_escape(text: Column, separators: str = "literal") -> Column:
@@ -106,15 +129,11 @@ def json_escape(text: Column, separators: str = "literal") -> Column:
 def row_key(df: DataFrame, columns: Sequence[str] | None = None, separators: str = "literal") -> Column:
     """SHA-256 of the whole escaped row, lowercase hex: any change of any column gives another key.
 
-    Numbers and times hold none of the escaped characters, so only free text is searched for
-    them. The text is never null; `coalesce` tells the optimizer so, which otherwise adds a null
-    test before joins and thereby computes the key twice.
+    The text is never null; `coalesce` tells the optimizer so, which otherwise adds a null test
+    before joins and thereby computes the key twice.
     """
-    members = [
-        (json_escape(_label(name), separators), json_escape(text, separators) if free else text)
-        for name, text, free in _members(df, columns)
-    ]
-    return F.coalesce(F.sha2(_object(members), 256), F.lit(""))
+    text = _object(_members(df, columns, lambda t: json_escape(t, separators)))
+    return F.coalesce(F.sha2(text, 256), F.lit(""))
 
 
 def business_key(*columns: str | Column) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterable
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,8 +62,8 @@ def run_all(
         rows, message = None, None
         try:
             rows = load()
-        except PySparkException as e:
-            message = str(e)
+        except Exception as e:  # whatever fails belongs to this query alone
+            message = str(e) or type(e).__name__
         ledger.append((query, "failure" if message else "success", rows,
                        time.monotonic() - started, message))
     return spark.createDataFrame(ledger, LEDGER).select(

@@ -110,14 +110,18 @@ def read_load(spark: SparkSession, path: str, load_id: int) -> DataFrame:
 
 
 def read_table(
-    spark: SparkSession, path: str, key: str = "key", since_load: int | None = None
+    spark: SparkSession,
+    path: str,
+    key: str = "key",
+    since_load: int | None = None,
+    schema: T.StructType | None = None,
 ) -> DataFrame | None:
     """The table as stored: one row per key, of the latest load that wrote it.
 
     `since_load` keeps the keys written by that load or a later one. Their latest row is in one
     of these loads, so the others are not read.
     """
-    loads = read_loads(spark, path)
+    loads = read_loads(spark, path, schema)
     if loads is None:
         return None
     if since_load is not None:
