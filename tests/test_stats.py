@@ -102,6 +102,7 @@ def test_count_many_confines_failures(spark, tmp_path):
     got = {r["label"]: (r["n"], r["status"]) for r in counts.collect()}
     assert got["good"] == (7, "OK") and got["absent"] == (None, "PATH_NOT_FOUND")
     assert got["broken"][0] is None and got["column"][1].startswith("UNRESOLVED_COLUMN")
+    assert all(r["seconds"] >= 0 for r in counts.collect())
     assert all("\n" not in (r["message"] or "") for r in counts.collect())
     total = reconcile.count_many_total(counts).first()
     assert total[:] == (1, 4, 7, "absent, broken, column")
@@ -111,9 +112,10 @@ def test_count_many_confines_failures(spark, tmp_path):
 
 def test_history(spark, tmp_path, inspected):
     path = f"{tmp_path}/history"
-    by_domain, by_tier = stats.summary_by_domain(inspected), stats.summary_by_tier(inspected, ["erp"])
+    by_domain = stats.summary_by_domain(inspected)
     for seq, day in ((1, "2024-01-18"), (2, "2024-01-19"), (3, "2024-01-25"), (4, TODAY)):
-        history.append_history(history.history_entry(by_domain, by_tier, seq, day, f"{day}T00:00:00Z"), path)
+        history.append_history(history.history_entry(
+            inspected, ["erp"], seq, day, f"{day}T00:00:00Z", {"database": "raw"}), path)
     (tmp_path / "history" / "extra.json").write_text('\n   \n{"seq": 9, "day": "cut\nnot json\n')
     entries = history.read_history(spark, path)
     assert sorted(r["seq"] for r in entries.collect()) == [1, 2, 3, 4]
@@ -125,7 +127,17 @@ def test_history(spark, tmp_path, inspected):
     assert delta == {"erp": "+3", "ledger": "+0", "new": ""}
     assert history.history_previous(entries.where("seq = 4"), TODAY).count() == 0
     line = json.loads(next(p for p in (tmp_path / "history").iterdir() if p.name.startswith("part") and p.suffix == ".json" and p.stat().st_size).read_text())
-    assert set(line["summary"]) == {"by_domain", "by_tier"}
+    assert set(line["summary"]) == {"by_domain", "by_tier"} and line["database"] == "raw"
+    assert len(line["tables"]) == 9 and line["tables"][0]["table"] == "tb_dup"
+
+
+def test_history_without_sequence_numbers_goes_by_line(spark, tmp_path):
+    """One file of lines, as another writer may have left it."""
+    days = ["2024-01-17", "2024-01-25", "2024-01-18", TODAY]
+    text = [json.dumps({"day": d, "summary": {"by_domain": {"erp": {"upd_today": i}}}}) for i, d in enumerate(days)]
+    (tmp_path / "history.jsonl").write_text("\n".join(["", *text[:2], "{broken", *text[2:], " "]) + "\n")
+    previous = history.history_previous(history.read_history(spark, f"{tmp_path}/history.jsonl"), TODAY).first()
+    assert previous["day"] == "2024-01-18" and previous["summary"]["by_domain"]["erp"]["upd_today"] == 2
 
 
 @pytest.mark.parametrize("message,want", [

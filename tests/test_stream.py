@@ -79,3 +79,27 @@ def test_polled_view(spark, root):
         assert wait(2)
     finally:
         q.stop()
+
+
+def test_extractor_goes_through_its_sources(spark, root):
+    from tidemark.sources import catalogue
+    picked = [s for s in catalogue.sources("ledger_in") if s.view in ("F0010", "F4108")]
+    arrive(spark, root, (1, "a", "2026-08-01 00:00:00"))
+
+    def read(s):
+        return spark.table("absent") if s.view == "F4108" else spark.read.schema(SCHEMA).parquet(f"{root}/in")
+
+    q = continuous.start_extractor(
+        spark, "x", picked, read, f"{root}/raw", f"{root}/s", f"{root}/ledger", f"{root}/c", START, interval="1 second")
+    try:
+        for _ in range(120):
+            runs = sink.read_loads(spark, f"{root}/ledger")
+            if runs is not None and runs.select("load_id").distinct().count() >= 2:
+                break
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    rows = {(r["load_id"], r["query"]): (r["status"], r["rows"]) for r in runs.collect()}
+    assert rows[0, "extract-ledger_in-F0010"] == rows[1, "extract-ledger_in-F0010"] == ("success", 1)
+    assert rows[1, "extract-ledger_in-F4108"] == ("failure", None)
+    assert sink.read_table(spark, f"{root}/raw/ledger_in/F0010").count() == 1

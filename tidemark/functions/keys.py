@@ -158,12 +158,17 @@ def with_key(df: DataFrame, key: Column | None = None, name: str = "key") -> Dat
 
 
 def derived_names(
-    table: Column, domain: str, view_prefix: str, table_suffix: str, pascal: bool = True
+    table: Column,
+    domain: str,
+    view_prefix: str,
+    table_suffix: str,
+    pascal: bool = True,
+    view_suffix: str | None = None,
 ) -> dict[str, Column]:
-    """View, sink table and query name of a table id."""
+    """View, sink table and query name of a table id; the view ends in the domain by default."""
     stem = F.concat(F.upper(table.substr(1, 1)), F.lower(F.substr(table, F.lit(2))))
     return {
-        "view_name": F.concat(F.lit(view_prefix), F.lower(table), F.lit(f"_{domain}")),
+        "view_name": F.concat(F.lit(view_prefix), F.lower(table), F.lit(f"_{view_suffix or domain}")),
         "table_name": F.concat(F.lit("tb_"), stem if pascal else table, F.lit(table_suffix)),
         "query_name": F.concat(F.lit(f"extract-{domain}-"), table),
     }

@@ -76,6 +76,15 @@ def smoke_sample(df: DataFrame, order_by: Sequence[str] = (), rows: int = SAMPLE
     return (df.orderBy(*order_by) if order_by else df).limit(rows)
 
 
+def take_sample(df: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """A few arbitrary rows, fetched now.
+
+    A limit that is written or joined starts a task on every partition; fetching the rows reads
+    one partition first and more only if it holds too few.
+    """
+    return df.sparkSession.createDataFrame(df.take(rows), df.schema)
+
+
 def order_incremental(df: DataFrame, field: str = INCREMENTAL_FIELD, *ties: str) -> DataFrame:
     """Total order by the incremental field. A range shuffle: use it to read in order, not to load."""
     return df.orderBy(F.col(field).asc(), *ties)

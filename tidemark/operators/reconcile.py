@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.classify import reconcile_status
 from tidemark.operators.extract import scan_view
 
-COUNTED = "label string, source string, n long, status string, message string"
+COUNTED = "place int, label string, source string, n long, status string, message string, seconds double"
 
 
 def count_view(df: DataFrame) -> DataFrame:
@@ -31,36 +32,41 @@ def count_many(
 ) -> DataFrame:
     """Row counts of `(label, source, columns)` targets, one row each, in one job.
 
-    `columns` are columns the source must have. A target that cannot be resolved (absent source, absent column) becomes a row with a null
-    count and the first line of its error. With `isolate` every target is counted on its own,
+    `columns` are columns the source must have, `place` is the place of a target in the list. A
+    target that cannot be resolved (absent source, absent column) becomes a row with a null count
+    and the first line of its error. With `isolate` every target is counted and timed on its own,
     so that a failure while reading is also confined to its row.
     """
-    counted, failed = [], []
-    for label, source, columns in targets:
+    counted, rows = [], []
+    for place, (label, source, columns) in enumerate(targets):
+        started = time.monotonic()
         try:
-            one = scan_view(spark, source).select(*columns).agg(F.count("*").alias("n")).select(
-                F.lit(label).alias("label"), F.lit(source).alias("source"), "n",
-                F.lit("OK").alias("status"), F.lit(None).cast("string").alias("message"),
-            )
+            counts = scan_view(spark, source).select(*columns).agg(F.count("*").alias("n"))
             if isolate:
-                one = spark.createDataFrame(one.collect(), COUNTED)
-            counted.append(one)
+                n = counts.first()["n"]
+                rows.append((place, label, source, n, "OK", None, time.monotonic() - started))
+            else:
+                counted.append(counts.select(
+                    F.lit(place).alias("place"), F.lit(label).alias("label"),
+                    F.lit(source).alias("source"), "n", F.lit("OK").alias("status"),
+                    F.lit(None).cast("string").alias("message"),
+                    F.lit(None).cast("double").alias("seconds"),
+                ))
         except Exception as e:  # any failure of one target belongs to that target
-            failed.append((label, source, None, *_failure(e)))
-    if failed or not counted:
-        counted.append(spark.createDataFrame(failed, COUNTED))
+            rows.append((place, label, source, None, *_failure(e), time.monotonic() - started))
+    if rows or not counted:
+        counted.append(spark.createDataFrame(rows, COUNTED))
     return reduce(DataFrame.unionByName, counted)
 
 
 def count_many_total(counts: DataFrame) -> DataFrame:
-    """Views counted, views asked, rows in total and the labels that failed, in label order."""
+    """Views counted, views asked, rows in total and the labels that failed, in input order."""
+    failed = F.array_sort(F.collect_list(F.when(F.col("n").isNull(), F.struct("place", "label"))))
     return counts.agg(
         F.count("n").alias("ok"),
         F.count("*").alias("targets"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
-        F.concat_ws(
-            ", ", F.array_sort(F.collect_list(F.when(F.col("n").isNull(), F.col("label"))))
-        ).alias("failed"),
+        F.array_join(F.transform(failed, lambda f: f["label"]), ", ").alias("failed"),
     )
 
 

@@ -19,19 +19,20 @@ LOAD = "load_id"
 UPDATED = "last_updated_time"
 
 
-def last_per_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+def last_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key: the greatest by `order`, ties by the other columns.
 
     An aggregate, not a window: each task first reduces its rows to one per key, so a key that
     holds a large part of the rows never meets in one task.
     """
-    rest = [c for c in df.columns if c != key and c not in order]
+    keys = [key] if isinstance(key, str) else list(key)
+    rest = [c for c in df.columns if c not in keys and c not in order]
     if any(_unordered(f.dataType) for f in df.schema.fields if f.name in rest):
         row = F.max_by(F.struct(*order, *rest), F.struct(*order))
     else:
         row = F.max(F.struct(*order, *rest))
-    picked = df.groupBy(key).agg(row.alias("row"))
-    return picked.select(*[key if c == key else F.col("row").getField(c).alias(c) for c in df.columns])
+    picked = df.groupBy(*keys).agg(row.alias("row"))
+    return picked.select(*[c if c in keys else F.col("row").getField(c).alias(c) for c in df.columns])
 
 
 def _unordered(dtype: T.DataType) -> bool:

@@ -360,13 +360,15 @@ UNION ALL SELECT 'custom', 'tb_nowhere', 'tb_nowhere', '-'
 WHERE NOT EXISTS (SELECT 1 FROM catalog WHERE "table" = 'tb_nowhere')"""
 
     sql["count_view"] = "SELECT count(*) AS row_count FROM lineitem"
-    counts = " UNION ALL ".join(f"SELECT '{t}' AS label, count(*) AS n, 'OK' AS status FROM {t}" for t in TABLES)
-    counts += " UNION ALL SELECT 'no_such_file', NULL, 'missing_object'"
-    counts += " UNION ALL SELECT 'no_such_column', NULL, 'unresolved_column'"
-    sql["count_many"] = counts
+    counts = " UNION ALL ".join(
+        f"SELECT {i} AS place, '{t}' AS label, count(*) AS n, 'OK' AS status FROM {t}" for i, t in enumerate(TABLES)
+    )
+    counts += " UNION ALL SELECT 14, 'no_such_file', NULL, 'missing_object'"
+    counts += " UNION ALL SELECT 15, 'no_such_column', NULL, 'unresolved_column'"
+    sql["count_many"] = f"SELECT label, n, status FROM ({counts})"
     sql["count_many_total"] = f"""
 SELECT count(n) AS ok, count(*) AS targets, CAST(sum(n) AS BIGINT) AS total_rows,
-  string_agg(label, ', ' ORDER BY label) FILTER (WHERE n IS NULL) AS failed FROM ({counts})"""
+  string_agg(label, ', ' ORDER BY place) FILTER (WHERE n IS NULL) AS failed FROM ({counts})"""
     sql["union_counts"] = COUNTED + " SELECT * FROM counted"
     stats = table_stats()
     sql["rows_updated"] = stats + ' SELECT "table", rows_today FROM per_table'

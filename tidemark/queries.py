@@ -83,9 +83,7 @@ def _stats(spark, sf, since=SINCE, today=TODAY) -> DataFrame:
 
 def _history_entry(spark, sf, seq, since, today) -> DataFrame:
     s = _stats(spark, sf, since, today)
-    return history.history_entry(
-        stats.summary_by_domain(s), stats.summary_by_tier(s, TIERED), seq, today, f"{today}T23:00:00Z"
-    )
+    return history.history_entry(s, TIERED, seq, today, f"{today}T23:00:00Z")
 
 
 @query

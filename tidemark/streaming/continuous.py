@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -11,6 +11,9 @@ from pyspark.sql.types import StructType
 
 from tidemark.operators.extract import INCREMENTAL_FIELD, INITIAL_START
 from tidemark.operators.load import run_load
+from tidemark.operators.sink import write_load
+from tidemark.plans.jobs import Reader, load_sources
+from tidemark.sources.catalogue import Source
 
 # Fixed value: the interval between two loads of a query.
 INTERVAL = "15 minutes"
@@ -83,9 +86,39 @@ def start_polling(
     The streaming source only serves as the clock that numbers the loads; the rows are those of
     `read()` at or after the mark.
     """
-    clock = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
 
     def load(_: DataFrame, batch_id: int) -> None:
         run_load(spark, read(), query, sink, state, batch_id, initial_start, field, now_ms())
 
-    return _start(clock, load, query, checkpoint, False, interval)
+    return _start(_clock(spark), load, query, checkpoint, False, interval)
+
+
+def _clock(spark: SparkSession) -> DataFrame:
+    return spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+
+
+def start_extractor(
+    spark: SparkSession,
+    name: str,
+    sources: Sequence[Source],
+    read: Reader,
+    sink_root: str,
+    state: str,
+    ledger: str,
+    checkpoint: str,
+    initial_start: str = INITIAL_START,
+    interval: str = INTERVAL,
+    now_ms: Callable[[], int] = lambda: int(time.time() * 1000),
+) -> StreamingQuery:
+    """All sources of one extractor, one after the other at every trigger, in the given order.
+
+    A source that fails is recorded in the ledger and tried again at the next trigger.
+    """
+
+    def load(_: DataFrame, batch_id: int) -> None:
+        run = load_sources(
+            spark, sources, read, sink_root, state, batch_id, initial_start, now_ms()
+        )
+        write_load(run, ledger, batch_id)
+
+    return _start(_clock(spark), load, name, checkpoint, False, interval)
