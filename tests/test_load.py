@@ -177,6 +177,16 @@ def test_run_goes_on_after_a_failure(spark, root):
     assert result["status"] == "failure" and result["rows"] == 2
 
 
+def test_loads_at_the_same_time(spark, root):
+    def one(i):
+        return f"q{i}", lambda: load.run_load(
+            spark, source(spark, *DAY1), f"q{i}", f"{root}/t{i}", f"{root}/s", 0, START)
+
+    ledger = load.run_all(spark, [one(i) for i in range(6)] + [("bad", lambda: 1 / 0)], parallel=3)
+    rows = [(r["query"], r["status"], r["rows"]) for r in ledger.collect()]
+    assert rows == [(f"q{i}", "success", 2) for i in range(6)] + [("bad", "failure", None)]
+
+
 def test_key_in_sink_is_the_row_key(spark, root):
     run(spark, root, DAY1, 0)
     df = source(spark, *DAY1)

@@ -63,13 +63,12 @@ def source_day_of_number(number: Column) -> Column:
     """The UTC day of epoch seconds, or of milliseconds above 1e12; out of range is null."""
     value = number.cast("double")
     seconds = F.when(value > 1e12, value / 1000.0).otherwise(value)
+    in_range = ~F.isnan(value) & (seconds >= MIN_SECONDS) & (seconds < MAX_SECONDS)
+    seconds = F.when(in_range, seconds)
     whole = F.floor(seconds)
     rounded_up = (F.bround((seconds - whole) * 1e6) >= 1e6).cast("long")
     days = F.floor((whole + rounded_up) / F.lit(86400))
-    return F.when(
-        ~F.isnan(value) & (seconds >= MIN_SECONDS) & (seconds < MAX_SECONDS),
-        F.date_from_unix_date(days.cast("int")).cast("string"),
-    )
+    return F.date_from_unix_date(days.cast("int")).cast("string")
 
 
 def source_day_of_variant(value: Column) -> Column:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,23 +51,27 @@ def run_load(
 
 
 def run_all(
-    spark: SparkSession, loads: Iterable[tuple[str, Callable[[], int]]]
+    spark: SparkSession, loads: Iterable[tuple[str, Callable[[], int]]], parallel: int = 1
 ) -> DataFrame:
-    """Run the loads in order and return the ledger, one row per query.
+    """Run the loads, started in order, and return the ledger, one row per query.
 
-    A failing query is recorded with its message and the run goes on. The driver holds one row
-    per query.
+    A failing query is recorded with its message and the run goes on. `parallel` loads run at a
+    time, so that small ones do not leave the cluster idle. The driver holds one row per query.
     """
-    ledger = []
-    for query, load in loads:
+
+    def run(item: tuple[str, Callable[[], int]]) -> tuple:
+        query, load = item
         started = time.monotonic()
         rows, message = None, None
         try:
             rows = load()
         except Exception as e:  # whatever fails belongs to this query alone
             message = str(e) or type(e).__name__
-        ledger.append((query, "failure" if message else "success", rows,
-                       time.monotonic() - started, message))
+        status = "failure" if message else "success"
+        return query, status, rows, time.monotonic() - started, message
+
+    with ThreadPoolExecutor(parallel) as pool:
+        ledger = list(pool.map(inheritable_thread_target(spark)(run), loads))
     return spark.createDataFrame(ledger, LEDGER).select(
         "query", "status", "rows", "seconds",
         F.when(F.col("message").isNotNull(), error_class(F.col("message"))).alias("error_class"),

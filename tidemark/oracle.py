@@ -482,4 +482,10 @@ SELECT count(*) AS queries, count(*) FILTER (WHERE status = 'success') AS succee
   CAST(sum("rows") AS BIGINT) AS "rows",
   string_agg(query, ', ' ORDER BY query) FILTER (WHERE status = 'failure') AS failed,
   CASE WHEN bool_or(status = 'failure') THEN 'failure' ELSE 'success' END AS status FROM ledger"""
+    sql["smoke_run"] = " UNION ALL ".join(
+        f"SELECT '{t}' AS query, 'success' AS status, least(10, count(*)) AS \"rows\", NULL AS error_class FROM {t}"
+        for t in TABLES
+    ) + """
+UNION ALL SELECT 'absent', 'failure', NULL, 'missing_object'
+UNION ALL SELECT 'no_such_column', 'failure', NULL, 'unresolved_column'"""
     return sql

@@ -23,8 +23,9 @@ def load_sources(
     load_id: int,
     initial_start: str = INITIAL_START,
     updated_ms: int | None = None,
+    parallel: int = 1,
 ) -> DataFrame:
-    """One incremental load of every source, in the given order; returns the ledger.
+    """One incremental load of every source, started in the given order; returns the ledger.
 
     `read` opens a source, for instance `lambda s: spark.table(f"hub.v_{s.view.lower()}")`.
     """
@@ -37,7 +38,7 @@ def load_sources(
             )
         return s.query_name, go
 
-    return run_all(spark, [job(s) for s in sources])
+    return run_all(spark, [job(s) for s in sources], parallel)
 
 
 def previous_extract(source: Source, df: DataFrame, as_of: datetime) -> DataFrame:

@@ -636,3 +636,21 @@ def run_ledger(spark, sf):
 @query
 def run_ledger_result(spark, sf):
     return load.run_result(_ledger(spark, sf))
+
+
+@query
+def smoke_run(spark, sf):
+    """Ten rows of every table, keyed and stored, and two sources that fail: the ledger."""
+    root = work_dir(spark, "smoke")
+
+    def one(name, source):
+        def go():
+            sample = keys.with_key(extract.take_sample(source()))
+            sink.write_load(sample, f"{root}/{name}", 0, UPDATED_MS)
+            return sink.read_load(spark, f"{root}/{name}", 0).count()
+        return name, go
+
+    loads = [one(name, lambda name=name: table(spark, sf, name)) for name in TABLES]
+    loads.append(one("absent", lambda: table(spark, sf, "absent")))
+    loads.append(one("no_such_column", lambda: table(spark, sf, "orders").where("no_such_column = 1")))
+    return load.run_all(spark, loads, parallel=4).select("query", "status", "rows", "error_class")
