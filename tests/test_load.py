@@ -59,7 +59,7 @@ def test_window_start_of_leap_day():
 
 def test_catch_up_then_delta(spark, root):
     assert run(spark, root, DAY1, 0) == 2
-    assert state.read_mark(spark, f"{root}/s/q", "q") == "2026-08-01 10:00:00.500000"
+    assert state.read_mark(spark, f"{root}/s", "q") == "2026-08-01 10:00:00.500000"
     # the boundary row is read again, the late row is not
     assert run(spark, root, DAY2, 1) == 3
     assert stored(spark, root) == [1, 2, 2, 4]
@@ -82,9 +82,23 @@ def test_repeated_first_load_starts_where_it_started(spark, root):
     assert run(spark, root, DAY1, 0) == 2
 
 
+def test_state_stays_two_rows_per_query(spark, root):
+    days = [f"2026-08-0{i} 00:00:00" for i in range(1, 8)]
+    for n, load_id in enumerate([0, 2, 4, 5, 9, 9, 10]):
+        state.write_mark(spark, root, "q", days[n], load_id)
+        state.write_mark(spark, root, "r", days[0], load_id)
+        assert state.read_mark(spark, root, "q") == days[n]
+        if n and load_id != 9:
+            assert state.read_mark(spark, root, "q", before_load=load_id) == days[n - 1]
+    assert state.read_mark(spark, root, "q", before_load=9) != days[4]  # gone, load 10 has its slot
+    assert spark.read.parquet(root).count() == 4
+    assert {r["query"]: r["high_water"] for r in state.read_marks(spark, root).collect()} == {"q": days[6], "r": days[0]}
+    assert state.read_mark(spark, root, "new", START) == START
+
+
 def test_garbage_does_not_become_the_mark(spark, root):
     run(spark, root, [*DAY1, (9, "x", "garbage")], 0)
-    assert state.read_mark(spark, f"{root}/s/q", "q") == "2026-08-01 10:00:00.500000"
+    assert state.read_mark(spark, f"{root}/s", "q") == "2026-08-01 10:00:00.500000"
     assert run(spark, root, DAY2, 1) == 3
     literal = source(spark, (9, "x", "garbage")).agg(state.mark_value(well_formed_only=False)).first()[0]
     assert literal == "garbage"
@@ -92,7 +106,7 @@ def test_garbage_does_not_become_the_mark(spark, root):
 
 def test_empty_load_keeps_the_mark(spark, root):
     assert run(spark, root, [(1, "a", "2020-01-01 00:00:00")], 0) == 0
-    assert state.read_mark(spark, f"{root}/s/q", "q") == START
+    assert state.read_mark(spark, f"{root}/s", "q") == START
     assert run(spark, root, DAY1, 1) == 2
 
 

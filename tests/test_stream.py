@@ -38,7 +38,7 @@ def test_files_arrive_over_several_runs(spark, root):
     assert run_once(spark, root) == [1, 1, 5]
     arrive(spark, root, (6, "late", "2026-08-03 00:00:00"), (7, "g", "2026-08-04 00:00:00"))
     assert run_once(spark, root) == [1, 1, 5, 7]
-    assert state.read_mark(spark, f"{root}/s/q", "q") == "2026-08-04 00:00:00"
+    assert state.read_mark(spark, f"{root}/s", "q") == "2026-08-04 00:00:00"
 
 
 def test_a_repeated_batch_stores_the_same_rows(spark, root, monkeypatch):
@@ -55,7 +55,7 @@ def test_a_repeated_batch_stores_the_same_rows(spark, root, monkeypatch):
     arrive(spark, root, (1, "a", "2026-08-01 00:00:00"), (2, "b", "2026-08-09 00:00:00"))
     with pytest.raises(Exception):
         run_once(spark, root)
-    assert state.read_mark(spark, f"{root}/s/q", "q") == "2026-08-09 00:00:00"
+    assert state.read_mark(spark, f"{root}/s", "q") == "2026-08-09 00:00:00"
     fail["on"] = False
     assert run_once(spark, root) == [1, 2]
 

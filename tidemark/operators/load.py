@@ -38,7 +38,6 @@ def run_load(
     partition; it is rebalanced so that each load adds few files. The catch-up is not, it would
     shuffle the whole source.
     """
-    state = f"{state}/{query}"
     start = read_mark(spark, state, query, initial_start, before_load=load_id)
     rows = keyed_incremental(source, start, field)
     if start != initial_start:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemark.functions.times import parse_ts
 from tidemark.operators.extract import INCREMENTAL_FIELD, INITIAL_START
-from tidemark.operators.sink import LOAD, read_loads, write_load
 
 
-MARK = StructType([StructField("query", StringType()), StructField("high_water", StringType())])
+# A mark as stored: one row in a folder per query and slot.
+MARK = "high_water string, load_id bigint, query string, slot int"
 
 
 def mark_value(field: str = INCREMENTAL_FIELD, well_formed_only: bool = True) -> Column:
@@ -43,6 +43,33 @@ def advance(
     )
 
 
+def read_marks(
+    spark: SparkSession, path: str, before_load: int | None = None, query: str | None = None
+) -> DataFrame | None:
+    """The current mark of every query, or of one, with the load that set it and its slot.
+
+    `before_load` gives the marks as that load found them, for the case that it is repeated: from
+    the mark its first attempt has set, rows that only that attempt read would be lost.
+    """
+    folder = path if query is None else f"{path}/query={query}"
+    try:
+        slots = spark.read.schema(MARK).option("basePath", path).parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    if before_load is not None:
+        slots = slots.where(F.col("load_id") < before_load)
+    return slots.groupBy("query").agg(
+        F.max(F.struct("load_id", "high_water", "slot")).alias("last")
+    ).select("query", "last.*")
+
+
+def _last(spark: SparkSession, path: str, query: str, before_load: int | None):
+    marks = read_marks(spark, path, before_load, query)
+    return None if marks is None else marks.first()
+
+
 def read_mark(
     spark: SparkSession,
     path: str,
@@ -50,23 +77,21 @@ def read_mark(
     initial_start: str = INITIAL_START,
     before_load: int | None = None,
 ) -> str:
-    """The mark of one query, as it was before load `before_load`.
-
-    Repeating a load must start from the mark its first attempt saw, or rows that only that
-    attempt read would be lost.
-    """
-    loads = read_loads(spark, path, MARK)
-    if loads is None:
-        return initial_start
-    rows = loads.where(F.col("query") == query)
-    if before_load is not None:
-        rows = rows.where(F.col(LOAD) < before_load)
-    mark = rows.agg(F.max("high_water")).first()[0]
-    return mark if mark is not None else initial_start
+    """The mark of one query, the start when there is none."""
+    last = _last(spark, path, query, before_load)
+    return initial_start if last is None else last["high_water"]
 
 
 def write_mark(spark: SparkSession, path: str, query: str, high_water: str, load_id: int) -> None:
-    write_load(spark.createDataFrame([(query, high_water)], MARK).coalesce(1), path, load_id)
+    """Set the mark of one query.
+
+    A query has two slots and a load writes the one that does not hold the mark before it. So the
+    state stays two rows per query, and a write that fails leaves the earlier mark in place.
+    """
+    last = _last(spark, path, query, load_id)
+    slot = 0 if last is None else 1 - last["slot"]
+    row = spark.createDataFrame([(high_water, load_id)], "high_water string, load_id bigint")
+    row.coalesce(1).write.mode("overwrite").parquet(f"{path}/query={query}/slot={slot}")
 
 
 def late_rows(df: DataFrame, mark: str | Column, field: str = INCREMENTAL_FIELD) -> DataFrame:

@@ -51,6 +51,7 @@ def start_load(
     field: str = INCREMENTAL_FIELD,
     once: bool = False,
     interval: str = INTERVAL,
+    rows_per_file: int | None = None,
     now_ms: Callable[[], int] = lambda: int(time.time() * 1000),
 ) -> StreamingQuery:
     """Load every micro-batch: rows at or after the mark, keyed, stored, mark moved.
@@ -63,7 +64,8 @@ def start_load(
 
     def load(batch: DataFrame, batch_id: int) -> None:
         run_load(
-            batch.sparkSession, batch, query, sink, state, batch_id, initial_start, field, now_ms()
+            batch.sparkSession, batch, query, sink, state, batch_id, initial_start, field, now_ms(),
+            rows_per_file,
         )
 
     return _start(stream, load, query, checkpoint, once, interval)
