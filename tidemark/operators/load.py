@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.classify import error_class, first_line
 from tidemark.operators.extract import INCREMENTAL_FIELD, INITIAL_START, keyed_incremental
 from tidemark.operators.sink import read_load, write_load
-from tidemark.operators.state import mark_value, read_mark, write_mark
+from tidemark.operators.state import last_mark, mark_value, write_mark
 
 LEDGER = "query string, status string, rows long, seconds double, message string"
 
@@ -38,14 +38,15 @@ def run_load(
     partition; it is rebalanced so that each load adds few files. The catch-up is not, it would
     shuffle the whole source.
     """
-    start = read_mark(spark, state, query, initial_start, before_load=load_id)
+    last = last_mark(spark, state, query, before_load=load_id)
+    start = initial_start if last is None else last["high_water"]
     rows = keyed_incremental(source, start, field)
-    if start != initial_start:
+    if last is not None:
         rows = rows.hint("rebalance")
     write_load(rows, sink, load_id, updated_ms, rows_per_file)
-    stored = read_load(spark, sink, load_id)
+    stored = read_load(spark, sink, load_id, rows.schema)
     n, seen = stored.agg(F.count("*"), mark_value(field)).first()
-    write_mark(spark, state, query, max(start, seen or start), load_id)
+    write_mark(spark, state, query, max(start, seen or start), load_id, last)
     return n
 
 

@@ -79,6 +79,9 @@ def write_load(
     rows_per_file: int | None = None,
 ) -> None:
     """Store the rows of one load. Running the same load again replaces them."""
+    taken = {LOAD} if updated_ms is None else {LOAD, UPDATED}
+    if taken & {c.lower() for c in df.columns}:
+        raise ValueError(f"rows already have a column named {sorted(taken)}")
     if updated_ms is not None:
         df = df.withColumn(UPDATED, F.lit(updated_ms).cast("long"))
     writer = df.write.mode("overwrite")
@@ -105,9 +108,12 @@ def read_loads(
     return df.withColumn(LOAD, F.col(LOAD).cast("long"))
 
 
-def read_load(spark: SparkSession, path: str, load_id: int) -> DataFrame:
+def read_load(
+    spark: SparkSession, path: str, load_id: int, schema: T.StructType | None = None
+) -> DataFrame:
     """The rows of one load, reading no other."""
-    return spark.read.option("basePath", path).parquet(f"{path}/{LOAD}={load_id}")
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{path}/{LOAD}={load_id}")
 
 
 def read_table(
@@ -135,5 +141,5 @@ def compact(spark: SparkSession, path: str, target: str, key: str = "key") -> No
     rows = read_table(spark, path, key)
     if rows is None:
         raise ValueError(f"nothing stored at {path}")
-    last = rows.agg(F.max(LOAD)).first()[0]
+    last = read_loads(spark, path).agg(F.max(LOAD)).first()[0]
     write_load(rows.drop(LOAD), target, last)

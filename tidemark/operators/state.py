@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import parse_ts
@@ -43,31 +43,37 @@ def advance(
     )
 
 
-def read_marks(
-    spark: SparkSession, path: str, before_load: int | None = None, query: str | None = None
-) -> DataFrame | None:
-    """The current mark of every query, or of one, with the load that set it and its slot.
-
-    `before_load` gives the marks as that load found them, for the case that it is repeated: from
-    the mark its first attempt has set, rows that only that attempt read would be lost.
-    """
+def _slots(spark: SparkSession, path: str, query: str | None = None) -> DataFrame | None:
     folder = path if query is None else f"{path}/query={query}"
     try:
-        slots = spark.read.schema(MARK).option("basePath", path).parquet(folder)
+        return spark.read.schema(MARK).option("basePath", path).parquet(folder)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    if before_load is not None:
-        slots = slots.where(F.col("load_id") < before_load)
-    return slots.groupBy("query").agg(
-        F.max(F.struct("load_id", "high_water", "slot")).alias("last")
-    ).select("query", "last.*")
 
 
-def _last(spark: SparkSession, path: str, query: str, before_load: int | None):
-    marks = read_marks(spark, path, before_load, query)
-    return None if marks is None else marks.first()
+def read_marks(spark: SparkSession, path: str) -> DataFrame | None:
+    """The current mark of every query, with the load that set it."""
+    slots = _slots(spark, path)
+    if slots is None:
+        return None
+    last = F.max(F.struct("load_id", "high_water")).alias("last")
+    return slots.groupBy("query").agg(last).select("query", "last.*")
+
+
+def last_mark(
+    spark: SparkSession, path: str, query: str, before_load: int | None = None
+) -> Row | None:
+    """The stored mark of one query and its slot.
+
+    `before_load` gives the mark as that load found it, for the case that it is repeated: from
+    the mark its first attempt has set, rows that only that attempt read would be lost.
+    """
+    slots = _slots(spark, path, query)
+    rows = [] if slots is None else slots.collect()  # two at most
+    rows = [r for r in rows if before_load is None or r["load_id"] < before_load]
+    return max(rows, key=lambda r: r["load_id"], default=None)
 
 
 def read_mark(
@@ -78,19 +84,22 @@ def read_mark(
     before_load: int | None = None,
 ) -> str:
     """The mark of one query, the start when there is none."""
-    last = _last(spark, path, query, before_load)
+    last = last_mark(spark, path, query, before_load)
     return initial_start if last is None else last["high_water"]
 
 
-def write_mark(spark: SparkSession, path: str, query: str, high_water: str, load_id: int) -> None:
-    """Set the mark of one query.
+def write_mark(
+    spark: SparkSession, path: str, query: str, high_water: str, load_id: int, last: Row | None
+) -> None:
+    """Set the mark of one query; `last` is the `last_mark` before this load.
 
     A query has two slots and a load writes the one that does not hold the mark before it. So the
     state stays two rows per query, and a write that fails leaves the earlier mark in place.
     """
-    last = _last(spark, path, query, load_id)
     slot = 0 if last is None else 1 - last["slot"]
-    row = spark.createDataFrame([(high_water, load_id)], "high_water string, load_id bigint")
+    row = spark.range(1).select(
+        F.lit(high_water).alias("high_water"), F.lit(load_id).cast("long").alias("load_id")
+    )
     row.coalesce(1).write.mode("overwrite").parquet(f"{path}/query={query}/slot={slot}")
 
 

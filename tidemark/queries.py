@@ -6,7 +6,7 @@ from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import classify, keys, times
@@ -468,7 +468,7 @@ def expected_vs_actual(spark, sf):
 @query
 def catalog_x_rows(spark, sf):
     entries = views.catalog(spark, sf)
-    place = F.row_number().over(load_plan.Window.partitionBy().orderBy("domain", "table"))
+    place = F.row_number().over(Window.partitionBy().orderBy("domain", "table"))
     counts = views.raw_rows(spark, sf).groupBy("table").agg(F.count("*").alias("n"))
     return load_plan.catalog_x_rows(entries.withColumn("place", place), counts)
 
@@ -483,7 +483,7 @@ def order_incremental(spark, sf):
 def order_reconcile(spark, sf):
     """The report with the place of each line: one line per table."""
     report = reconcile.reconcile_counts(_expected_vs_rows(spark, sf))
-    order = load_plan.Window.partitionBy().orderBy("status", F.desc("expected_rows"), "key")
+    order = Window.partitionBy().orderBy("status", F.desc("expected_rows"), "key")
     return reconcile.order_reconcile(report.withColumn("place", F.row_number().over(order)))
 
 
