@@ -263,6 +263,15 @@ def _history_append() -> str:
     return run(1, SINCE_YESTERDAY, YESTERDAY) + " UNION ALL " + run(2, SINCE, TODAY)
 
 
+def events_days() -> str:
+    """CTE of the rows a second load stores, per event type: those at or after the first load's mark."""
+    return f"""
+type_marks AS (SELECT event_type, max("DATETIMESTAMP") AS m FROM src_events
+  WHERE ts < TIMESTAMP '{TODAY}' AND {_LATER} AND {_WELL} GROUP BY ALL),
+stored AS (SELECT *, CASE WHEN {_WELL} THEN substr("DATETIMESTAMP", 1, 10) END AS day
+  FROM src_events JOIN type_marks USING (event_type) WHERE "DATETIMESTAMP" >= m)"""
+
+
 def _line_columns(prefix: str = "") -> str:
     return ", ".join(f"{prefix}{c.split(':')[0]}" for c in COLUMNS["lineitem"].split())
 
@@ -300,11 +309,14 @@ SELECT event_type AS query, greatest(coalesce(m, '{START}'), g) AS high_water,
     sql["history_previous"] = raw + "," + HISTORY + " SELECT * FROM previous"
 
     sql["canonical_json"] = events + f"SELECT event_id, {row_json(SRC_EVENT_COLUMNS)} AS row_json FROM src_events"
+    unicode = "replace(replace(replace(raw, '&', '\\u0026'), '<', '\\u003c'), '>', '\\u003e')"
+    unicode = f"replace(replace({unicode}, chr(8232), '\\u2028'), chr(8233), '\\u2029')"
     sql["json_escape"] = f"""
 WITH texts AS (
-  SELECT 'page' AS kind, page_id AS id, {escaped('html')} AS t FROM pages
-  UNION ALL SELECT 'document', doc_id, {escaped('text')} FROM documents)
-SELECT kind, id, length(t) AS n_chars, sha256(t) AS digest FROM texts"""
+  SELECT 'pages' AS kind, page_id AS id, html AS raw FROM pages
+  UNION ALL SELECT 'documents', doc_id, text FROM documents),
+escaped AS (SELECT *, {escaped('raw')} AS t FROM texts)
+SELECT kind, id, length(t) AS n_chars, sha256(t) AS digest, sha256({unicode}) AS digest_unicode FROM escaped"""
     sql["row_key_sha256"] = events + f"SELECT {SRC_EVENT_KEY} AS key, event_id FROM src_events"
     sql["row_key_tables"] = " UNION ALL ".join(
         f"SELECT '{t}' AS \"table\", {row_key(c)} AS key FROM {t}" for t, c in COLUMNS.items()
@@ -469,6 +481,18 @@ arrived AS (SELECT *, ts + (event_id % 3) * INTERVAL 1 DAY AS arrival FROM src_e
 SELECT event_id, "DATETIMESTAMP" FROM arrived
 WHERE arrival >= TIMESTAMP '2024-01-16' AND "DATETIMESTAMP" < (
   SELECT max("DATETIMESTAMP") FROM arrived WHERE arrival < TIMESTAMP '2024-01-16' AND {_WELL})"""
+    sql["inspect_stored"] = f"""WITH {SRC_EVENTS}, {CATALOG}, {events_days()},
+per_table AS (
+  SELECT 'tb_' || event_type AS "table", count(*) AS rows_today, count(DISTINCT event_id) AS unique_keys,
+    count(*) FILTER (WHERE day = '{TODAY}') AS source_day_today,
+    count(*) FILTER (WHERE day <> '{TODAY}') AS source_day_before,
+    count(*) FILTER (WHERE day IS NULL) AS source_day_missing FROM stored GROUP BY ALL)
+SELECT domain, view, "table", tier, coalesce(rows_today, 0) AS rows_today, coalesce(unique_keys, 0) AS unique_keys,
+  coalesce(source_day_today, 0) AS source_day_today, coalesce(source_day_before, 0) AS source_day_before,
+  coalesce(source_day_missing, 0) AS source_day_missing,
+  CASE WHEN rows_today IS NULL THEN 'MISSING' ELSE 'OK' END AS status,
+  CASE WHEN rows_today > 0 AND source_day_before > source_day_today THEN '~re-upsert/catch-up' ELSE '' END AS flag
+FROM catalog LEFT JOIN per_table USING ("table")"""
     ledger = f"""
 SELECT 'events' AS query, 'success' AS status, count(*) AS "rows", NULL AS error_class
 FROM src_events WHERE {_LATER}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import classify, keys, times
-from tidemark.operators import extract, history, load, reconcile, sink, state, stats
+from tidemark.operators import extract, history, inspect, load, reconcile, sink, state, stats
 from tidemark.plans import load_plan
 from tidemark.session import configure, work_dir
 from tidemark.sources import views
@@ -142,12 +142,14 @@ def canonical_json(spark, sf):
 @query
 def json_escape(spark, sf):
     texts = _union([
-        table(spark, sf, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("t")),
-        table(spark, sf, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("t")),
+        table(spark, sf, name).select(F.lit(name).alias("kind"), F.col(i).alias("id"), F.col(text).alias("t"))
+        for name, i, text in (("pages", "page_id", "html"), ("documents", "doc_id", "text"))
     ])
     escaped = keys.json_escape(F.col("t"))
+    unicode = keys.json_escape(F.col("t"), separators="unicode")
     return texts.select(
-        "kind", "id", F.length(escaped).alias("n_chars"), F.sha2(escaped, 256).alias("digest")
+        "kind", "id", F.length(escaped).alias("n_chars"), F.sha2(escaped, 256).alias("digest"),
+        F.sha2(unicode, 256).alias("digest_unicode"),
     )
 
 
@@ -476,7 +478,8 @@ def catalog_x_rows(spark, sf):
 @query
 def order_incremental(spark, sf):
     fresh = extract.incremental_filter(views.src_events(spark, sf), START)
-    return extract.order_incremental(fresh.select("DATETIMESTAMP", "event_id", "event_type"), "DATETIMESTAMP", "event_id")
+    columns = fresh.select("DATETIMESTAMP", "event_id", "event_type")
+    return extract.order_incremental(columns, "DATETIMESTAMP", "event_id")
 
 
 @query
@@ -654,3 +657,26 @@ def smoke_run(spark, sf):
     loads.append(one("absent", lambda: table(spark, sf, "absent")))
     loads.append(one("no_such_column", lambda: table(spark, sf, "orders").where("no_such_column = 1")))
     return load.run_all(spark, loads, parallel=4).select("query", "status", "rows", "error_class")
+
+
+@query
+def inspect_stored(spark, sf):
+    """A table per event type, loaded before and after the start of 20 January, and inspected."""
+    root = work_dir(spark, "inspect")
+    events = views.src_events(spark, sf)
+    kinds = [r[0] for r in events.select("event_type").distinct().collect()]
+    early = F.col("ts") < F.lit(TODAY).cast("timestamp_ntz")
+
+    def one(kind):
+        rows = events.where(F.col("event_type") == kind)
+        args = f"{root}/tb_{kind}", f"{root}/state"
+
+        def go():
+            load.run_load(spark, rows.where(early), kind, *args, 0, START, updated_ms=SINCE - 1)
+            return load.run_load(spark, rows, kind, *args, 1, START, updated_ms=SINCE + 1)
+        return kind, go
+
+    load.run_all(spark, [one(k) for k in kinds], parallel=4)
+    tables = {f"tb_{k}": f"{root}/tb_{k}" for k in kinds}
+    found = inspect.inspect_tables(spark, views.catalog(spark, sf), tables, SINCE, TODAY)
+    return found.drop("top_source_days", "error")
