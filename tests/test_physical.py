@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from tidemark.functions import keys
-from tidemark.operators import extract, sink, stats
+from tidemark.operators import extract, inspect, sink, stats
 from tidemark.sources import views
 
 SF = "/root/testdata/sf0.001"
@@ -70,6 +70,33 @@ def test_distinct_keys_shuffle_by_key(spark):
     assert "hashpartitioning(table" in plan(stats.unique_keys(rows)) and "key#" in plan(stats.unique_keys(rows)).split("hashpartitioning(table")[2][:30]
 
 
+def test_a_shared_value_is_sorted_by_several_tasks(spark):
+    df = spark.range(0, 20_000, numPartitions=4).select(
+        F.col("id"), F.when(F.col("id") % 3 == 0, "2026-08-01").otherwise(F.col("id").cast("string")).alias("t"))
+    ordered = extract.order_incremental(df, "t")
+    spread = ordered.where("t = '2026-08-01'").groupBy(F.spark_partition_id()).count()
+    assert [r["t"] for r in ordered.collect()] == sorted(r["t"] for r in df.collect())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert spread.count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_inspection_shuffles_stored_rows_once(spark, tmp_path):
+    rows = spark.range(20).select(
+        F.col("id").cast("string").alias("key"), F.lit("2026-08-01 00:00:00").alias("DATETIMESTAMP"), F.lit(1).alias("wide"))
+    for name in "ab":
+        sink.write_load(rows, f"{tmp_path}/{name}", 0, 10)
+    catalog = spark.createDataFrame([("d", n, n, "1") for n in "ab"], "domain string, view string, table string, tier string")
+    found = inspect.inspect_tables(spark, catalog, {n: f"{tmp_path}/{n}" for n in "ab"}, 5, "2026-08-01")
+    assert found.collect()[0]["rows_today"] == 20
+    text = plan(found)
+    final = text[:text.index("Initial Plan")]
+    assert "ReusedExchange" in final and "wide" not in final
+    assert "GreaterThanOrEqual(last_updated_time,5)" in final
+
+
 def test_latest_loads_only(spark, tmp_path):
     for load_id in range(3):
         sink.write_load(spark.range(5).select(F.col("id").cast("string").alias("key")), f"{tmp_path}/t", load_id)

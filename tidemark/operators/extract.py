@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.keys import business_key, single_column_key, with_key
 from tidemark.functions.times import parse_ts
+from tidemark.operators.sink import unordered
 
 # The incremental field, the first start and the sample size.
 INCREMENTAL_FIELD = "DATETIMESTAMP"
@@ -86,7 +87,13 @@ def take_sample(df: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
 
 
 def order_incremental(df: DataFrame, field: str = INCREMENTAL_FIELD, *ties: str) -> DataFrame:
-    """Total order by the incremental field. A range shuffle: use it to read in order, not to load."""
+    """Total order by the incremental field. A range shuffle: use it to read in order, not to load.
+
+    Equal values are ordered by `ties`, else by a hash of the row, so that a value shared by many
+    rows can be split over tasks.
+    """
+    if not ties:
+        ties = (F.xxhash64(*[df[f"`{f.name}`"] for f in df.schema.fields if not unordered(f.dataType)]),)
     return df.orderBy(F.col(field).asc(), *ties)
 
 

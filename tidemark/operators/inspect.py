@@ -32,7 +32,7 @@ def stored_rows(
     parts, present, failed = [], [], []
     for table, path in tables.items():
         try:
-            loads = read_loads(spark, path)
+            loads = read_loads(spark, path, merge=False)  # these columns are in every load
             if loads is None:
                 continue
             value = F.col(field).cast("string") if field in loads.columns else F.lit(None).cast("string")

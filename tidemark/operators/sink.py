@@ -27,7 +27,7 @@ def last_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[str])
     """
     keys = [key] if isinstance(key, str) else list(key)
     rest = [c for c in df.columns if c not in keys and c not in order]
-    if any(_unordered(f.dataType) for f in df.schema.fields if f.name in rest):
+    if any(unordered(f.dataType) for f in df.schema.fields if f.name in rest):
         row = F.max_by(F.struct(*order, *rest), F.struct(*order))
     else:
         row = F.max(F.struct(*order, *rest))
@@ -35,12 +35,12 @@ def last_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[str])
     return picked.select(*[c if c in keys else F.col("row").getField(c).alias(c) for c in df.columns])
 
 
-def _unordered(dtype: T.DataType) -> bool:
+def unordered(dtype: T.DataType) -> bool:
     """Whether values of a type cannot be compared."""
     if isinstance(dtype, T.StructType):
-        return any(_unordered(f.dataType) for f in dtype.fields)
+        return any(unordered(f.dataType) for f in dtype.fields)
     if isinstance(dtype, T.ArrayType):
-        return _unordered(dtype.elementType)
+        return unordered(dtype.elementType)
     return isinstance(dtype, (T.MapType, T.VariantType))
 
 
@@ -91,14 +91,15 @@ def write_load(
 
 
 def read_loads(
-    spark: SparkSession, path: str, schema: T.StructType | None = None
+    spark: SparkSession, path: str, schema: T.StructType | None = None, merge: bool = True
 ) -> DataFrame | None:
     """All loads of a table, or None when nothing was ever stored.
 
-    Sources may gain columns, so by default the schemas of all loads are merged; a given
-    `schema` spares reading every footer for that.
+    Sources may gain columns, so by default the schemas of all loads are merged, which reads
+    every footer. A given `schema` spares that; so does `merge=False`, which takes the columns of
+    any one file.
     """
-    reader = spark.read.option("mergeSchema", "true") if schema is None else spark.read.schema(schema)
+    reader = spark.read.option("mergeSchema", merge) if schema is None else spark.read.schema(schema)
     try:
         df = reader.parquet(path)
     except AnalysisException as e:
