@@ -53,6 +53,24 @@ def test_any_values_match_the_long_way(spark, rows):
         assert a == b
 
 
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_decimals_and_floats_match_the_long_way(spark, ansi):
+    values = ["0", "1", "-1", "100", "0.5", "-0.50", "123.456789", "0.000001", "-0.0000001", "99999", "1e-18",
+              "10.10", "100000", "0.1", "3.4028235", "1e-5", "null"]
+    columns = [f"try_cast(v as decimal({p},{s})) as d{p}_{s}"
+               for p, s in ((5, 0), (20, 0), (38, 0), (9, 2), (18, 3), (38, 6), (20, 7), (38, 18))]
+    columns += ["cast(try_cast(v as double) as float) as f", "cast(try_cast(v as double) * 1e30 as float) as g",
+                "cast(try_cast(v as double) / 1e30 as float) as h", "cast(try_cast(v as double) * 12345677 as float) as i"]
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        df = spark.createDataFrame([(v,) for v in values], "v string").selectExpr(*columns)
+        big = spark.sql("select cast('99999999999999999999999999999999999999' as decimal(38,0)) as a, float('nan') as b, float('-inf') as c")
+        for a, b in both(df) + both(big):
+            assert a == b
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
 def test_members_are_in_byte_order_and_nulls_kept(spark):
     df = spark.sql("select 1 as b, cast(null as string) as C, 2 as `é`, 3 as a, cast(null as double) as _x")
     text = df.select(keys.canonical_json(df)).first()[0]

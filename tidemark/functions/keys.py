@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
 
-NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)
+INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)
 TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 TEXTS = (T.StringType, T.BinaryType)
 
@@ -28,15 +28,28 @@ def _quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def _double_text(c: Column) -> Column:
-    """A double as canonical JSON: `23.0` is `23`, exponents stay, NaN and infinities are strings."""
+def _number_text(c: Column, dtype: T.DataType) -> Column | None:
+    """A number as canonical JSON, null for null; None for types that need the detour.
+
+    `23.0` is `23`, `1.50` is `1.5`. Doubles keep their exponents, floats print theirs as doubles
+    do, NaN and infinities are strings. Decimals of more than six places can print with an
+    exponent, so they are left to the detour.
+    """
     text = c.cast("string")
-    return (
+    if isinstance(dtype, INTEGERS):
+        return text
+    if isinstance(dtype, T.DecimalType) and dtype.scale <= 6:
+        return text if dtype.scale == 0 else F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
+    if not isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return None
+    number = (
         F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), F.concat(F.lit('"'), text, F.lit('"')))
         .when(c == 0, F.lit("0"))
         .when(text.endswith(".0"), text.substr(F.lit(1), F.length(text) - 2))
-        .otherwise(text)
     )
+    if isinstance(dtype, T.FloatType):
+        number = number.when(text.contains("E"), text.cast("double").cast("string"))
+    return number.otherwise(text)
 
 
 def _inside(json_object: Column, skip: int = 1) -> Column:
@@ -58,8 +71,8 @@ def _members(
     """Escaped JSON members, one or several columns each, in byte order of the names.
 
     Numbers are printed by a cast, which is far cheaper than a JSON writer. Adjacent texts share
-    one `to_json`, and so do adjacent times. Decimals, floats and nested values take the detour
-    over VARIANT, which drops trailing zeros and sorts nested members. Numbers and times hold
+    one `to_json`, and so do adjacent times. Nested values and long decimals take the detour over
+    VARIANT, which drops trailing zeros and sorts nested members. Numbers and times hold
     none of the escaped characters, so only free text and odd names are searched for them.
     """
     names = list(columns) if columns is not None else df.columns
@@ -90,10 +103,9 @@ def _members(
             run.append(name)
             continue
         close_run()
-        if isinstance(dtype, T.DoubleType):
-            members.append(labelled(name, F.coalesce(_double_text(c), F.lit("null"))))
-        elif isinstance(dtype, NUMBERS):
-            members.append(labelled(name, F.coalesce(c.cast("string"), F.lit("null"))))
+        number = _number_text(c, dtype)
+        if number is not None:
+            members.append(labelled(name, F.coalesce(number, F.lit("null"))))
         else:
             members.append(escape(_inside(F.to_json(F.parse_json(_printed(c))))))
     close_run()
