@@ -50,6 +50,7 @@ def test_tier_volume_summary(tables):
     assert got == {
         "5": (3, 10_064_072_150), "4": (12, 5_258_346_885), "3": (27, 831_272_603),
         "2": (33, 104_032_536), "1": (51, 5_599_171), "?": (23, None),
+        "total": (126, 16_263_323_345),
     }
     pct = {r["tier"]: r["pct"] for r in load_plan.tier_volume_summary(tables).collect()}
     assert round(pct["5"], 1) == 61.9 and round(pct["4"], 1) == 32.3 and pct["?"] is None
@@ -69,9 +70,10 @@ def test_split_reproduces_the_three_extractors(tables, erp):
     recorded = {1: views[:49], 2: views[49:99], 3: views[99:]}
     assert {w: {v for v in got if got[v] == w} for w in (1, 2, 3)} == {w: set(v) for w, v in recorded.items()}
 
-    totals = assigned.groupBy("worker").agg(F.sum("n").alias("n")).collect()
-    assert {r["worker"]: r["n"] for r in totals} == {1: 7_092_911_449, 2: 5_031_468_909, 3: 4_138_942_987}
-    items = {(r["worker"], r["tier"]): r["items"] for r in load_plan.split_summary(assigned).collect()}
+    summary = load_plan.split_summary(assigned).collect()
+    totals = {r["worker"]: (r["items"], r["rows"]) for r in summary if r["tier"] == "total"}
+    assert totals == {1: (49, 7_092_911_449), 2: (50, 5_031_468_909), 3: (50, 4_138_942_987)}
+    items = {(r["worker"], r["tier"]): r["items"] for r in summary}
     for tier, counts in {"5": (1, 1, 1), "4": (4, 4, 4), "3": (9, 9, 9), "2": (11, 11, 11),
                          "1": (17, 17, 17), "?": (7, 8, 8)}.items():
         assert tuple(items[w, tier] for w in (1, 2, 3)) == counts

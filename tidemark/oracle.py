@@ -401,7 +401,8 @@ SELECT count(*) AS tables, CAST(sum(rows_today) FILTER (WHERE status = 'OK') AS
   count(*) FILTER (WHERE status <> 'OK') AS errors FROM stats"""
     sql["tier_volume_summary"] = volumes + """
 SELECT tier, count(*) AS views, CAST(sum(n) AS BIGINT) AS "rows",
-  CAST(sum(n) AS DOUBLE) * 100 / (SELECT sum(n) FROM volumes) AS pct FROM volumes GROUP BY tier"""
+  CAST(sum(n) AS DOUBLE) * 100 / (SELECT sum(n) FROM volumes) AS pct FROM volumes GROUP BY tier
+UNION ALL SELECT 'total', count(n), CAST(sum(n) AS BIGINT), 100 FROM volumes"""
     sql["volume_concentration"] = volumes + """
 SELECT CAST(row_number() OVER w AS INTEGER) AS top, name, n,
   CAST(sum(n) OVER w AS DOUBLE) * 100 / (SELECT sum(n) FROM volumes) AS cum_pct
@@ -464,7 +465,8 @@ SELECT coalesce(a.t, b.t) AS "table", a.k AS legacy_key, b.k AS live_key,
     sql["balanced_split"] = SPLIT + " SELECT name, tier, n, worker FROM assigned"
     sql["split_summary"] = SPLIT + """
 SELECT worker, tier, count(*) AS items, CAST(coalesce(sum(n), 0) AS BIGINT) AS "rows"
-FROM assigned GROUP BY ALL"""
+FROM assigned GROUP BY worker, tier
+UNION ALL SELECT worker, 'total', count(*), CAST(sum(n) AS BIGINT) FROM assigned GROUP BY worker"""
     sql["split_order"] = SPLIT + f"""
 SELECT worker, {queue.replace('OVER (', 'OVER (PARTITION BY worker ')} AS queue_place, name, tier FROM assigned"""
 

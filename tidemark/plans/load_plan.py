@@ -16,20 +16,31 @@ from pyspark.sql import functions as F
 from tidemark.functions.classify import LOAD_ORDER, SPLIT_ORDER, tier_of_volume, tier_rank
 
 
-def with_tier(tables: DataFrame, **bounds) -> DataFrame:
-    return tables.withColumn("tier", tier_of_volume(F.col("n"), **bounds))
+TOTAL = "total"
 
 
-def _total(column: str):
-    return F.sum(F.sum(column)).over(Window.partitionBy())
+def with_tier(tables: DataFrame, **bounds) -> DataFrame:
+    return tables.withColumn("tier", tier_of_volume(F.col("n"), **bounds))
 
 
 def tier_volume_summary(tables: DataFrame) -> DataFrame:
-    """Tables, rows and share of the counted rows per tier; a tier never counted has null rows."""
-    return tables.groupBy("tier").agg(
+    """Tables, rows and share of the counted rows per tier, and in total over the counted tables.
+
+    A tier never counted has null rows.
+    """
+    grouped = tables.rollup("tier").agg(
+        F.grouping("tier").alias("all"),
         F.count("*").alias("views"),
+        F.count("n").alias("counted"),
         F.sum("n").alias("rows"),
-        (F.sum("n").cast("double") * 100 / _total("n")).alias("pct"),
+    )
+    overall = F.col("all") == 1
+    total = F.max(F.when(overall, F.col("rows"))).over(Window.partitionBy())
+    return grouped.select(
+        F.when(overall, TOTAL).otherwise(F.col("tier")).alias("tier"),
+        F.when(overall, F.col("counted")).otherwise(F.col("views")).alias("views"),
+        "rows",
+        (F.col("rows").cast("double") * 100 / total).alias("pct"),
     )
 
 
@@ -86,8 +97,12 @@ def balanced_split(tables: DataFrame, workers: int, plan: str | None = None) ->
 
 
 def split_summary(assigned: DataFrame) -> DataFrame:
-    return assigned.groupBy("worker", "tier").agg(
-        F.count("*").alias("items"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")
+    """Tables and rows per worker and tier, and per worker in total."""
+    return assigned.rollup("worker", "tier").agg(
+        F.grouping("worker").alias("all"), F.grouping("tier").alias("whole"),
+        F.count("*").alias("items"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+    ).where("all = 0").select(
+        "worker", F.when(F.col("whole") == 1, TOTAL).otherwise(F.col("tier")).alias("tier"), "items", "rows"
     )
 
 

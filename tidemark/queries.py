@@ -492,7 +492,8 @@ def order_reconcile(spark, sf):
 
 @query
 def tier_sort(spark, sf):
-    by_tier = load_plan.tier_volume_summary(_volumes(spark, sf)).select("tier", "views", "rows")
+    summary = load_plan.tier_volume_summary(_volumes(spark, sf))
+    by_tier = summary.where(F.col("tier") != load_plan.TOTAL).select("tier", "views", "rows")
     rank = classify.tier_rank(F.col("tier"))
     return stats.tier_sort(by_tier.withColumn("rank", rank))
 
