@@ -9,8 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-KEEP_NULLS = {"ignoreNullFields": "false"}
-
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)
 TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 TEXTS = (T.StringType, T.BinaryType)
@@ -24,32 +22,42 @@ SEPARATOR_ESCAPES = {
 }
 
 
+def _sql_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(_sql_name(name))
 
 
-def _number_text(c: Column, dtype: T.DataType) -> Column | None:
-    """A number as canonical JSON, null for null; None for types that need the detour.
+def _number_text(name: str, dtype: T.DataType) -> Column | None:
+    """A number as canonical JSON text; None for types that need the detour.
 
     `23.0` is `23`, `1.50` is `1.5`. Doubles keep their exponents, floats print theirs as doubles
     do, NaN and infinities are strings. Decimals of more than six places can print with an
-    exponent, so they are left to the detour.
+    exponent, so they are left to the detour. Written as SQL: a wide table has hundreds of
+    columns, and each function call costs the driver a round trip.
     """
-    text = c.cast("string")
-    if isinstance(dtype, INTEGERS):
-        return text
+    c = _sql_name(name)
+    text = f"string({c})"
     if isinstance(dtype, T.DecimalType) and dtype.scale <= 6:
-        return text if dtype.scale == 0 else F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
-    if not isinstance(dtype, (T.DoubleType, T.FloatType)):
+        if dtype.scale > 0:
+            text = f"rtrim('.', rtrim('0', {text}))"
+    elif isinstance(dtype, (T.DoubleType, T.FloatType)):
+        exponent = f"WHEN contains({text}, 'E') THEN string(double({text}))"
+        text = f"""CASE
+            WHEN isnan({c}) OR abs({c}) = double('Infinity') THEN concat('"', {text}, '"')
+            WHEN {c} = 0 THEN '0'
+            WHEN endswith({text}, '.0') THEN substr({text}, 1, length({text}) - 2)
+            {exponent if isinstance(dtype, T.FloatType) else ""}
+            ELSE {text} END"""
+    elif not isinstance(dtype, INTEGERS):
         return None
-    number = (
-        F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), F.concat(F.lit('"'), text, F.lit('"')))
-        .when(c == 0, F.lit("0"))
-        .when(text.endswith(".0"), text.substr(F.lit(1), F.length(text) - 2))
-    )
-    if isinstance(dtype, T.FloatType):
-        number = number.when(text.contains("E"), text.cast("double").cast("string"))
-    return number.otherwise(text)
+    return F.expr(f"coalesce({text}, 'null')")
+
+
+def _printed(*members: str) -> Column:
+    return F.expr(f"to_json(struct({', '.join(members)}), map('ignoreNullFields', 'false'))")
 
 
 def _inside(json_object: Column, skip: int = 1) -> Column:
@@ -57,10 +65,6 @@ def _inside(json_object: Column, skip: int = 1) -> Column:
     return json_object.substr(F.lit(skip + 1), F.length(json_object) - skip - 1)
 
 
-def _printed(*columns: Column) -> Column:
-    return F.to_json(F.struct(*columns), KEEP_NULLS)
-
-
 def _special(name: str) -> bool:
     return any(char in name for escapes in (HTML_ESCAPES, *SEPARATOR_ESCAPES.values()) for char, _ in escapes)
 
@@ -87,27 +91,26 @@ def _members(
         return F.concat(escape(label) if _special(name) else label, value)
 
     def close_run() -> None:
-        if len(run) == 1:
-            value = _inside(_printed(_quoted(run[0]).alias("v")), skip=5)
-            free = isinstance(types[run[0]], TEXTS)
-            members.append(labelled(run[0], escape(value) if free else value))
+        if len(run) == 1:  # the name need not be searched
+            value = _inside(_printed(f"{_sql_name(run[0])} AS v"), skip=5)
+            members.append(labelled(run[0], escape(value) if isinstance(types[run[0]], TEXTS) else value))
         elif run:
-            members.append(escape(_inside(_printed(*map(_quoted, run)))))
+            members.append(escape(_inside(_printed(*map(_sql_name, run)))))
         run.clear()
 
     for name in sorted(names, key=lambda n: n.encode("utf-8")):
-        c, dtype = _quoted(name), types[name]
+        dtype = types[name]
         if isinstance(dtype, TEXTS + TIMES):
             if run and isinstance(dtype, TEXTS) != isinstance(types[run[0]], TEXTS):
                 close_run()
             run.append(name)
             continue
         close_run()
-        number = _number_text(c, dtype)
+        number = _number_text(name, dtype)
         if number is not None:
-            members.append(labelled(name, F.coalesce(number, F.lit("null"))))
+            members.append(labelled(name, number))
         else:
-            members.append(escape(_inside(F.to_json(F.parse_json(_printed(c))))))
+            members.append(escape(_inside(F.to_json(F.parse_json(_printed(_sql_name(name)))))))
     close_run()
     return members
 
