@@ -13,6 +13,7 @@ from tidemark.functions.times import source_day
 from tidemark.operators.extract import INCREMENTAL_FIELD
 from tidemark.operators.sink import LOAD, UPDATED, last_per_key, read_loads
 from tidemark.operators.stats import table_stats
+from tidemark.session import in_parallel
 
 ROWS = "table string, key string, last_updated_time bigint, value string"
 
@@ -22,30 +23,37 @@ def stored_rows(
     tables: Mapping[str, str],
     since_ms: int | None = None,
     field: str = INCREMENTAL_FIELD,
+    parallel: int = 8,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows of many stored tables, the tables that exist, and those that could not be opened.
 
     All tables become one DataFrame and are collapsed to one row per table and key by one
     shuffle. Later loads carry later times, so the time filter may come before the collapse: a
-    key updated since then has its latest row among the rows kept.
+    key updated since then has its latest row among the rows kept. `parallel` folders are opened
+    at a time.
     """
-    parts, present, failed = [], [], []
-    for table, path in tables.items():
+
+    def open_table(item: tuple[str, str]) -> tuple[str, DataFrame | None, str | None]:
+        table, path = item
         try:
             loads = read_loads(spark, path, merge=False)  # these columns are in every load
             if loads is None:
-                continue
+                return table, None, None
             value = F.col(field).cast("string") if field in loads.columns else F.lit(None).cast("string")
-            part = loads.where(F.col("key").isNotNull())
+            kept = loads.where(F.col("key").isNotNull())
             if since_ms is not None:
-                part = part.where(F.col(UPDATED) >= since_ms)
-            parts.append(part.select(F.lit(table).alias("table"), "key", UPDATED, value.alias("value"), LOAD))
-            present.append((table,))
+                kept = kept.where(F.col(UPDATED) >= since_ms)
+            tagged = kept.select(F.lit(table).alias("table"), "key", UPDATED, value.alias("value"), LOAD)
+            return table, tagged, None
         except Exception as e:  # a table that cannot be opened is reported, the others go on
-            failed.append((table, str(e).split("\n", 1)[0]))
+            return table, None, str(e).split("\n", 1)[0]
+
+    opened = in_parallel(spark, open_table, tables.items(), parallel)
+    parts = [part for _, part, _ in opened if part is not None]
+    present = [(table,) for table, part, _ in opened if part is not None]
+    failed = [(table, message) for table, _, message in opened if message is not None]
     if parts:
-        tagged = reduce(DataFrame.unionByName, parts)
-        rows = last_per_key(tagged, ["table", "key"], [LOAD]).drop(LOAD)
+        rows = last_per_key(reduce(DataFrame.union, parts), ["table", "key"], [LOAD]).drop(LOAD)
     else:
         rows = spark.createDataFrame([], ROWS)
     rows = rows.withColumn("source_day", source_day(F.col("value"))).drop("value")

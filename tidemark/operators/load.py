@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterable
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +12,7 @@ from tidemark.functions.classify import error_class, first_line
 from tidemark.operators.extract import INCREMENTAL_FIELD, INITIAL_START, keyed_incremental
 from tidemark.operators.sink import read_load, write_load
 from tidemark.operators.state import last_mark, mark_value, write_mark
+from tidemark.session import in_parallel
 
 LEDGER = "query string, status string, rows long, seconds double, message string"
 
@@ -70,9 +69,7 @@ def run_all(
         status = "failure" if message else "success"
         return query, status, rows, time.monotonic() - started, message
 
-    with ThreadPoolExecutor(parallel) as pool:
-        ledger = list(pool.map(inheritable_thread_target(spark)(run), loads))
-    return spark.createDataFrame(ledger, LEDGER).select(
+    return spark.createDataFrame(in_parallel(spark, run, loads, parallel), LEDGER).select(
         "query", "status", "rows", "seconds",
         F.when(F.col("message").isNotNull(), error_class(F.col("message"))).alias("error_class"),
         first_line(F.col("message")).alias("message"),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.classify import reconcile_status
 from tidemark.operators.extract import scan_view
+from tidemark.session import in_parallel
 
 COUNTED = "place int, label string, source string, n long, status string, message string, seconds double"
 
@@ -29,31 +30,35 @@ def count_many(
     spark: SparkSession,
     targets: Iterable[tuple[str, str, Sequence[str]]],
     isolate: bool = False,
+    parallel: int = 8,
 ) -> DataFrame:
     """Row counts of `(label, source, columns)` targets, one row each, in one job.
 
     `columns` are columns the source must have, `place` is the place of a target in the list. A
     target that cannot be resolved (absent source, absent column) becomes a row with a null count
     and the first line of its error. With `isolate` every target is counted and timed on its own,
-    so that a failure while reading is also confined to its row.
+    so that a failure while reading is also confined to its row. `parallel` targets are opened,
+    or counted, at a time.
     """
-    counted, rows = [], []
-    for place, (label, source, columns) in enumerate(targets):
+
+    def count(item: tuple[int, tuple[str, str, Sequence[str]]]) -> DataFrame | tuple:
+        place, (label, source, columns) = item
         started = time.monotonic()
         try:
             counts = scan_view(spark, source).select(*columns).agg(F.count("*").alias("n"))
             if isolate:
-                n = counts.first()["n"]
-                rows.append((place, label, source, n, "OK", None, time.monotonic() - started))
-            else:
-                counted.append(counts.select(
-                    F.lit(place).alias("place"), F.lit(label).alias("label"),
-                    F.lit(source).alias("source"), "n", F.lit("OK").alias("status"),
-                    F.lit(None).cast("string").alias("message"),
-                    F.lit(None).cast("double").alias("seconds"),
-                ))
+                return place, label, source, counts.first()["n"], "OK", None, time.monotonic() - started
+            return counts.select(
+                F.lit(place).alias("place"), F.lit(label).alias("label"),
+                F.lit(source).alias("source"), "n", F.lit("OK").alias("status"),
+                F.lit(None).cast("string").alias("message"), F.lit(None).cast("double").alias("seconds"),
+            )
         except Exception as e:  # any failure of one target belongs to that target
-            rows.append((place, label, source, None, *_failure(e), time.monotonic() - started))
+            return place, label, source, None, *_failure(e), time.monotonic() - started
+
+    results = in_parallel(spark, count, enumerate(targets), parallel)
+    counted = [r for r in results if isinstance(r, DataFrame)]
+    rows = [r for r in results if not isinstance(r, DataFrame)]
     if rows or not counted:
         counted.append(spark.createDataFrame(rows, COUNTED))
     return reduce(DataFrame.unionByName, counted)

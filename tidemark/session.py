@@ -4,10 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
+Item = TypeVar("Item")
+Result = TypeVar("Result")
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Pin the time zone: keys contain printed timestamps, so they depend on it."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -37,3 +45,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def in_parallel(
+    spark: SparkSession, fn: Callable[[Item], Result], items: Iterable[Item], parallel: int
+) -> list[Result]:
+    """`fn` of every item in order, `parallel` at a time: for many small jobs on many tables."""
+    with ThreadPoolExecutor(parallel) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(fn), items))
