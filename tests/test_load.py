@@ -3,6 +3,8 @@
 import uuid
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions import keys
@@ -131,6 +133,30 @@ def test_last_write_wins_and_time_moves(spark, root):
     assert rows == {"k1": "z", "k2": "c"}
 
 
+ROWS = st.lists(st.tuples(
+    st.sampled_from("abc") | st.none(), st.integers(0, 3), st.integers(0, 2) | st.none()), max_size=30)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(ROWS, ROWS)
+def test_upsert_against_a_dictionary(spark, first, second):
+    """Last write per key, ties by value; applying a batch twice, or both at once, is the same."""
+    schema = "key string, seq int, v int"
+    old, new = spark.createDataFrame(first, schema), spark.createDataFrame(second, schema)
+    want = {}
+    for key, seq, v in sorted(first + second, key=lambda r: (r[1], -1 if r[2] is None else r[2])):
+        if key is not None:
+            want[key] = (seq, v)
+
+    def rows(df):
+        return {r["key"]: (r["seq"], r["v"]) for r in df.collect()}
+
+    empty = old.limit(0)
+    stored = sink.upsert(sink.upsert(empty, old, "key", ["seq"]), new, "key", ["seq"])
+    assert rows(stored) == rows(sink.upsert(stored, new, "key", ["seq"])) == want
+    assert rows(sink.upsert(empty, old.unionByName(new), "key", ["seq"])) == want
+
+
 def test_null_keys_are_set_aside(spark):
     df = spark.createDataFrame([("k", 1), (None, 2), (None, 3)], "key string, v int")
     assert sink.upsert(df.limit(0), df, "key", ["v"]).count() == 1

@@ -111,6 +111,16 @@ def test_parse_ts(spark):
         assert got == (want.strftime("%Y-%m-%d %H:%M:%S.%f") if want else None), text
 
 
+def test_parse_ts_equals_trying_both_formats(spark):
+    texts = ["2024-01-01 00:00:00", "2024-01-01 00:00:00.1", "2024-01-01 00:00:00.1234567", "2024-01-01 00:00:00.",
+             "2024-01-01 00:00", ".", "2024-01-01. 00:00:00", "+12024-01-01 00:00:00", " 2024-01-01 00:00:00", "-1",
+             "2024-06-31 00:00:00.000000", "2024-01-01 24:00:00", "2024-01-01 23:59:60.0", None]
+    c = F.col("t")
+    both = F.coalesce(F.try_to_timestamp(c, F.lit(times.MICROS_FORMAT)), F.try_to_timestamp(c, F.lit(times.SECONDS_FORMAT)))
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(2)
+    assert df.where(~both.eqNullSafe(times.parse_ts(c))).count() == 0
+
+
 def test_day_start():
     noon = datetime(2024, 7, 1, 12, tzinfo=timezone.utc)
     assert times.day_start_ms(noon) == 1719792000000

@@ -30,11 +30,13 @@ MIN_SECONDS = -62135596800.0  # 0001-01-01
 
 
 def parse_ts(text: Column) -> Column:
-    """Text with or without six fraction digits as a timestamp; anything else is null."""
-    return F.coalesce(
-        F.try_to_timestamp(text, F.lit(MICROS_FORMAT)),
-        F.try_to_timestamp(text, F.lit(SECONDS_FORMAT)),
-    )
+    """Text with or without fraction digits as a timestamp; anything else is null.
+
+    The point decides which of the two formats can fit, so only that one is tried.
+    """
+    return F.when(
+        text.contains("."), F.try_to_timestamp(text, F.lit(MICROS_FORMAT))
+    ).otherwise(F.try_to_timestamp(text, F.lit(SECONDS_FORMAT)))
 
 
 def source_day(text: Column) -> Column:
