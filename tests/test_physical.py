@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from tidemark.functions import keys
-from tidemark.operators import extract, inspect, sink, stats
+from tidemark.operators import extract, inspect, load, sink, stats
 from tidemark.sources import views
 
 SF = "/root/testdata/sf0.001"
@@ -36,6 +36,17 @@ def test_mark_reaches_the_scan_and_prunes(stored):
     assert 0 < plain.count() < stored.count()
 
 
+def test_load_of_a_partitioned_source(spark, stored, tmp_path):
+    """The day column prunes partitions and is not part of the row."""
+    for name, source, day in (("a", stored, "day"), ("b", stored.drop("day"), None)):
+        load.run_load(spark, source, name, f"{tmp_path}/{name}", f"{tmp_path}/s", 0, views.START, day_column=day)
+    a, b = (sink.read_table(spark, f"{tmp_path}/{n}") for n in "ab")
+    assert a.columns == b.columns
+    assert a.count() > 0 and a.exceptAll(b).count() == b.exceptAll(a).count() == 0
+    text = plan(extract.keyed_incremental(stored, views.START, day_column="day"))
+    assert "PartitionFilters: [isnotnull(day" in text and "sha2" in text
+
+
 def test_windows_reach_the_scan(stored):
     as_of = datetime(2025, 1, 15)
     assert "GreaterThanOrEqual(DATETIMESTAMP,2024-01-15 00:00:00)" in plan(extract.window_by_text(stored, as_of))

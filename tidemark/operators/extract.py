@@ -101,9 +101,16 @@ def key_of(columns: Sequence[str]) -> Column:
     return single_column_key(columns[0]) if len(columns) == 1 else business_key(*columns)
 
 
-def keyed_incremental(df: DataFrame, start: str, field: str = INCREMENTAL_FIELD) -> DataFrame:
-    """The live extract: rows at or after the mark, keyed by their whole content."""
-    return with_key(incremental_filter(df, start, field))
+def keyed_incremental(
+    df: DataFrame, start: str, field: str = INCREMENTAL_FIELD, day_column: str | None = None
+) -> DataFrame:
+    """The live extract: rows at or after the mark, keyed by their whole content.
+
+    `day_column` belongs to the layout of the files, not to the row: it prunes and is left out,
+    so that rows keep their keys when a source is laid out anew.
+    """
+    rows = incremental_filter(df, start, field, day_column)
+    return with_key(rows if day_column is None else rows.drop(day_column))
 
 
 def windowed_extract(

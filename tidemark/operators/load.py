@@ -28,6 +28,7 @@ def run_load(
     field: str = INCREMENTAL_FIELD,
     updated_ms: int | None = None,
     rows_per_file: int | None = None,
+    day_column: str | None = None,
 ) -> int:
     """Read from the mark on, key, store, then move the mark. Returns the rows stored.
 
@@ -39,7 +40,7 @@ def run_load(
     """
     last = last_mark(spark, state, query, before_load=load_id)
     start = initial_start if last is None else last["high_water"]
-    rows = keyed_incremental(source, start, field)
+    rows = keyed_incremental(source, start, field, day_column)
     if last is not None:
         rows = rows.hint("rebalance")
     write_load(rows, sink, load_id, updated_ms, rows_per_file)

@@ -24,6 +24,7 @@ def load_sources(
     initial_start: str = INITIAL_START,
     updated_ms: int | None = None,
     parallel: int = 1,
+    day_column: str | None = None,
 ) -> DataFrame:
     """One incremental load of every source, started in the given order; returns the ledger.
 
@@ -34,7 +35,7 @@ def load_sources(
         def go() -> int:
             return run_load(
                 spark, read(s), s.query_name, f"{sink_root}/{s.domain}/{s.view}", state, load_id,
-                initial_start, updated_ms=updated_ms,
+                initial_start, updated_ms=updated_ms, day_column=day_column,
             )
         return s.query_name, go
 

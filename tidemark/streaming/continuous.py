@@ -81,6 +81,7 @@ def start_polling(
     initial_start: str = INITIAL_START,
     field: str = INCREMENTAL_FIELD,
     interval: str = INTERVAL,
+    day_column: str | None = None,
     now_ms: Callable[[], int] = lambda: int(time.time() * 1000),
 ) -> StreamingQuery:
     """The same for a view, which has no files to watch: read it again at every trigger.
@@ -90,7 +91,10 @@ def start_polling(
     """
 
     def load(_: DataFrame, batch_id: int) -> None:
-        run_load(spark, read(), query, sink, state, batch_id, initial_start, field, now_ms())
+        run_load(
+            spark, read(), query, sink, state, batch_id, initial_start, field, now_ms(),
+            day_column=day_column,
+        )
 
     return _start(_clock(spark), load, query, checkpoint, False, interval)
 
@@ -110,6 +114,7 @@ def start_extractor(
     checkpoint: str,
     initial_start: str = INITIAL_START,
     interval: str = INTERVAL,
+    day_column: str | None = None,
     now_ms: Callable[[], int] = lambda: int(time.time() * 1000),
 ) -> StreamingQuery:
     """All sources of one extractor, one after the other at every trigger, in the given order.
@@ -119,7 +124,8 @@ def start_extractor(
 
     def load(_: DataFrame, batch_id: int) -> None:
         run = load_sources(
-            spark, sources, read, sink_root, state, batch_id, initial_start, now_ms()
+            spark, sources, read, sink_root, state, batch_id, initial_start, now_ms(),
+            day_column=day_column,
         )
         write_load(run, ledger, batch_id)
 
