@@ -284,7 +284,8 @@ def oracle_sql() -> dict[str, str]:
     dup = f"WITH {RAW_DUP} "
     volumes = f"WITH {VOLUMES} "
 
-    sql["scan_view"] = events + "SELECT * FROM src_events"
+    as_text = f"* REPLACE (strftime({{}}, '{MICROS}') AS {{}})"
+    sql["scan_view"] = events + f"SELECT {as_text.format('ts', 'ts')} FROM src_events"
     line_key = "l_orderkey || '_' || l_linenumber"
     sql["raw_upsert"] = f"""
 WITH loads AS (
@@ -294,7 +295,7 @@ WITH loads AS (
   WHERE l_shipdate >= TIMESTAMP '2000-01-01'),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY load_id DESC,
   {', '.join(c + ' DESC' for c in _line_columns().split(', '))}) AS rn FROM loads)
-SELECT * EXCLUDE (rn) FROM ranked WHERE rn = 1"""
+SELECT * EXCLUDE (rn) REPLACE (strftime(l_shipdate, '{MICROS}') AS l_shipdate) FROM ranked WHERE rn = 1"""
     sql["raw_upsert_stats"] = f"""
 SELECT l_returnflag, count(*) AS rows_offered, count(DISTINCT {line_key}) AS keys_kept,
   count(*) - count(DISTINCT {line_key}) AS duplicate_rows FROM lineitem GROUP BY l_returnflag"""
@@ -361,7 +362,7 @@ WHERE "DATETIMESTAMP" >= strftime(TIMESTAMP '2001-01-01' - INTERVAL 1 YEAR, '{SE
 SELECT o_custkey || '_' || o_orderkey AS "PK", * EXCLUDE (o_orderdate) FROM src_orders"""
     sql["smoke_sample"] = events + f"""
 SELECT {SRC_EVENT_KEY} AS key, event_id, event_type FROM src_events ORDER BY key LIMIT 10"""
-    sql["key_projection"] = events + f"SELECT {SRC_EVENT_KEY} AS key, * FROM src_events"
+    sql["key_projection"] = events + f"SELECT {SRC_EVENT_KEY} AS key, {as_text.format('ts', 'ts')} FROM src_events"
     sql["updated_since"] = raw + f"""
 SELECT "table", key, last_updated_time FROM raw_rows WHERE last_updated_time >= {SINCE}"""
     sql["catalog_filter"] = f"""WITH {CATALOG}
@@ -377,7 +378,7 @@ WHERE NOT EXISTS (SELECT 1 FROM catalog WHERE "table" = 'tb_nowhere')"""
     )
     counts += " UNION ALL SELECT 14, 'no_such_file', NULL, 'missing_object'"
     counts += " UNION ALL SELECT 15, 'no_such_column', NULL, 'unresolved_column'"
-    sql["count_many"] = f"SELECT label, n, status FROM ({counts})"
+    sql["count_many"] = f"SELECT label, CAST(n AS DOUBLE) AS n, status FROM ({counts})"
     sql["count_many_total"] = f"""
 SELECT count(n) AS ok, count(*) AS targets, CAST(sum(n) AS BIGINT) AS total_rows,
   string_agg(label, ', ' ORDER BY place) FILTER (WHERE n IS NULL) AS failed FROM ({counts})"""
@@ -400,9 +401,9 @@ FROM stats WHERE domain = 'erp' GROUP BY tier"""
 SELECT count(*) AS tables, CAST(sum(rows_today) FILTER (WHERE status = 'OK') AS BIGINT) AS upd_today,
   count(*) FILTER (WHERE status <> 'OK') AS errors FROM stats"""
     sql["tier_volume_summary"] = volumes + """
-SELECT tier, count(*) AS views, CAST(sum(n) AS BIGINT) AS "rows",
+SELECT tier, count(*) AS views, CAST(sum(n) AS DOUBLE) AS "rows",
   CAST(sum(n) AS DOUBLE) * 100 / (SELECT sum(n) FROM volumes) AS pct FROM volumes GROUP BY tier
-UNION ALL SELECT 'total', count(n), CAST(sum(n) AS BIGINT), 100 FROM volumes"""
+UNION ALL SELECT 'total', count(n), CAST(sum(n) AS DOUBLE), 100 FROM volumes"""
     sql["volume_concentration"] = volumes + """
 SELECT CAST(row_number() OVER w AS INTEGER) AS top, name, n,
   CAST(sum(n) OVER w AS DOUBLE) * 100 / (SELECT sum(n) FROM volumes) AS cum_pct
@@ -413,7 +414,7 @@ WINDOW w AS (ORDER BY n DESC, name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT
     sql["reconcile_counts"] = COUNTED + " SELECT * FROM report"
     sql["ingest_flag"] = stats + " SELECT \"table\", flag FROM stats WHERE status = 'OK'"
     sql["table_status"] = stats + ' SELECT "table", status, error FROM stats'
-    sql["tier_of_volume"] = volumes + " SELECT name, n, tier FROM volumes"
+    sql["tier_of_volume"] = volumes + "SELECT name, CAST(n AS DOUBLE) AS n, tier FROM volumes"
     sql["report_row_class"] = stats + """
 SELECT "table", CASE WHEN status <> 'OK' THEN 'err' WHEN flag = '!DUP_KEYS' THEN 'warn'
   WHEN flag = '~re-upsert/catch-up' THEN 'catchup' ELSE '' END AS row_class FROM stats"""
@@ -435,17 +436,18 @@ FROM by_domain d LEFT JOIN previous p USING (domain)"""
 SELECT key AS "table", expected_rows, row_ingested AS actual_rows FROM counted"""
     sql["catalog_x_rows"] = f"""WITH {RAW_ROWS}, {CATALOG},
 counts AS (SELECT "table", count(*) AS n FROM raw_rows GROUP BY ALL)
-SELECT CAST(row_number() OVER (ORDER BY domain, c."table") AS INTEGER) AS place, domain, view, c."table", tier, n AS stored_rows
+SELECT CAST(row_number() OVER (ORDER BY domain, c."table") AS INTEGER) AS place, domain, view, c."table", tier,
+  CAST(n AS DOUBLE) AS stored_rows
 FROM catalog c LEFT JOIN counts USING ("table")"""
     sql["order_incremental"] = events + f"""
 SELECT "DATETIMESTAMP", event_id, event_type FROM src_events WHERE {_LATER} ORDER BY 1, 2"""
     sql["order_reconcile"] = COUNTED + """
 SELECT *, CAST(row_number() OVER (ORDER BY status, expected_rows DESC, key) AS INTEGER) AS place FROM report"""
     sql["tier_sort"] = volumes + f"""
-SELECT tier, count(*) AS views, CAST(sum(n) AS BIGINT) AS "rows", {_rank('12?345')} AS rank
+SELECT tier, count(*) AS views, CAST(sum(n) AS DOUBLE) AS "rows", {_rank('12?345')} AS rank
 FROM volumes GROUP BY tier"""
     queue = f"CAST(row_number() OVER (ORDER BY {_rank('1?2345')}, coalesce(n, 0), name) AS INTEGER)"
-    sql["small_first_order"] = volumes + f"SELECT name, tier, n, {queue} AS queue_place FROM volumes"
+    sql["small_first_order"] = volumes + f"SELECT name, tier, CAST(n AS DOUBLE) AS n, {queue} AS queue_place FROM volumes"
     sql["union_all"] = dup + " UNION ALL ".join(
         f"SELECT domain, \"table\", key FROM raw_dup WHERE domain = '{d}'" for d in ("erp", "ledger_in", "ledger_na")
     )
@@ -462,7 +464,7 @@ SELECT coalesce(a.t, b.t) AS "table", a.k AS legacy_key, b.k AS live_key,
   CASE WHEN b.t IS NULL THEN 'dropped' WHEN a.t IS NULL THEN 'added' WHEN a.k <> b.k THEN 'rekeyed'
     ELSE 'kept' END AS change FROM legacy a FULL JOIN live b ON a.t = b.t"""
 
-    sql["balanced_split"] = SPLIT + " SELECT name, tier, n, worker FROM assigned"
+    sql["balanced_split"] = SPLIT + " SELECT name, tier, CAST(n AS DOUBLE) AS n, worker FROM assigned"
     sql["split_summary"] = SPLIT + """
 SELECT worker, tier, count(*) AS items, CAST(coalesce(sum(n), 0) AS BIGINT) AS "rows"
 FROM assigned GROUP BY worker, tier
@@ -502,16 +504,17 @@ UNION ALL SELECT 'orders', 'success', count(*), NULL FROM src_orders WHERE {_LAT
 UNION ALL SELECT 'absent', 'failure', NULL, 'missing_object'
 UNION ALL SELECT 'nation', 'failure', NULL, 'unresolved_column'"""
     both = f"WITH {SRC_EVENTS}, {SRC_ORDERS}"
-    sql["run_ledger"] = both + ledger
+    sql["run_ledger"] = f"{both} SELECT * REPLACE (CAST(\"rows\" AS DOUBLE) AS \"rows\") FROM ({ledger})"
     sql["run_ledger_result"] = f"""{both}, ledger AS ({ledger})
 SELECT count(*) AS queries, count(*) FILTER (WHERE status = 'success') AS succeeded,
   CAST(sum("rows") AS BIGINT) AS "rows",
   string_agg(query, ', ' ORDER BY query) FILTER (WHERE status = 'failure') AS failed,
   CASE WHEN bool_or(status = 'failure') THEN 'failure' ELSE 'success' END AS status FROM ledger"""
-    sql["smoke_run"] = " UNION ALL ".join(
-        f"SELECT '{t}' AS query, 'success' AS status, least(10, count(*)) AS \"rows\", NULL AS error_class FROM {t}"
-        for t in TABLES
-    ) + """
+    smoke = " UNION ALL ".join(
+        f"SELECT '{t}' AS query, 'success' AS status, CAST(least(10, count(*)) AS DOUBLE) AS \"rows\", "
+        f"NULL AS error_class FROM {t}" for t in TABLES
+    )
+    sql["smoke_run"] = smoke + """
 UNION ALL SELECT 'absent', 'failure', NULL, 'missing_object'
 UNION ALL SELECT 'no_such_column', 'failure', NULL, 'unresolved_column'"""
     return sql
