@@ -127,6 +127,6 @@ def start_extractor(
             spark, sources, read, sink_root, state, batch_id, initial_start, now_ms(),
             day_column=day_column,
         )
-        write_load(run, ledger, batch_id)
+        write_load(run.coalesce(1), ledger, batch_id)
 
     return _start(_clock(spark), load, name, checkpoint, False, interval)
