@@ -575,7 +575,8 @@ def stream_incremental_upsert(spark, sf):
     """The events file as a stream, loaded into a keyed table by one run of the continuous load."""
     root = work_dir(spark, "stream")
     schema = table(spark, sf, "events").schema
-    stream = views.events_source(continuous.read_stream(spark, sf, schema, 1, "events.parquet"))
+    path = f"{sf}/{{events}}.parquet"  # a pattern, so that it may be one file or a folder
+    stream = views.events_source(continuous.read_stream(spark, path, schema))
     run = continuous.start_load(
         stream, "events", f"{root}/table", f"{root}/state", f"{root}/checkpoint", START, once=True
     )

@@ -24,14 +24,15 @@ def read_stream(
     path: str,
     schema: StructType,
     files_per_trigger: int | None = None,
-    pattern: str | None = None,
 ) -> DataFrame:
-    """New files of a folder; `files_per_trigger` bounds one micro-batch."""
+    """New files of a folder or pattern; `files_per_trigger` bounds one micro-batch.
+
+    Files are taken in order of arrival. Rows of a later batch below the mark are not loaded, so
+    bound the batches only where files arrive in order of the incremental field.
+    """
     reader = spark.readStream.schema(schema)
     if files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    if pattern is not None:
-        reader = reader.option("pathGlobFilter", pattern)
     return reader.parquet(path)
 
 
