@@ -38,6 +38,7 @@ TEXT_DAYS = [
     ("2026-01-Z05", "2026-01-05"),
     ("2026-01-5 1:00:00", "2026-01-05"),
     ("2026-01-5 x", "2026-01-5 "),
+    ("2026-1-5\nZ", None),
     ("20260801", None),
     ("99999-01-01", None),
 ]

@@ -22,7 +22,7 @@ WHITE_SPACE = (
 # Year, month, day and optionally a time after white space or `T`; month, day and time may be unpadded.
 DAY_PATTERN = (
     r"^(\d{4})-(1[0-2]|0?[1-9])-(3[01]|[12]\d|[0 ]?[1-9])"
-    r"(?:(?:\s+|[Tt])(?:2[0-3]|[01]?\d):[0-5]?\d:[0-5]?\d(?:\.\d{1,6})?)?$"
+    r"(?:(?:\s+|[Tt])(?:2[0-3]|[01]?\d):[0-5]?\d:[0-5]?\d(?:\.\d{1,6})?)?\z"
 )
 
 MAX_SECONDS = 253402300800.0  # 10000-01-01
