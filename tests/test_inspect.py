@@ -45,6 +45,19 @@ def test_inspection_of_stored_tables(spark, tmp_path):
         "a": (3, "OK"), "b": (3, "MISSING"), "idle": (1, "OK"), "absent": (0, "EMPTY")}
 
 
+def test_inspection_of_variant_columns(spark, tmp_path):
+    df = spark.createDataFrame([(1, "2026-08-03 01:00:00"), (2, "2026-08-02 01:00:00"), (3, "garbage")], SCHEMA)
+    load.run_load(spark, df, "v", f"{tmp_path}/v", f"{tmp_path}/s", 0, START, updated_ms=DAY, as_variant=True)
+    lower = df.withColumnRenamed("DATETIMESTAMP", "datetimestamp").selectExpr("string(id) key", "*")
+    sink.write_load(sink.schemaless(lower), f"{tmp_path}/w", 0, DAY)
+    seconds = spark.sql("select 'k' key, 1785715200.5D as DATETIMESTAMP")
+    sink.write_load(seconds, f"{tmp_path}/n", 0, DAY)
+    catalog = spark.createDataFrame([("erp", t, t, "1") for t in "vwn"], "domain string, view string, table string, tier string")
+    found = inspect.inspect_tables(spark, catalog, {t: f"{tmp_path}/{t}" for t in "vwn"}, DAY, "2026-08-03")
+    got = {r["table"]: (r["source_day_today"], r["source_day_before"], r["source_day_missing"]) for r in found.collect()}
+    assert got == {"v": (1, 1, 1), "w": (1, 1, 1), "n": (1, 0, 0)}
+
+
 def test_nothing_stored(spark, tmp_path):
     rows, present, failures = inspect.stored_rows(spark, {"a": f"{tmp_path}/a"}, DAY)
     assert rows.count() == present.count() == failures.count() == 0

@@ -119,6 +119,24 @@ def test_source_gains_a_column(spark, root):
     assert {r["w"] for r in rows} == {None, 7}
 
 
+def test_a_column_changes_its_type(spark, root):
+    """Columns kept as one VARIANT take any type; keys are those of the typed rows."""
+    def go(df, load_id):
+        return load.run_load(spark, df, "q", f"{root}/t", f"{root}/s", load_id, START, updated_ms=load_id, as_variant=True)
+
+    first, second = source(spark, *DAY1), source(spark, *DAY2).withColumn("id", F.concat(F.lit("x"), "id"))
+    assert go(first, 0) == 2
+    assert state.read_mark(spark, f"{root}/s", "q") == "2026-08-01 10:00:00.500000"
+    assert go(second, 1) == 3
+    table = sink.read_table(spark, f"{root}/t")
+    assert table.columns[:2] == ["key", "columns"]
+    ids = table.select(F.try_variant_get("columns", "$.id", "string")).collect()
+    assert sorted(r[0] for r in ids) == ["1", "2", "x2", "x2", "x4"]
+    want = {r[0] for d in (first.where("id < 3"), second.where(F.col("DATETIMESTAMP") >= "2026-08-01 10"))
+            for r in d.select(keys.row_key(d)).collect()}
+    assert {r["key"] for r in table.collect()} == want
+
+
 def test_last_write_wins_and_time_moves(spark, root):
     df = spark.createDataFrame([("k1", "a"), ("k2", "b")], "key string, v string")
     sink.write_load(df, f"{root}/t", 0, 1000)

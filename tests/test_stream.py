@@ -24,7 +24,8 @@ def run_once(spark, root):
     schema = spark.createDataFrame([], SCHEMA).schema
     stream = continuous.read_stream(spark, f"{root}/in", schema, files_per_trigger=1)
     q = continuous.start_load(
-        stream, "q", f"{root}/t", f"{root}/s", f"{root}/c", START, once=True, now_ms=lambda: 5)
+        stream, "q", f"{root}/t", f"{root}/s", f"{root}/c", START, once=True, now_ms=lambda: 5,
+        rows_per_file=1)
     q.awaitTermination()
     return sorted(r["id"] for r in sink.read_table(spark, f"{root}/t").collect())
 
@@ -90,7 +91,8 @@ def test_extractor_goes_through_its_sources(spark, root):
         return spark.table("absent") if s.view == "F4108" else spark.read.schema(SCHEMA).parquet(f"{root}/in")
 
     q = continuous.start_extractor(
-        spark, "x", picked, read, f"{root}/raw", f"{root}/s", f"{root}/ledger", f"{root}/c", START, interval="1 second")
+        spark, "x", picked, read, f"{root}/raw", f"{root}/s", f"{root}/ledger", f"{root}/c", START, interval="1 second",
+        parallel=2, as_variant=True)
     try:
         for _ in range(120):
             runs = sink.read_loads(spark, f"{root}/ledger")
@@ -102,4 +104,5 @@ def test_extractor_goes_through_its_sources(spark, root):
     rows = {(r["load_id"], r["query"]): (r["status"], r["rows"]) for r in runs.collect()}
     assert rows[0, "extract-ledger_in-F0010"] == rows[1, "extract-ledger_in-F0010"] == ("success", 1)
     assert rows[1, "extract-ledger_in-F4108"] == ("failure", None)
-    assert sink.read_table(spark, f"{root}/raw/ledger_in/F0010").count() == 1
+    stored = sink.read_table(spark, f"{root}/raw/ledger_in/F0010")
+    assert stored.count() == 1 and "columns" in stored.columns

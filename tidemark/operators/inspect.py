@@ -5,17 +5,34 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.times import source_day
+from tidemark.functions.times import (
+    field_with_fallback,
+    source_day,
+    source_day_of_number,
+    source_day_of_variant,
+)
 from tidemark.operators.extract import INCREMENTAL_FIELD
-from tidemark.operators.sink import LOAD, UPDATED, last_per_key, read_loads
+from tidemark.operators.sink import COLUMNS, LOAD, UPDATED, last_per_key, read_loads
 from tidemark.operators.stats import table_stats
 from tidemark.session import in_parallel
 
-ROWS = "table string, key string, last_updated_time bigint, value string"
+ROWS = "table string, key string, last_updated_time bigint, source_day string"
+
+
+def _source_day(loads: DataFrame, field: str) -> Column:
+    """The source day of typed columns, of columns kept as one VARIANT, or null without the field."""
+    types = {f.name: f.dataType for f in loads.schema.fields}
+    if field in types:
+        if isinstance(types[field], (T.NumericType, T.BooleanType)):
+            return source_day_of_number(F.col(field))
+        return source_day(F.col(field).cast("string"))
+    if isinstance(types.get(COLUMNS), T.VariantType):
+        return source_day_of_variant(field_with_fallback(F.col(COLUMNS), field))
+    return F.lit(None).cast("string")
 
 
 def stored_rows(
@@ -39,11 +56,11 @@ def stored_rows(
             loads = read_loads(spark, path, merge=False)  # these columns are in every load
             if loads is None:
                 return table, None, None
-            value = F.col(field).cast("string") if field in loads.columns else F.lit(None).cast("string")
+            day = _source_day(loads, field)
             kept = loads.where(F.col("key").isNotNull())
             if since_ms is not None:
                 kept = kept.where(F.col(UPDATED) >= since_ms)
-            tagged = kept.select(F.lit(table).alias("table"), "key", UPDATED, value.alias("value"), LOAD)
+            tagged = kept.select(F.lit(table).alias("table"), "key", UPDATED, day.alias("source_day"), LOAD)
             return table, tagged, None
         except Exception as e:  # a table that cannot be opened is reported, the others go on
             return table, None, str(e).split("\n", 1)[0]
@@ -56,7 +73,6 @@ def stored_rows(
         rows = last_per_key(reduce(DataFrame.union, parts), ["table", "key"], [LOAD]).drop(LOAD)
     else:
         rows = spark.createDataFrame([], ROWS)
-    rows = rows.withColumn("source_day", source_day(F.col("value"))).drop("value")
     one = T.StructType([T.StructField("table", T.StringType())])
     return (
         rows,

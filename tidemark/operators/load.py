@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.classify import error_class, first_line
 from tidemark.operators.extract import INCREMENTAL_FIELD, INITIAL_START, keyed_incremental
-from tidemark.operators.sink import read_load, write_load
+from tidemark.operators.sink import COLUMNS, read_load, schemaless, write_load
 from tidemark.operators.state import last_mark, mark_value, write_mark
 from tidemark.session import in_parallel
 
@@ -29,6 +29,7 @@ def run_load(
     updated_ms: int | None = None,
     rows_per_file: int | None = None,
     day_column: str | None = None,
+    as_variant: bool = False,
 ) -> int:
     """Read from the mark on, key, store, then move the mark. Returns the rows stored.
 
@@ -36,16 +37,19 @@ def run_load(
     rows. Count and mark are read back from what was stored, so the source is read and keyed
     once, and a retried task cannot count twice. A delta is a thin slice of every source
     partition; it is rebalanced so that each load adds few files. The catch-up is not, it would
-    shuffle the whole source.
+    shuffle the whole source. `as_variant` stores the columns as one VARIANT.
     """
     last = last_mark(spark, state, query, before_load=load_id)
     start = initial_start if last is None else last["high_water"]
     rows = keyed_incremental(source, start, field, day_column)
     if last is not None:
         rows = rows.hint("rebalance")
+    value = F.col(field)
+    if as_variant:
+        rows, value = schemaless(rows), F.try_variant_get(COLUMNS, f"$.{field}", "string")
     write_load(rows, sink, load_id, updated_ms, rows_per_file)
     stored = read_load(spark, sink, load_id, rows.schema)
-    n, seen = stored.agg(F.count("*"), mark_value(field)).first()
+    n, seen = stored.agg(F.count("*"), mark_value(value)).first()
     write_mark(spark, state, query, max(start, seen or start), load_id, last)
     return n
 

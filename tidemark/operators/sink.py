@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 LOAD = "load_id"
 UPDATED = "last_updated_time"
+COLUMNS = "columns"
 
 
 def last_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -71,6 +72,12 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     return counts.where((F.col("n") > 1) | F.col(key).isNull())
 
 
+def schemaless(df: DataFrame, key: str = "key") -> DataFrame:
+    """The key and all other columns as one VARIANT, for sources whose columns change their types."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c != key]
+    return df.select(key, F.to_variant_object(F.struct(*rest)).alias(COLUMNS))
+
+
 def write_load(
     df: DataFrame,
     path: str,

@@ -14,13 +14,13 @@ from tidemark.operators.extract import INCREMENTAL_FIELD, INITIAL_START
 MARK = "high_water string, load_id bigint, query string, slot int"
 
 
-def mark_value(field: str = INCREMENTAL_FIELD, well_formed_only: bool = True) -> Column:
+def mark_value(field: str | Column = INCREMENTAL_FIELD, well_formed_only: bool = True) -> Column:
     """The next mark: the greatest value of the field, as text.
 
     Text that is no timestamp passes the incremental filter and sorts after every date. Taken
     as a mark it would stop the query for good, so by default only well-formed values count.
     """
-    column = F.col(field)
+    column = F.col(field) if isinstance(field, str) else field
     return F.max(F.when(parse_ts(column).isNotNull(), column) if well_formed_only else column)
 
 

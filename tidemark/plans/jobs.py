@@ -24,18 +24,19 @@ def load_sources(
     initial_start: str = INITIAL_START,
     updated_ms: int | None = None,
     parallel: int = 1,
-    day_column: str | None = None,
+    **options,
 ) -> DataFrame:
     """One incremental load of every source, started in the given order; returns the ledger.
 
-    `read` opens a source, for instance `lambda s: spark.table(f"hub.v_{s.view.lower()}")`.
+    `read` opens a source, for instance `lambda s: spark.table(f"hub.v_{s.view.lower()}")`;
+    `options` are further arguments of `run_load`.
     """
 
     def job(s: Source):
         def go() -> int:
             return run_load(
                 spark, read(s), s.query_name, f"{sink_root}/{s.domain}/{s.view}", state, load_id,
-                initial_start, updated_ms=updated_ms, day_column=day_column,
+                initial_start, updated_ms=updated_ms, **options,
             )
         return s.query_name, go
 

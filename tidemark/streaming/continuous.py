@@ -1,4 +1,7 @@
-"""Continuous keyed load of a growing source with Structured Streaming."""
+"""Continuous keyed load of a growing source with Structured Streaming.
+
+`options` of the functions are further arguments of `run_load`, or of `load_sources`.
+"""
 
 from __future__ import annotations
 
@@ -52,8 +55,8 @@ def start_load(
     field: str = INCREMENTAL_FIELD,
     once: bool = False,
     interval: str = INTERVAL,
-    rows_per_file: int | None = None,
     now_ms: Callable[[], int] = lambda: int(time.time() * 1000),
+    **options,
 ) -> StreamingQuery:
     """Load every micro-batch: rows at or after the mark, keyed, stored, mark moved.
 
@@ -66,7 +69,7 @@ def start_load(
     def load(batch: DataFrame, batch_id: int) -> None:
         run_load(
             batch.sparkSession, batch, query, sink, state, batch_id, initial_start, field, now_ms(),
-            rows_per_file,
+            **options,
         )
 
     return _start(stream, load, query, checkpoint, once, interval)
@@ -82,8 +85,8 @@ def start_polling(
     initial_start: str = INITIAL_START,
     field: str = INCREMENTAL_FIELD,
     interval: str = INTERVAL,
-    day_column: str | None = None,
     now_ms: Callable[[], int] = lambda: int(time.time() * 1000),
+    **options,
 ) -> StreamingQuery:
     """The same for a view, which has no files to watch: read it again at every trigger.
 
@@ -93,8 +96,7 @@ def start_polling(
 
     def load(_: DataFrame, batch_id: int) -> None:
         run_load(
-            spark, read(), query, sink, state, batch_id, initial_start, field, now_ms(),
-            day_column=day_column,
+            spark, read(), query, sink, state, batch_id, initial_start, field, now_ms(), **options
         )
 
     return _start(_clock(spark), load, query, checkpoint, False, interval)
@@ -115,8 +117,8 @@ def start_extractor(
     checkpoint: str,
     initial_start: str = INITIAL_START,
     interval: str = INTERVAL,
-    day_column: str | None = None,
     now_ms: Callable[[], int] = lambda: int(time.time() * 1000),
+    **options,
 ) -> StreamingQuery:
     """All sources of one extractor, one after the other at every trigger, in the given order.
 
@@ -125,8 +127,7 @@ def start_extractor(
 
     def load(_: DataFrame, batch_id: int) -> None:
         run = load_sources(
-            spark, sources, read, sink_root, state, batch_id, initial_start, now_ms(),
-            day_column=day_column,
+            spark, sources, read, sink_root, state, batch_id, initial_start, now_ms(), **options
         )
         write_load(run.coalesce(1), ledger, batch_id)
 
