@@ -78,7 +78,8 @@ def test_top_days_limit_before_the_shuffle(spark):
 
 def test_distinct_keys_shuffle_by_key(spark):
     rows = spark.createDataFrame([("t", "k")], "table string, key string")
-    assert "hashpartitioning(table" in plan(stats.unique_keys(rows)) and "key#" in plan(stats.unique_keys(rows)).split("hashpartitioning(table")[2][:30]
+    exchanges = plan(stats.unique_keys(rows)).split("hashpartitioning(table")[1:]
+    assert len(exchanges) == 2 and "key#" in exchanges[1][:30]
 
 
 def test_a_shared_value_is_sorted_by_several_tasks(spark):

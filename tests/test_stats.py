@@ -85,7 +85,8 @@ def test_reconcile_status(spark, ingested, expected, status):
 
 
 def test_report_order(spark):
-    rows = spark.createDataFrame([("a", 5, 5), ("b", 9, 9), ("c", 7, 0), ("d", 1, 2)], "key string, expected_rows int, row_ingested int")
+    rows = spark.createDataFrame(
+        [("a", 5, 5), ("b", 9, 9), ("c", 7, 0), ("d", 1, 2)], "key string, expected_rows int, row_ingested int")
     report = reconcile.order_reconcile(reconcile.reconcile_counts(rows))
     assert [(r["key"], r["status"], r["diff"]) for r in report.collect()] == [
         ("c", "EMPTY", -7), ("d", "EXTRA", 1), ("b", "OK", 0), ("a", "OK", 0)]
@@ -126,7 +127,8 @@ def test_history(spark, tmp_path, inspected):
     delta = {r["domain"]: r["delta"] for r in history.day_over_day_delta(more, previous).collect()}
     assert delta == {"erp": "+3", "ledger": "+0", "new": ""}
     assert history.history_previous(entries.where("seq = 4"), TODAY).count() == 0
-    line = json.loads(next(p for p in (tmp_path / "history").iterdir() if p.name.startswith("part") and p.suffix == ".json" and p.stat().st_size).read_text())
+    files = [p for p in (tmp_path / "history").glob("part*.json") if p.stat().st_size]
+    line = json.loads(files[0].read_text())
     assert set(line["summary"]) == {"by_domain", "by_tier"} and line["database"] == "raw"
     assert len(line["tables"]) == 9 and line["tables"][0]["table"] == "tb_dup"
 
