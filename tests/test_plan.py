@@ -84,6 +84,12 @@ def test_split_reproduces_the_three_extractors(tables, erp):
         assert order == names
 
 
+def test_extractor_queues(spark, erp):
+    queues = jobs.extractor_queues(spark, erp, 3)
+    assert [s for w in (1, 2, 3) for s in queues[w]] == erp
+    assert [len(queues[w]) for w in (1, 2, 3)] == [49, 50, 50]
+
+
 def test_split_of_several_plans(spark, tables):
     both = tables.withColumn("plan", F.lit("a")).unionByName(
         tables.where("tier = '2'").withColumn("plan", F.lit("b")))

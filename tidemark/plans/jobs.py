@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators.extract import INITIAL_START, SAMPLE_ROWS, windowed_extract
 from tidemark.operators.load import run_all, run_load
+from tidemark.plans.load_plan import balanced_split, split_order
 from tidemark.sources.catalogue import Source, split_place
 
 Reader = Callable[[Source], DataFrame]
@@ -57,3 +58,13 @@ def plan_rows(spark: SparkSession, sources: list[Source]) -> DataFrame:
         [(s.view, s.tier, s.rows, split_place(s)) for s in sources],
         "name string, tier string, n bigint, place int",
     )
+
+
+def extractor_queues(
+    spark: SparkSession, sources: list[Source], extractors: int
+) -> dict[int, list[Source]]:
+    """The sources of every extractor in load order, from the balanced split of their volumes."""
+    assigned = balanced_split(plan_rows(spark, sources), extractors)
+    queue = split_order(assigned).orderBy("worker", "queue_place").select("worker", "name").collect()
+    by_view = {s.view: s for s in sources}
+    return {w: [by_view[r["name"]] for r in queue if r["worker"] == w] for w in range(1, extractors + 1)}
