@@ -6,8 +6,8 @@ from compare import duck, spark_rows, sql_rows
 import __spark_entry__ as entry_points
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry_points.queries()
-SQL = entry_points.oracle_sql()
+QUERIES = {k: v for k, v in entry_points.queries().items() if k not in entry_points.LLM_QUERIES}
+SQL = {k: v for k, v in entry_points.oracle_sql().items() if k not in entry_points.LLM_QUERIES}
 
 
 @pytest.fixture(scope="module")
