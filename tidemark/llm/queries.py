@@ -8,16 +8,45 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, id_files, packing
+from tidemark.llm import common, contamination, id_files, language, near_dedup, packing, pivot_search, unigram_count, warc
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), common.work_dir(spark, "near-dedup"))
+    return found.select("doc_id", "class_id")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back: one row per capture."""
+    folder = common.work_dir(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    records = warc.read_records(spark, folder).drop("payload")
+    found = warc.captures(records).select(
+        F.col("response.record_id").alias("record_id"), F.col("response.refers_to").alias("refers_to"),
+        F.col("response.record_type").alias("record_type"), F.col("response.payload_bytes").alias("payload_bytes"),
+        F.col("response.payload_digest").alias("payload_digest"), F.col("response.target_uri").alias("target_uri"),
+        F.element_at(F.col("metadata")[0]["fields"], "page-id").cast("long").alias("page_id"),
+    )
+    # A revisit has no payload of its own: its length and the page it refers to are those of the response.
+    first = found.where("record_type = 'response'").select(
+        F.col("record_id").alias("refers_to"), F.col("payload_bytes").alias("first_bytes"), F.col("page_id").alias("first_page")
+    )
+    revisit = F.col("record_type") == "revisit"
+    return found.join(first, "refers_to", "left").select(
+        "page_id", F.when(revisit, F.col("first_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        "payload_digest", "record_type", F.when(revisit, F.col("first_page")).alias("refers_to"), "target_uri",
+    )
+
+
 def op5_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, written to files in order and read back."""
     folder = common.work_dir(spark, "id-files")
@@ -37,8 +66,60 @@ def packed(spark: SparkSession, documents: DataFrame) -> DataFrame:
     return packing.pack(digest, common.work_dir(spark, "packing"))
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of all other vectors for every vector whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings").where(pivot_search.usable("embedding"))
+    vectors = vectors.select("vec_id", pivot_search.scaled("embedding").alias("vector"))
+    return pivot_search.top_k(vectors, F.col("vec_id") % 50 == 0, common.work_dir(spark, "top-k"))
+
+
+def op8_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in a document."""
+    documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = contamination.leaks(documents, benchmark, common.work_dir(spark, "leaks"), ["doc_id"])
+    return found.select("doc_id", F.inline("leaks"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document under a unigram vocabulary."""
+    return unigram_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
+def language_model(spark: SparkSession, sf_dir: str) -> language.LanguageModel:
+    """Learned from every labelled document outside the held-out fold."""
+    return language.train(table(spark, sf_dir, "documents").where(~language.held_out()))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, and of the spans in it."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = language.identify(documents, language_model(spark, sf_dir))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
+    "op4_warc": op4_warc,
     "op5_id_files": op5_id_files,
     "op6_pack": op6_pack,
+    "op7_top_k": op7_top_k,
+    "op8_contamination": op8_contamination,
+    "op9_token_counts": op9_token_counts,
+    "op10_language": op10_language,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op7_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+            WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+        ), r AS (
+            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+                vec_id, score
+            FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
 }
-ORACLE_SQL: dict[str, str] = {}

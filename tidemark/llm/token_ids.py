@@ -9,14 +9,23 @@ differently, are encoded whole by the library.
 from __future__ import annotations
 
 import json
-from functools import lru_cache
+import re
+from functools import cached_property, lru_cache
 
 import numpy as np
-import regex
 
-# The pre-token pattern of byte-level BPE, and the characters on whose classes engines agree.
+# Pre-token patterns of the known kinds of tokenizer, and Latin letters, digits and white space.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-UNUSUAL = regex.compile(r"[^\t-\r\x20-\x7e\xa0-įı-ſ]")
+WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LETTER, DIGIT, BLANK = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾", r"\t-\r \xa0"
+# The same patterns for texts of Latin letters, marks and usual white space only; and what else a text may hold.
+LATIN = {
+    BYTE_LEVEL: re.compile(
+        f" ?[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[{DIGIT}]+| ?[^{BLANK}{LETTER}{DIGIT}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
+    ),
+    WORD_LEVEL: re.compile(f"[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{DIGIT}]|[^{BLANK}{LETTER}{DIGIT}]+"),
+}
+UNUSUAL = re.compile(r"[^\t-\r\x20-\x7e\xa0-įı-ſ]")
 
 
 class _Index(dict):
@@ -34,21 +43,28 @@ class _Index(dict):
 class TokenEncoder:
     """Ids of texts; ``max_words`` bounds the memory for known pre-tokens, not what is encoded."""
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_words: int = 1_000_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        self.size = self.whole.get_vocab_size()
-        self.max_words = max_words
+        self.path, self.max_words = path, max_words
         self.lower, self.pattern = _rule(path)
+        self.single = Tokenizer.from_file(path)
+        self.single.encode_special_tokens = True
+        self.size = self.single.get_vocab_size()
         if self.pattern is not None:
-            self.single = Tokenizer.from_file(path)
-            self.single.encode_special_tokens = True
             self.single.normalizer = None
             self.single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self._forget()
 
+    @cached_property
+    def whole(self):
+        """The tokenizer as it is in the file, for whole texts."""
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.encode_special_tokens = True
+        return tokenizer
+
     def _forget(self) -> None:
         self.index = _Index()
         self.ids = np.zeros(1 << 20, np.uint32)
@@ -60,7 +76,7 @@ class TokenEncoder:
         new, self.index.new = self.index.new, []
         if not new:
             return
-        found = [x.ids for x in self.single.encode_batch(new, add_special_tokens=False)]
+        found = [x.ids for x in self.single.encode_batch_fast(new, add_special_tokens=False)]
         count = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(count.sum()))
         start, words = len(self.index) - len(new), len(self.index)
@@ -78,8 +94,9 @@ class TokenEncoder:
         out: list[np.ndarray | None] = [None] * len(texts)
         plain = [i for i, t in enumerate(texts) if self.pattern is not None and not UNUSUAL.search(t)]
         rest = sorted(set(range(len(texts))) - set(plain))
-        for i, found in zip(rest, self.whole.encode_batch([texts[i] for i in rest], add_special_tokens=False)):
-            out[i] = np.array(found.ids, np.uint32)
+        if rest:
+            for i, found in zip(rest, self.whole.encode_batch([texts[i] for i in rest], add_special_tokens=False)):
+                out[i] = np.array(found.ids, np.uint32)
         if len(self.index) > self.max_words:
             self._forget()
         flat: list[np.ndarray] = []
@@ -105,16 +122,16 @@ def _rule(path: str):
         spec = json.load(file)
     pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
     if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
-        return False, regex.compile(BYTE_LEVEL)
+        return False, LATIN[BYTE_LEVEL]
     steps = pre.get("pretokenizers", [])
     kinds = [s["type"] for s in (norm or {}).get("normalizers", [])]
     if [s["type"] for s in steps] != ["Split", "ByteLevel"] or kinds != ["NFC", "Replace", "Lowercase"]:
         return False, None
     split, level = steps
-    known = split["behavior"] == "Removed" and split["invert"] and "Regex" in split["pattern"]
+    known = split["behavior"] == "Removed" and split["invert"] and split["pattern"] == {"Regex": WORD_LEVEL}
     if not known or level.get("use_regex") or level.get("add_prefix_space"):
         return False, None
-    return True, regex.compile(split["pattern"]["Regex"])
+    return True, LATIN[WORD_LEVEL]
 
 
 @lru_cache(maxsize=4)
