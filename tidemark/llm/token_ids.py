@@ -43,7 +43,7 @@ class _Index(dict):
 class TokenEncoder:
     """Ids of texts; ``max_words`` bounds the memory for known pre-tokens, not what is encoded."""
 
-    def __init__(self, path: str, max_words: int = 1_000_000):
+    def __init__(self, path: str, max_words: int = 700_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.path, self.max_words = path, max_words
