@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -88,3 +89,15 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 def texts_of(column: pa.Array) -> list[str]:
     """The texts of a column, null as empty."""
     return [x or "" for x in column.to_pylist()]
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Let each query's shuffle files go when it has ended, for steps that write what they have made."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

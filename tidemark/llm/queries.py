@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, contamination, id_files, language, main_text, near_dedup, packing, pivot_search, unigram_count, warc
+from tidemark.llm import backoff_lm, common, contamination, id_files, language, main_text, near_dedup, packing, pivot_search, unigram_count, warc
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -31,6 +31,12 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op3_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document under a model of those outside the held-out fold."""
+    documents = table(spark, sf_dir, "documents")
+    return backoff_lm.score(documents, language.held_out(fold=1), common.work_dir(spark, "backoff-lm"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back: one row per capture."""
     folder = common.work_dir(spark, "warc")
@@ -106,6 +112,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_main_text": op2_main_text,
+    "op3_backoff_lm": op3_backoff_lm,
     "op4_warc": op4_warc,
     "op5_id_files": op5_id_files,
     "op6_pack": op6_pack,
