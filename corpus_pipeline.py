@@ -1,10 +1,57 @@
-"""Corpus pipeline: documents in, packed sequences out."""
+"""Corpus pipeline: documents in a known language, one of each group of near copies, none with benchmark items, packed.
+
+Each stage works on all rows that the one before kept and returns the columns of its input, whatever their names; the
+last returns the places of the documents' pieces. Null ids and repeated rows pass through as they are.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import common, contamination, language, near_dedup, queries
+
+MIN_SCORE = 0.3
+
+
+def _boxed(docs: DataFrame) -> DataFrame:
+    """The text, and the other columns as one, so that no name clashes with those of an operator."""
+    cells = [F.lit(0).alias("cx") if c == "text" else F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    return docs.select(F.struct(*cells).alias("row"), "text")
+
+
+def _unboxed(docs: DataFrame, columns: list[str]) -> DataFrame:
+    return docs.select(*(F.col("text") if c == "text" else F.col(f"row.c{i}").alias(c) for i, c in enumerate(columns)))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents whose language is known: texts with letters of which one language has ``MIN_SCORE`` or more.
+
+    Null and empty texts, and texts without letters, go. The languages are learned from the labelled documents.
+    """
+    found = language.identify(_boxed(docs), queries.language_model(spark, sf_dir))
+    kept = found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= MIN_SCORE))
+    return _unboxed(kept, docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the first row of each class of near copies. Rows without words are alone in their class and stay.
+
+    Rows are numbered as they are read, so ``docs`` should come from files.
+    """
+    numbered = docs.select(F.monotonically_increasing_id().alias("n"), "text")
+    folder = common.work_dir(spark, "pipeline-dedup")
+    found = near_dedup.near_duplicates(numbered, folder, id_col="n")
+    copies = found.where("doc_id <> class_id").select(F.col("doc_id").alias("n"))
+    rows = _boxed(docs).withColumn("n", F.monotonically_increasing_id())
+    return _unboxed(rows.join(copies, "n", "left_anti"), docs.columns)
+
 
-from tidemark.llm import common, queries
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents that hold no item of the benchmark."""
+    benchmark = queries.table(spark, sf_dir, "benchmark")
+    found = contamination.leaks(_boxed(docs), benchmark, common.work_dir(spark, "pipeline-leaks"))
+    return _unboxed(found.where(F.size("leaks") == 0), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,8 +59,10 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return queries.packed(spark, docs)
 
 
-STAGES = [("packing", pack)]
-ORACLE_SQL = None
+STAGES = [
+    ("language_id", language_id), ("near_dedup", one_of_each), ("decontamination", decontaminate), ("packing", pack),
+]
+ORACLE_SQL = None  # languages, near copies and packing have no SQL; tests hold them against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
