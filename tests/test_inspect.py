@@ -58,6 +58,32 @@ def test_inspection_of_variant_columns(spark, tmp_path):
     assert got == {"v": (1, 1, 1), "w": (1, 1, 1), "n": (1, 0, 0)}
 
 
+def test_lower_case_field_and_field_gained_later(spark, tmp_path):
+    today = spark.createDataFrame([("k1", "2026-08-03 01:00:00"), ("k2", "2026-08-02 01:00:00")], "key string, DATETIMESTAMP string")
+    sink.write_load(today.withColumnRenamed("DATETIMESTAMP", "datetimestamp"), f"{tmp_path}/low", 0, DAY)
+    sink.write_load(today.selectExpr("concat(key, 'x') key", "1 other"), f"{tmp_path}/late", 0, DAY)
+    sink.write_load(today, f"{tmp_path}/late", 1, DAY)
+    catalog = spark.createDataFrame([("erp", t, t, "1") for t in ("low", "late")], "domain string, view string, table string, tier string")
+    found = inspect.inspect_tables(spark, catalog, {t: f"{tmp_path}/{t}" for t in ("low", "late")}, DAY, "2026-08-03")
+    got = {r["table"]: (r["source_day_today"], r["source_day_before"], r["source_day_missing"]) for r in found.collect()}
+    assert got == {"low": (1, 1, 0), "late": (1, 1, 2)}
+
+
+def test_a_damaged_file_concerns_its_table_alone(spark, tmp_path):
+    rows = spark.createDataFrame([("k", "2026-08-03 01:00:00")], "key string, DATETIMESTAMP string")
+    for name in ("good", "bad"):
+        sink.write_load(rows, f"{tmp_path}/{name}", 0, DAY)
+    (tmp_path / "bad" / "load_id=0" / "x.parquet").write_bytes(b"nothing")
+    catalog = spark.createDataFrame([("erp", t, t, "1") for t in ("good", "bad")], "domain string, view string, table string, tier string")
+    paths = {t: f"{tmp_path}/{t}" for t in ("good", "bad")}
+    got = {r["table"]: (r["status"], r["rows_today"], bool(r["error"])) for r in inspect.inspect_tables(
+        spark, catalog, paths, DAY, "2026-08-03").collect()}
+    assert got == {"good": ("OK", 1, False), "bad": ("ERROR", 0, True)}
+    counts = {r["label"]: (r["n"], r["status"] == "OK") for r in reconcile.count_many(
+        spark, [(t, p, ("key",)) for t, p in paths.items()]).collect()}
+    assert counts == {"good": (1, True), "bad": (None, False)}
+
+
 def test_nothing_stored(spark, tmp_path):
     rows, present, failures = inspect.stored_rows(spark, {"a": f"{tmp_path}/a"}, DAY)
     assert rows.count() == present.count() == failures.count() == 0

@@ -166,3 +166,18 @@ def test_wide_rows(spark):
     df = spark.range(50).selectExpr(*columns)
     for a, b in both(df):
         assert a == b
+
+
+def test_keys_do_not_depend_on_the_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    found = set()
+    try:
+        for name in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            df = spark.range(3).selectExpr(
+                "id", "timestamp_seconds(1700000000 + id) at", "array(timestamp_seconds(id)) many",
+                "named_struct('t', timestamp_seconds(id)) one", "timestamp_ntz'2024-01-01 00:00:00' plain")
+            found.add(tuple(r[0] for r in df.select(keys.row_key(df)).collect()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert len(found) == 1

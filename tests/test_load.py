@@ -1,6 +1,6 @@
 """Incremental loads into keyed tables."""
 
-import uuid
+from types import SimpleNamespace
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -145,12 +145,67 @@ def test_last_write_wins_and_time_moves(spark, root):
     assert rows == {"k1": ("a", 1000), "k2": ("c", 2000)}
     recent = sink.read_table(spark, f"{root}/t", since_load=1).collect()
     assert [r["key"] for r in recent] == ["k2"]
-    sink.compact(spark, f"{root}/t", f"{root}/t2")
-    sink.write_load(df.where("key = 'k1'").withColumn("v", F.lit("z")), f"{root}/t2", 2, 3000)
-    rows = {r["key"]: r["v"] for r in sink.read_table(spark, f"{root}/t2").collect()}
+    sink.compact(spark, f"{root}/t")
+    sink.write_load(df.where("key = 'k1'").withColumn("v", F.lit("z")), f"{root}/t", 2, 3000)
+    rows = {r["key"]: r["v"] for r in sink.read_table(spark, f"{root}/t").collect()}
     assert rows == {"k1": "z", "k2": "c"}
 
 
+def test_compaction_then_replay_of_any_load(spark, root):
+    """A load repeated after a compaction, with more rows than before, loses nothing."""
+    def table():
+        rows = sink.read_table(spark, f"{root}/t").collect()
+        return {r["key"]: (r["v"], r["load_id"]) for r in rows}
+
+    df = spark.createDataFrame([("a", "1"), ("b", "1")], "key string, v string")
+    sink.write_load(df, f"{root}/t", 0)
+    sink.write_load(df.where("key = 'b'").withColumn("v", F.lit("2")), f"{root}/t", 1)
+    want = {"a": ("1", 0), "b": ("2", 1)}
+    for _ in range(2):
+        sink.compact(spark, f"{root}/t")
+        assert table() == want
+        assert sink.read_loads(spark, f"{root}/t").count() == len(want)
+        for load_id, v in ((0, "1"), (1, "2")):
+            rows = df if load_id == 0 else df.where("key = 'b'").withColumn("v", F.lit("2"))
+            sink.write_load(rows.union(spark.createDataFrame([("c", v)], df.schema)), f"{root}/t", load_id)
+        want = {"a": ("1", 0), "b": ("2", 1), "c": ("2", 1)}
+        assert table() == want
+    assert {r["key"] for r in sink.read_table(spark, f"{root}/t", since_load=1).collect()} == {"b", "c"}
+
+
+def test_compaction_that_dies_changes_nothing(spark, root):
+    df = spark.createDataFrame([("a", "1")], "key string, v string")
+    sink.write_load(df, f"{root}/t", 0)
+    df.withColumn("load_id", F.lit(0)).write.parquet(f"{root}/t/_base/1")  # without its list of files
+    sink.write_load(df.withColumn("key", F.lit("b")), f"{root}/t", 1)
+    assert sink.read_table(spark, f"{root}/t").count() == 2
+    sink.compact(spark, f"{root}/t")
+    assert sink.read_table(spark, f"{root}/t").count() == 2
+    with pytest.raises(ValueError):
+        sink.compact(spark, f"{root}/nothing")
+
+
+def test_columns_are_noted_beside_the_table(spark, root):
+    one = spark.createDataFrame([("a", 1)], "key string, v int")
+    sink.write_load(one, f"{root}/t", 0)
+    sink.write_load(one.withColumn("w", F.lit("x")), f"{root}/t", 1)
+    assert sink.table_schema(spark, f"{root}/t").names == ["key", "v", "w"]
+    assert sink.read_table(spark, f"{root}/t").columns == ["key", "v", "w", "load_id"]
+    sink.write_load(one.withColumn("v", F.lit("text")), f"{root}/t", 2)
+    with pytest.raises(ValueError, match="column 'v'"):
+        sink.read_table(spark, f"{root}/t")
+
+
+@pytest.mark.parametrize("as_variant", [False, True])
+def test_rows_without_a_time_are_stored_once(spark, root, as_variant):
+    rows = [*DAY1, (9, "x", "garbage"), (10, "y", "zzz")]
+    assert run(spark, root, rows, 0, as_variant=as_variant) == 4
+    assert [run(spark, root, rows, i, as_variant=as_variant) for i in (1, 2, 2)] == [1, 1, 1]
+    assert run(spark, root, [*rows, (11, "z", "garbage")], 3, as_variant=as_variant) == 2
+    assert run(spark, root, [*rows, (11, "z", "garbage")], 3, as_variant=as_variant) == 2  # repeated
+    assert sink.read_table(spark, f"{root}/t").count() == 5
+
+
 ROWS = st.lists(st.tuples(
     st.sampled_from("abc") | st.none(), st.integers(0, 3), st.integers(0, 2) | st.none()), max_size=30)
 
@@ -252,14 +307,15 @@ def test_key_in_sink_is_the_row_key(spark, root):
 
 
 def test_work_dir_follows_the_cluster_setting(spark):
-    from tidemark.session import work_dir
-    name = f"/tmp/shared-{uuid.uuid4().hex}"
-    spark.conf.set("spark.checkpoint.dir", name) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    try:
-        path = work_dir(spark, "x")
-        assert "/x-" in path
-        if spark.conf.isModifiable("spark.checkpoint.dir"):
-            assert path.startswith(name)
-    finally:
-        if spark.conf.isModifiable("spark.checkpoint.dir"):
-            spark.conf.unset("spark.checkpoint.dir")
+    from tidemark.session import SHARED, work_dir
+
+    def session(setting=None, context=None):
+        return SimpleNamespace(
+            conf=SimpleNamespace(get=lambda key, default=None: setting if key == SHARED else default),
+            sparkContext=SimpleNamespace(getCheckpointDir=lambda: context))
+
+    assert work_dir(session("hdfs:///shared/"), "x").startswith("hdfs:///shared/x-")
+    assert work_dir(session(context="/own"), "x").startswith("/own/x-")
+    with pytest.raises(ValueError):
+        work_dir(session(), "x")
+    assert "/x-" in work_dir(spark, "x")

@@ -101,7 +101,8 @@ def test_inspection_shuffles_stored_rows_once(spark, tmp_path):
     for name in "ab":
         sink.write_load(rows, f"{tmp_path}/{name}", 0, 10)
     catalog = spark.createDataFrame([("d", n, n, "1") for n in "ab"], "domain string, view string, table string, tier string")
-    found = inspect.inspect_tables(spark, catalog, {n: f"{tmp_path}/{n}" for n in "ab"}, 5, "2026-08-01")
+    rows, present, failed = inspect.stored_rows(spark, {n: f"{tmp_path}/{n}" for n in "ab"}, 5)
+    found = stats.table_stats(catalog, rows, 5, "2026-08-01", present, failed)
     assert found.collect()[0]["rows_today"] == 20
     text = plan(found)
     final = text[:text.index("Initial Plan")]
@@ -109,6 +110,32 @@ def test_inspection_shuffles_stored_rows_once(spark, tmp_path):
     assert "GreaterThanOrEqual(last_updated_time,5)" in final
 
 
+def test_statistics_read_the_rows_twice(spark, tmp_path):
+    """Once for the keys and once for the days, which also tell the tables that exist."""
+    views.with_source_day(views.raw_rows(spark, SF)).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    spark.range(1).selectExpr("'d' domain", "'V' view", "'tb_click' table", "'1' tier").write.parquet(f"{tmp_path}/c")
+    found = stats.table_stats(spark.read.parquet(f"{tmp_path}/c"), rows, 5, "2024-01-20")
+    found.collect()
+    text = plan(found)
+    final = text[:text.index("Initial Plan")]
+    assert final.count("FileScan parquet") == 3 and final.count("key#") > 0  # the catalogue is the third
+    scans = [line for line in final.split("\n") if "FileScan parquet" in line and "/rows" in line]
+    assert len(scans) == 2 and sum("key:string" in line for line in scans) == 1
+
+
+def test_reading_a_table_sorts_only_rows_of_repeated_keys(spark, tmp_path):
+    rows = spark.range(2000).select(F.col("id").cast("string").alias("key"), F.lit("w" * 50).alias("wide"))
+    sink.write_load(rows, f"{tmp_path}/t", 0)
+    sink.write_load(rows.limit(5), f"{tmp_path}/t", 1)
+    table = sink.read_table(spark, f"{tmp_path}/t")
+    assert table.count() == 2000
+    table.collect()
+    text = plan(table)
+    final = text[:text.index("Initial Plan")]
+    assert "LeftAnti, BuildRight" in final and "LeftSemi, BuildRight" in final
+
+
 def test_latest_loads_only(spark, tmp_path):
     for load_id in range(3):
         sink.write_load(spark.range(5).select(F.col("id").cast("string").alias("key")), f"{tmp_path}/t", load_id)

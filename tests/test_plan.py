@@ -6,6 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators.extract import SAMPLE_ROWS
 from tidemark.functions import classify
 from tidemark.plans import jobs, load_plan
 from tidemark.sources import catalogue
@@ -136,7 +137,7 @@ def test_previous_extract_of_every_source(spark):
         columns = ", ".join(f"'{c.lower()}' as `{c}`" for c in s.key_columns)
         df = spark.createDataFrame([(t,) for t in stamps], "DATETIMESTAMP string").selectExpr(
             *columns.split(", "), "DATETIMESTAMP")
-        out = jobs.previous_extract(s, df, as_of)
+        out = jobs.previous_extract(s, df, as_of, SAMPLE_ROWS if s.sampled else None)
         assert out.columns[0] == f"{s.view}_PK"
         if s.view in ("MDMA", "EQUI", "MDTB", "F4111", "COSP"):
             want = {"full": 15, "text": 13, "timestamp": 10 if s.sampled else 12}[s.load]

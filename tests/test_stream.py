@@ -37,11 +37,27 @@ def test_files_arrive_over_several_runs(spark, root):
     # the same row again, a new version of it, a late row and a new row
     arrive(spark, root, (1, "a", "2026-08-01 00:00:00"), (1, "A", "2026-08-03 00:00:00"), (5, "e", "2026-08-04 00:00:00"))
     assert run_once(spark, root) == [1, 1, 5]
+    # a row below the mark is in a new file, so no earlier batch has seen it
     arrive(spark, root, (6, "late", "2026-08-03 00:00:00"), (7, "g", "2026-08-04 00:00:00"))
-    assert run_once(spark, root) == [1, 1, 5, 7]
+    assert run_once(spark, root) == [1, 1, 5, 6, 7]
     assert state.read_mark(spark, f"{root}/s", "q") == "2026-08-04 00:00:00"
 
 
+def test_files_in_reverse_order_one_at_a_time(spark, root):
+    for day in (9, 5, 3, 1):
+        arrive(spark, root, (day, "a", f"2026-08-0{day} 00:00:00"), (day + 10, "old", "2026-07-01 00:00:00"))
+    assert run_once(spark, root) == [1, 3, 5, 9]
+    assert state.read_mark(spark, f"{root}/s", "q") == "2026-08-09 00:00:00"
+
+
+def test_stream_goes_on_after_a_compaction(spark, root):
+    arrive(spark, root, (1, "a", "2026-08-01 00:00:00"))
+    run_once(spark, root)
+    sink.compact(spark, f"{root}/t")
+    arrive(spark, root, (2, "b", "2026-08-02 00:00:00"))
+    assert run_once(spark, root) == [1, 2]
+
+
 def test_a_repeated_batch_stores_the_same_rows(spark, root, monkeypatch):
     """The run dies after the mark has moved and before the batch is committed."""
     real, fail = continuous.run_load, {"on": True}

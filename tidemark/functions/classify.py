@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,14 @@ DUPLICATE_FLAG = "!DUP_KEYS"
 CATCH_UP_FLAG = "~re-upsert/catch-up"
 MISSING_DAY = "<missing>"
 
+# What the message of an absent table contains, and the classes of report rows.
+ABSENT_MARKS = ("not found", "404")
+ERROR_ROW, WARNING_ROW, CATCH_UP_ROW = "err", "warn", "catchup"
+
+# Codes in the messages of failures, by class.
+MISSING_OBJECT_CODES = ("42P01", "TABLE_OR_VIEW_NOT_FOUND", "PATH_NOT_FOUND")
+UNRESOLVED_COLUMN_CODES = ("42703", "UNRESOLVED_COLUMN")
+
 # Lower bounds of tiers 2 to 5 in rows; the bounds are half open.
 TIER_BOUNDS = (1_000_000, 10_000_000, 100_000_000, 1_000_000_000)
 
@@ -21,6 +30,10 @@ LOAD_ORDER = ("1", "?", "2", "3", "4", "5")
 SPLIT_ORDER = ("5", "4", "3", "2", "1", "?")
 
 
+def _any_of(text: Column, marks: Sequence[str]) -> Column:
+    return reduce(Column.__or__, [text.contains(m) for m in marks])
+
+
 def reconcile_status(ingested: Column, expected: Column) -> Column:
     """Equality is tested first, so an empty table that should be empty is OK."""
     return (
@@ -41,9 +54,8 @@ def ingest_flag(rows: Column, unique_keys: Column, today: Column, before: Column
 
 def table_status(present: Column, message: Column) -> Column:
     """OK, MISSING or ERROR from the presence of a table and the message of a failed read."""
-    text = F.lower(message)
     return (
-        F.when(text.contains("not found") | text.contains("404"), "MISSING")
+        F.when(_any_of(F.lower(message), ABSENT_MARKS), "MISSING")
         .when(message.isNotNull(), "ERROR")
         .when(present, "OK")
         .otherwise("MISSING")
@@ -52,9 +64,9 @@ def table_status(present: Column, message: Column) -> Column:
 
 def report_row_class(status: Column, flag: Column) -> Column:
     return (
-        F.when(status != "OK", "err")
-        .when(flag == DUPLICATE_FLAG, "warn")
-        .when(flag.startswith("~re-upsert"), "catchup")
+        F.when(status != "OK", ERROR_ROW)
+        .when(flag == DUPLICATE_FLAG, WARNING_ROW)
+        .when(flag == CATCH_UP_FLAG, CATCH_UP_ROW)
         .otherwise("")
     )
 
@@ -78,9 +90,8 @@ def tier_rank(tier: Column, order: Sequence[str] = REPORT_ORDER) -> Column:
 def error_class(message: Column) -> Column:
     """Absent object, unresolved column or other, from codes in the message."""
     return (
-        F.when(message.contains("42P01") | message.contains("TABLE_OR_VIEW_NOT_FOUND")
-               | message.contains("PATH_NOT_FOUND"), "missing_object")
-        .when(message.contains("42703") | message.contains("UNRESOLVED_COLUMN"), "unresolved_column")
+        F.when(_any_of(message, MISSING_OBJECT_CODES), "missing_object")
+        .when(_any_of(message, UNRESOLVED_COLUMN_CODES), "unresolved_column")
         .otherwise("other")
     )
 

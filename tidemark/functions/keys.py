@@ -57,7 +57,7 @@ def _number_text(name: str, dtype: T.DataType) -> Column | None:
 
 
 def _printed(*members: str) -> Column:
-    return F.expr(f"to_json(struct({', '.join(members)}), map('ignoreNullFields', 'false'))")
+    return F.expr(f"to_json(struct({', '.join(members)}), map('ignoreNullFields', 'false', 'timeZone', 'UTC'))")
 
 
 def _inside(json_object: Column, skip: int = 1) -> Column:
@@ -144,6 +144,8 @@ def json_escape(text: Column, separators: str = "literal") -> Column:
 def row_key(df: DataFrame, columns: Sequence[str] | None = None, separators: str = "literal") -> Column:
     """SHA-256 of the whole escaped row, lowercase hex: any change of any column gives another key.
 
+    Instants are printed in UTC, so the key does not depend on the session's time zone.
+
     The text is never null; `coalesce` tells the optimizer so, which otherwise adds a null test
     before joins and thereby computes the key twice.
     """

@@ -18,9 +18,14 @@ INITIAL_START = "2026-08-01 00:00:00"
 SAMPLE_ROWS = 10
 
 
-def scan_view(spark: SparkSession, source: str) -> DataFrame:
-    """All columns of a source: a parquet path, or the name of a table or view."""
-    return spark.read.parquet(source) if "/" in source else spark.table(source)
+def scan_view(spark: SparkSession, name: str) -> DataFrame:
+    """All columns of a table or view; the name is quoted where it holds odd characters."""
+    return spark.table(name)
+
+
+def scan_path(spark: SparkSession, path: str) -> DataFrame:
+    """All columns of a parquet file or folder."""
+    return spark.read.parquet(path)
 
 
 def incremental_filter(
@@ -77,15 +82,6 @@ def smoke_sample(df: DataFrame, order_by: Sequence[str] = (), rows: int = SAMPLE
     return (df.orderBy(*order_by) if order_by else df).limit(rows)
 
 
-def take_sample(df: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """A few arbitrary rows, fetched now.
-
-    A limit that is written or joined starts a task on every partition; fetching the rows reads
-    one partition first and more only if it holds too few.
-    """
-    return df.sparkSession.createDataFrame(df.take(rows), df.schema)
-
-
 def order_incremental(df: DataFrame, field: str = INCREMENTAL_FIELD, *ties: str) -> DataFrame:
     """Total order by the incremental field. A range shuffle: use it to read in order, not to load.
 

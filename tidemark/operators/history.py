@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.stats import summary_by_domain, summary_by_tier
-from tidemark.session import written
 
 DOMAIN = "struct<tables: bigint, ok: bigint, missing: bigint, errors: bigint, upd_today: bigint, " \
     "src_today: bigint, src_old: bigint, dup_keys: bigint, reupsert: bigint>"
@@ -36,10 +35,11 @@ def history_entry(
 ) -> DataFrame:
     """One run as one row: summaries, the statistics of every table and constant labels.
 
-    The statistics, one row per table, are computed once and written, because three results
-    derive from them. The collected lists have one element per domain, per tier and per table.
+    The statistics, one row per table of the catalogue, are computed once and held by the driver,
+    because three results derive from them. The collected lists have one element per domain, per
+    tier and per table.
     """
-    stats = written(stats, "stats")
+    stats = stats.sparkSession.createDataFrame(stats.collect(), stats.schema)
     parts = (
         _as_map(summary_by_domain(stats), "domain", "by_domain"),
         _as_map(summary_by_tier(stats, tiered_domains), "tier", "by_tier"),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.errors import PySparkException
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.classify import reconcile_status
-from tidemark.operators.extract import scan_view
+from tidemark.operators.extract import scan_path
 from tidemark.session import in_parallel
 
 COUNTED = "place int, label string, source string, n long, status string, message string, seconds double"
@@ -29,39 +29,45 @@ def _failure(e: Exception) -> tuple[str, str]:
 def count_many(
     spark: SparkSession,
     targets: Iterable[tuple[str, str, Sequence[str]]],
-    isolate: bool = False,
     parallel: int = 8,
+    read: Callable[[SparkSession, str], DataFrame] = scan_path,
 ) -> DataFrame:
-    """Row counts of `(label, source, columns)` targets, one row each, in one job.
+    """Row counts of `(label, source, columns)` targets, one row each.
 
-    `columns` are columns the source must have, `place` is the place of a target in the list. A
-    target that cannot be resolved (absent source, absent column) becomes a row with a null count
-    and the first line of its error. With `isolate` every target is counted and timed on its own,
-    so that a failure while reading is also confined to its row. `parallel` targets are opened,
-    or counted, at a time.
+    `columns` are columns the source must have, `place` is the place of a target in the list, `read`
+    opens a source. All that can be opened are counted in one job. Should a read fail in it,
+    every target is counted and timed on its own. A target that cannot be opened or read
+    becomes a row with a null count and the first line of its error. `parallel` targets are
+    opened, or counted, at a time.
     """
 
-    def count(item: tuple[int, tuple[str, str, Sequence[str]]]) -> DataFrame | tuple:
+    def opened(item: tuple[int, tuple[str, str, Sequence[str]]]) -> DataFrame | tuple:
         place, (label, source, columns) = item
-        started = time.monotonic()
         try:
-            counts = scan_view(spark, source).select(*columns).agg(F.count("*").alias("n"))
-            if isolate:
-                return place, label, source, counts.first()["n"], "OK", None, time.monotonic() - started
-            return counts.select(
-                F.lit(place).alias("place"), F.lit(label).alias("label"),
-                F.lit(source).alias("source"), "n", F.lit("OK").alias("status"),
-                F.lit(None).cast("string").alias("message"), F.lit(None).cast("double").alias("seconds"),
-            )
+            counts = read(spark, source).select(*columns).agg(F.count("*").alias("n"))
+            return counts.select(F.lit(place).alias("place"), F.lit(label).alias("label"), F.lit(source).alias("source"), "n")
         except Exception as e:  # any failure of one target belongs to that target
+            return place, label, source, None, *_failure(e), None
+
+    def counted(item: tuple[DataFrame, tuple]) -> tuple:
+        counts, (place, (label, source, _)) = item
+        started = time.monotonic()
+        try:
+            return (*counts.first(), "OK", None, time.monotonic() - started)
+        except Exception as e:
             return place, label, source, None, *_failure(e), time.monotonic() - started
 
-    results = in_parallel(spark, count, enumerate(targets), parallel)
-    counted = [r for r in results if isinstance(r, DataFrame)]
-    rows = [r for r in results if not isinstance(r, DataFrame)]
-    if rows or not counted:
-        counted.append(spark.createDataFrame(rows, COUNTED))
-    return reduce(DataFrame.unionByName, counted)
+    items = list(enumerate(targets))
+    found = in_parallel(spark, opened, items, parallel)
+    rows = [r for r in found if not isinstance(r, DataFrame)]
+    good = [(r, item) for r, item in zip(found, items) if isinstance(r, DataFrame)]
+    if good:
+        try:
+            together = reduce(DataFrame.unionByName, [df for df, _ in good]).collect()  # one row per target
+            rows += [(*r, "OK", None, None) for r in together]
+        except Exception:  # some target cannot be read: find out which
+            rows += in_parallel(spark, counted, good, parallel)
+    return spark.createDataFrame(sorted(rows, key=lambda r: r[0]), COUNTED)
 
 
 def count_many_total(counts: DataFrame) -> DataFrame:

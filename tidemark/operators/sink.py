@@ -3,11 +3,18 @@
 A table is a parquet folder with one sub-folder per load. A load only ever writes its own
 sub-folder, so repeating it after a failure replaces its own rows and nothing else, and the
 cost of a load follows the rows of the load, not the rows of the table. Reading collapses the
-loads; `compact` does that once for all loads so far.
+loads.
+
+`compact` does that once for all rows so far. It writes them beside the loads, as a base, and then
+the list of the files they came from. Readers take the base and every file that is not in its
+list: later loads, and loads repeated since, whose files are new. So loads and streams go on
+writing as before, and a repeated load loses nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -18,6 +25,9 @@ from pyspark.sql import types as T
 LOAD = "load_id"
 UPDATED = "last_updated_time"
 COLUMNS = "columns"
+# Folders beside the loads; readers of loads do not look into them.
+SCHEMAS, BASES, FOLDED = "_schemas", "_base", "_folded"
+ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
 def last_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -95,25 +105,84 @@ def write_load(
     if rows_per_file is not None:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
     writer.parquet(f"{path}/{LOAD}={load_id}")
+    _keep_schema(df, path, load_id)
 
 
-def read_loads(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, merge: bool = True
-) -> DataFrame | None:
-    """All loads of a table, or None when nothing was ever stored.
+def _keep_schema(df: DataFrame, path: str, load_id: int) -> None:
+    """Note the columns of a load beside the table, unless a load before had the same."""
+    text = df.schema.json()
+    digest = hashlib.md5(text.encode()).hexdigest()
+    line = json.dumps({LOAD: load_id, "schema": text})
+    row = df.sparkSession.range(1).select(F.lit(line).alias("value"))
+    row.coalesce(1).write.mode("ignore").text(f"{path}/{SCHEMAS}/{digest}")
+
 
-    Sources may gain columns, so by default the schemas of all loads are merged, which reads
-    every footer. A given `schema` spares that; so does `merge=False`, which takes the columns of
-    any one file.
+def table_schema(spark: SparkSession, path: str) -> T.StructType | None:
+    """The columns of all loads in the order of their first load; None if none were noted.
+
+    A column whose type has changed makes the table unreadable; `schemaless` rows avoid that.
     """
-    reader = spark.read.option("mergeSchema", merge) if schema is None else spark.read.schema(schema)
     try:
-        df = reader.parquet(path)
+        lines = [json.loads(r[0]) for r in spark.read.text(f"{path}/{SCHEMAS}/*").collect()]
+    except AnalysisException as e:
+        if e.getCondition() in ABSENT:
+            return None
+        raise
+    fields: dict[str, T.StructField] = {}
+    for line in sorted(lines, key=lambda x: (x[LOAD], x["schema"])):
+        for f in T.StructType.fromJson(json.loads(line["schema"])).fields:
+            known = fields.setdefault(f.name, T.StructField(f.name, f.dataType))
+            if known.dataType != f.dataType:
+                raise ValueError(f"{path}: column {f.name!r} is {known.dataType} and {f.dataType}")
+    return T.StructType(list(fields.values()))
+
+
+def _read(spark: SparkSession, paths: Sequence[str], schema: T.StructType | None, base: str | None = None):
+    reader = spark.read.option("mergeSchema", True) if schema is None else spark.read.schema(schema)
+    if base is not None:
+        reader = reader.option("basePath", base)
+    try:
+        return reader.parquet(*paths)
     except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if e.getCondition() in ABSENT:
             return None
         raise
-    return df.withColumn(LOAD, F.col(LOAD).cast("long"))
+
+
+def _bases(spark: SparkSession, path: str) -> int | None:
+    """The number of the current base: the last one whose list of files is complete."""
+    done = _read(spark, [f"{path}/{FOLDED}"], T.StructType.fromDDL("file string, base int"))
+    return None if done is None else done.agg(F.max("base")).first()[0]
+
+
+def read_loads(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, since_load: int | None = None
+) -> DataFrame | None:
+    """The rows of all loads of a table, collapsed or not, or None when nothing was ever stored.
+
+    The columns are those noted by the loads, or else those of all footers. `since_load` leaves
+    out earlier loads. Rows in a base keep the number of their load.
+    """
+    schema = schema or table_schema(spark, path)
+    loads = _read(spark, [path], schema)
+    if loads is None:
+        return None
+    number = F.col(LOAD).cast("long")
+    base = _bases(spark, path)
+    if base is None:
+        loads = loads.withColumn(LOAD, number)
+    else:
+        columns = [c for c in loads.columns if c != LOAD] + [LOAD]
+        folded = _read(spark, [f"{path}/{FOLDED}/base={base}"], T.StructType.fromDDL("file string"))
+        known = {r.file for r in folded.collect()}  # one line per file, as in any listing
+        kept = T.StructType([f for f in loads.schema.fields if f.name != LOAD] + [T.StructField(LOAD, T.LongType())])
+        rows = spark.read.schema(kept).parquet(f"{path}/{BASES}/{base}").select(*columns)
+        new = [f for f in loads.inputFiles() if f.rpartition("/")[2] not in known]
+        if new:
+            later = _read(spark, new, T.StructType([f for f in loads.schema.fields if f.name != LOAD]), path)
+            rows = rows.union(later.withColumn(LOAD, number).select(*columns))
+        loads = rows
+    return loads if since_load is None else loads.where(F.col(LOAD) >= since_load)
 
 
 def read_load(
@@ -136,18 +205,35 @@ def read_table(
     `since_load` keeps the keys written by that load or a later one. Their latest row is in one
     of these loads, so the others are not read.
     """
-    loads = read_loads(spark, path, schema)
-    if loads is None:
-        return None
-    if since_load is not None:
-        loads = loads.where(F.col(LOAD) >= since_load)
-    return last_per_key(loads.where(F.col(key).isNotNull()), key, [LOAD])
+    loads = read_loads(spark, path, schema, since_load)
+    return None if loads is None else collapse(loads, key, [LOAD])
+
 
+def collapse(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """One row per key, for stored rows of which most have a key of their own.
+
+    A first pass over the keys alone finds those of several rows; only their rows are shuffled
+    and sorted whole, the others pass through. Rows without a key are not kept.
+    """
+    several = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key"))
+    several = several.agg(F.count("*").alias("_n")).where("_n > 1").select("_key")
+    single = rows.where(F.col(key).isNotNull()).join(several, F.col(key) == F.col("_key"), "left_anti")
+    rest = rows.join(several, F.col(key) == F.col("_key"), "left_semi")
+    return single.unionByName(last_per_key(rest, key, order))
 
-def compact(spark: SparkSession, path: str, target: str, key: str = "key") -> None:
-    """Write the collapsed table as the first load of a new folder; readers then move to it."""
-    rows = read_table(spark, path, key)
+
+def compact(spark: SparkSession, path: str, key: str = "key") -> None:
+    """Collapse all rows so far into a new base. Readers use it once its list of files is written.
+
+    A run that fails before that leaves the table as it was and is simply repeated.
+    """
+    schema = table_schema(spark, path)
+    loads = _read(spark, [path], schema)
+    rows = read_table(spark, path, key, schema=schema)
     if rows is None:
         raise ValueError(f"nothing stored at {path}")
-    last = read_loads(spark, path).agg(F.max(LOAD)).first()[0]
-    write_load(rows.drop(LOAD), target, last)
+    base = (_bases(spark, path) or 0) + 1
+    files = [(f.rpartition("/")[2],) for f in loads.inputFiles()]
+    rows.write.mode("overwrite").parquet(f"{path}/{BASES}/{base}")
+    folded = spark.createDataFrame(files, "file string").coalesce(1)
+    folded.write.mode("overwrite").parquet(f"{path}/{FOLDED}/base={base}")

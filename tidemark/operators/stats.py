@@ -36,10 +36,14 @@ def unique_keys(fresh: DataFrame, by: str = "table") -> DataFrame:
     return fresh.groupBy(by).agg(F.count_distinct("key").alias("unique_keys"))
 
 
-def day_counts(fresh: DataFrame) -> DataFrame:
-    """Rows per table and source day; everything about days derives from this small result."""
+def day_counts(rows: DataFrame, since_ms: int | None = None) -> DataFrame:
+    """Rows per table and source day; everything about days derives from this small result.
+
+    With `since_ms`, rows stored before count for nothing, but their table and day are listed.
+    """
     day = F.coalesce("source_day", F.lit(MISSING_DAY)).alias("day")
-    return fresh.groupBy("table", day).agg(F.count("*").alias("n"))
+    n = F.count("*") if since_ms is None else F.count_if(F.col("last_updated_time") >= since_ms)
+    return rows.groupBy("table", day).agg(n.alias("n"))
 
 
 def source_age_split(days: DataFrame, today: str) -> DataFrame:
@@ -50,6 +54,7 @@ def source_age_split(days: DataFrame, today: str) -> DataFrame:
         return F.sum(F.when(condition, F.col("n")).otherwise(0)).alias(name)
 
     return days.groupBy("table").agg(
+        F.sum("n").alias("rows_today"),
         total(day == today, "source_day_today"),
         total((day != today) & (day != MISSING_DAY), "source_day_before"),
         total(day == MISSING_DAY, "source_day_missing"),
@@ -73,31 +78,32 @@ def table_stats(
     """One row per catalog entry: counts of the day, top source days, status and flag.
 
     `present` lists the tables that exist (default: those with any row), `failures` the tables
-    that could not be read with their messages. Two passes over the rows of the day read
-    disjoint columns: keys for the distinct count, source days for the rest. All joins are
-    between results of one row per table.
+    that could not be read with their messages. Two passes over the rows read disjoint columns:
+    keys for the distinct count, source days for all else. With `present`, both read the rows of
+    the day alone; without, the pass over the days reads all rows and finds the tables as well.
+    All joins are between results of one row per table.
     """
     fresh = updated_since(rows, since_ms)
-    if present is None:
-        present = rows.select("table").distinct()
+    days = day_counts(rows, since_ms) if present is None else day_counts(fresh)
     if failures is None:
-        failures = present.sparkSession.createDataFrame([], "table string, message string")
+        failures = rows.sparkSession.createDataFrame([], "table string, message string")
 
-    keys = fresh.groupBy("table").agg(
-        F.count("*").alias("rows_today"), F.count_distinct("key").alias("unique_keys")
-    )
-    days = day_counts(fresh)
-    top = top_source_days(days).groupBy("table").agg(
+    keys = unique_keys(fresh)
+    ages = source_age_split(days, today)
+    if present is None:
+        found = catalog.join(ages.withColumn("present", F.lit(True)), "table", "left")
+    else:
+        found = catalog.join(present.withColumn("present", F.lit(True)), "table", "left")
+        found = found.join(ages, "table", "left")
+    top = top_source_days(days.where("n > 0")).groupBy("table").agg(
         F.array_sort(F.collect_list(F.struct("place", "day", "n"))).alias("top")
     )
     counters = (
         "rows_today", "unique_keys", "source_day_today", "source_day_before", "source_day_missing"
     )
     joined = (
-        catalog.join(present.withColumn("present", F.lit(True)), "table", "left")
-        .join(failures, "table", "left")
+        found.join(failures, "table", "left")
         .join(keys, "table", "left")
-        .join(source_age_split(days, today), "table", "left")
         .join(top, "table", "left")
         .withColumn("status", table_status(F.coalesce("present", F.lit(False)), F.col("message")))
     )

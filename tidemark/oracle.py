@@ -264,12 +264,18 @@ def _history_append() -> str:
 
 
 def events_days() -> str:
-    """CTE of the rows a second load stores, per event type: those at or after the first load's mark."""
+    """CTE of the rows in the stored tables of `inspect_stored`: when stored, and the day of the field.
+
+    Views and sign-ups are stored by their time, the others by loads: again from the first load's
+    mark on, text that is no time once. The first sign-ups have no field.
+    """
     return f"""
 type_marks AS (SELECT event_type, max("DATETIMESTAMP") AS m FROM src_events
   WHERE ts < TIMESTAMP '{TODAY}' AND {_LATER} AND {_WELL} GROUP BY ALL),
-stored AS (SELECT *, CASE WHEN {_WELL} THEN substr("DATETIMESTAMP", 1, 10) END AS day
-  FROM src_events JOIN type_marks USING (event_type) WHERE "DATETIMESTAMP" >= m)"""
+stored AS (SELECT *, CASE WHEN event_type IN ('view', 'signup') OR NOT {_WELL} THEN ts >= TIMESTAMP '{TODAY}'
+    ELSE "DATETIMESTAMP" >= m END AS fresh,
+    CASE WHEN {_WELL} THEN substr("DATETIMESTAMP", 1, 10) END AS day
+  FROM src_events LEFT JOIN type_marks USING (event_type) WHERE {_LATER})"""
 
 
 def _line_columns(prefix: str = "") -> str:
@@ -378,6 +384,7 @@ WHERE NOT EXISTS (SELECT 1 FROM catalog WHERE "table" = 'tb_nowhere')"""
     )
     counts += " UNION ALL SELECT 14, 'no_such_file', NULL, 'missing_object'"
     counts += " UNION ALL SELECT 15, 'no_such_column', NULL, 'unresolved_column'"
+    counts += " UNION ALL SELECT 16, 'damaged', NULL, 'other'"
     sql["count_many"] = f"SELECT label, CAST(n AS DOUBLE) AS n, status FROM ({counts})"
     sql["count_many_total"] = f"""
 SELECT count(n) AS ok, count(*) AS targets, CAST(sum(n) AS BIGINT) AS total_rows,
@@ -425,7 +432,7 @@ WITH shaped AS (
       WHEN 1 THEN '(''42703'', ''no column C' || user_id || ''')'
       WHEN 2 THEN '[UNRESOLVED_COLUMN.WITH_SUGGESTION] a column cannot be resolved'
       ELSE 'read timed out' END AS m
-  FROM events WHERE event_type = 'error')
+  FROM events)
 SELECT error_class, count(*) AS n, min(m) AS example FROM shaped GROUP BY error_class"""
 
     sql["day_over_day_delta"] = f"""{stats}, {HISTORY}, by_domain AS ({BY_DOMAIN})
@@ -476,7 +483,21 @@ SELECT worker, {queue.replace('OVER (', 'OVER (PARTITION BY worker ')} AS queue_
     sql["stream_incremental_upsert"] = events + f"SELECT key, event_id, \"DATETIMESTAMP\" FROM ({loaded})"
     sql["catchup_then_delta"] = events + f""", loaded AS ({loaded}),
 mark AS (SELECT max("DATETIMESTAMP") AS m FROM loaded WHERE ts < TIMESTAMP '{TODAY}' AND {_WELL})
-SELECT key, event_id, CAST("DATETIMESTAMP" >= m AS BIGINT) AS load_id FROM loaded, mark"""
+SELECT key, event_id, CAST(CASE WHEN {_WELL} THEN "DATETIMESTAMP" >= m ELSE ts >= TIMESTAMP '{TODAY}' END
+  AS BIGINT) AS load_id FROM loaded, mark"""
+    sql["stream_bounded_files"] = events + f"""
+SELECT key, event_id, CAST(ts < TIMESTAMP '{TODAY}' AS BIGINT) AS load_id FROM ({loaded})"""
+    sql["repeat_loads"] = events + f""", loaded AS ({loaded}),
+again AS (SELECT count(*) AS n FROM loaded
+  WHERE "DATETIMESTAMP" = (SELECT max("DATETIMESTAMP") FROM loaded WHERE {_WELL}))
+SELECT 0 AS load_id, count(*) AS n FROM loaded
+UNION ALL SELECT 1, n FROM again UNION ALL SELECT 2, n FROM again"""
+    sql["compact_then_replay"] = events + f""", loaded AS ({loaded}),
+marks AS (SELECT max("DATETIMESTAMP") FILTER (WHERE ts < TIMESTAMP '{YESTERDAY}') AS m1,
+  max("DATETIMESTAMP") FILTER (WHERE ts < TIMESTAMP '{TODAY}') AS m2 FROM loaded WHERE {_WELL})
+SELECT key, event_id, CAST(CASE WHEN {_WELL} THEN CAST("DATETIMESTAMP" >= m1 AS INT) + CAST("DATETIMESTAMP" >= m2 AS INT)
+  ELSE CAST(ts >= TIMESTAMP '{YESTERDAY}' AS INT) + CAST(ts >= TIMESTAMP '{TODAY}' AS INT) END AS BIGINT) AS load_id
+FROM loaded, marks"""
     sql["replay_idempotent"] = events + f""", loaded AS ({loaded})
 SELECT 'offered' AS "rows", 2 * count(*) AS n, {UPDATED_MS} AS first_update FROM loaded
 UNION ALL SELECT 'kept', count(DISTINCT key), {UPDATED_MS + 1} FROM loaded"""
@@ -485,18 +506,35 @@ arrived AS (SELECT *, ts + (event_id % 3) * INTERVAL 1 DAY AS arrival FROM src_e
 SELECT event_id, "DATETIMESTAMP" FROM arrived
 WHERE arrival >= TIMESTAMP '2024-01-16' AND "DATETIMESTAMP" < (
   SELECT max("DATETIMESTAMP") FROM arrived WHERE arrival < TIMESTAMP '2024-01-16' AND {_WELL})"""
-    sql["inspect_stored"] = f"""WITH {SRC_EVENTS}, {CATALOG}, {events_days()},
+    stored = f"""WITH {SRC_EVENTS}, {CATALOG}, {events_days()}"""
+    sql["inspect_stored"] = f"""{stored},
 per_table AS (
-  SELECT 'tb_' || event_type AS "table", count(*) AS rows_today, count(DISTINCT event_id) AS unique_keys,
-    count(*) FILTER (WHERE day = '{TODAY}') AS source_day_today,
-    count(*) FILTER (WHERE day <> '{TODAY}') AS source_day_before,
-    count(*) FILTER (WHERE day IS NULL) AS source_day_missing FROM stored GROUP BY ALL)
-SELECT domain, view, "table", tier, coalesce(rows_today, 0) AS rows_today, coalesce(unique_keys, 0) AS unique_keys,
+  SELECT 'tb_' || event_type AS "table", count(*) FILTER (WHERE fresh) AS rows_today,
+    count(*) FILTER (WHERE fresh AND day = '{TODAY}') AS source_day_today,
+    count(*) FILTER (WHERE fresh AND day <> '{TODAY}') AS source_day_before,
+    count(*) FILTER (WHERE fresh AND day IS NULL) AS source_day_missing FROM stored GROUP BY ALL)
+SELECT domain, view, "table", tier, coalesce(rows_today, 0) AS rows_today, coalesce(rows_today, 0) AS unique_keys,
   coalesce(source_day_today, 0) AS source_day_today, coalesce(source_day_before, 0) AS source_day_before,
   coalesce(source_day_missing, 0) AS source_day_missing,
-  CASE WHEN rows_today IS NULL THEN 'MISSING' ELSE 'OK' END AS status,
-  CASE WHEN rows_today > 0 AND source_day_before > source_day_today THEN '~re-upsert/catch-up' ELSE '' END AS flag
+  CASE WHEN "table" = 'tb_locked' THEN 'ERROR' WHEN rows_today IS NULL THEN 'MISSING' ELSE 'OK' END AS status,
+  CASE WHEN rows_today > 0 AND source_day_before > source_day_today THEN '~re-upsert/catch-up' ELSE '' END AS flag,
+  "table" = 'tb_locked' AS failed
 FROM catalog LEFT JOIN per_table USING ("table")"""
+    sql["daily_inspection"] = f"""{stored},
+counted AS (SELECT domain, count(event_id) FILTER (WHERE fresh) AS today, count(event_id) AS both_days
+  FROM catalog LEFT JOIN stored ON "table" = 'tb_' || event_type GROUP BY domain)
+SELECT domain, today AS upd_today, both_days AS prev_upd, printf('%+d', today - both_days) AS delta FROM counted"""
+    sql["reconcile_stored"] = f"""{stored},
+expected AS (
+  SELECT 'tb_' || event_type AS key,
+    count(*) + CASE event_type WHEN 'click' THEN 5 WHEN 'view' THEN -5 ELSE 0 END AS expected_rows
+  FROM events GROUP BY event_type
+  UNION ALL SELECT 'tb_absent', 7 UNION ALL SELECT 'tb_empty', 0 UNION ALL SELECT 'tb_locked', 3),
+counted AS (SELECT key, expected_rows, count(event_id) AS row_ingested
+  FROM expected LEFT JOIN stored ON key = 'tb_' || event_type GROUP BY ALL)
+SELECT *, row_ingested - expected_rows AS diff, CASE WHEN row_ingested = expected_rows THEN 'OK'
+  WHEN row_ingested = 0 THEN 'EMPTY' WHEN row_ingested < expected_rows THEN 'MISSING' ELSE 'EXTRA' END AS status,
+  key = 'tb_locked' AS failed FROM counted"""
     ledger = f"""
 SELECT 'events' AS query, 'success' AS status, count(*) AS "rows", NULL AS error_class
 FROM src_events WHERE {_LATER}
@@ -511,10 +549,12 @@ SELECT count(*) AS queries, count(*) FILTER (WHERE status = 'success') AS succee
   string_agg(query, ', ' ORDER BY query) FILTER (WHERE status = 'failure') AS failed,
   CASE WHEN bool_or(status = 'failure') THEN 'failure' ELSE 'success' END AS status FROM ledger"""
     smoke = " UNION ALL ".join(
-        f"SELECT '{t}' AS query, 'success' AS status, CAST(least(10, count(*)) AS DOUBLE) AS \"rows\", "
-        f"NULL AS error_class FROM {t}" for t in TABLES
+        f"SELECT '{t}' AS query, 'success' AS status, CAST(count(*) AS DOUBLE) AS \"rows\", NULL AS error_class, "
+        f"min(k) AS first_key, max(k) AS last_key FROM (SELECT {row_key(COLUMNS[t])} AS k FROM "
+        f"(SELECT * FROM {t} ORDER BY {', '.join(c.split(':')[0] for c in COLUMNS[t].split() if c[-1] != 'f')} LIMIT 10))"
+        for t in TABLES
     )
     sql["smoke_run"] = smoke + """
-UNION ALL SELECT 'absent', 'failure', NULL, 'missing_object'
-UNION ALL SELECT 'no_such_column', 'failure', NULL, 'unresolved_column'"""
+UNION ALL SELECT 'absent', 'failure', NULL, 'missing_object', NULL, NULL
+UNION ALL SELECT 'no_such_column', 'failure', NULL, 'unresolved_column', NULL, NULL"""
     return sql

@@ -2,7 +2,7 @@
 
 Inputs have one row per table of a catalogue: `name`, `tier`, `n` (rows, null when not counted)
 and for the split `place` (order of the source list). Their size is the number of tables, which
-does not grow with the data, so windows over a whole plan are small.
+does not grow with the data, so windows over a whole plan are small; `one_plan` makes sure of it.
 """
 
 from __future__ import annotations
@@ -17,6 +17,14 @@ from tidemark.functions.classify import LOAD_ORDER, SPLIT_ORDER, tier_of_volume,
 
 
 TOTAL = "total"
+MOST_TABLES = 100_000
+
+
+def one_plan(tables: DataFrame) -> DataFrame:
+    """The plan, if it has one line per table of a catalogue: more than `MOST_TABLES` lines are an error."""
+    if tables.limit(MOST_TABLES + 1).count() > MOST_TABLES:
+        raise ValueError(f"a load plan has at most {MOST_TABLES} lines")
+    return tables
 
 
 def with_tier(tables: DataFrame, **bounds) -> DataFrame:
@@ -48,7 +56,7 @@ def volume_concentration(tables: DataFrame) -> DataFrame:
     """Counted tables from the largest down, with the share of all rows up to each."""
     largest = Window.orderBy(F.desc("n"), F.asc("name"))
     so_far = F.sum("n").over(largest.rowsBetween(Window.unboundedPreceding, 0))
-    return tables.where(F.col("n").isNotNull()).select(
+    return one_plan(tables).where(F.col("n").isNotNull()).select(
         F.row_number().over(largest).alias("top"),
         "name",
         "n",
@@ -61,6 +69,7 @@ def small_first_order(tables: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     queue = Window.partitionBy(*by).orderBy(
         tier_rank(F.col("tier"), LOAD_ORDER), F.coalesce("n", F.lit(0)), "name"
     )
+    tables = tables if by else one_plan(tables)
     return tables.withColumn("queue_place", F.row_number().over(queue))
 
 
@@ -74,8 +83,8 @@ def balanced_split(tables: DataFrame, workers: int, plan: str | None = None) ->
     only one line per table arrives here.
     """
     if plan is None:
-        one_plan = tables.withColumn("plan", F.lit(0))
-        return balanced_split(one_plan, workers, "plan").drop("plan")
+        whole = one_plan(tables).withColumn("plan", F.lit(0))
+        return balanced_split(whole, workers, "plan").drop("plan")
     columns = [f"{f.name} {f.dataType.simpleString()}" for f in tables.schema.fields]
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import classify, keys, times
 from tidemark.operators import extract, history, inspect, load, reconcile, sink, state, stats
-from tidemark.plans import load_plan
+from tidemark.plans import jobs, load_plan
 from tidemark.session import configure, work_dir
 from tidemark.sources import views
 from tidemark.sources.views import START, TABLES, TIERED, TODAY, YESTERDAY, table
@@ -316,10 +316,18 @@ def _counts(spark, sf) -> DataFrame:
     targets += [
         ("no_such_file", f"{sf}/no_such_file.parquet", ()),
         ("no_such_column", f"{sf}/orders.parquet", ("no_such_column",)),
+        ("damaged", _damaged(spark, f"{work_dir(spark, 'counts')}/damaged", table(spark, sf, "orders")), ()),
     ]
     return reconcile.count_many(spark, targets)
 
 
+def _damaged(spark, path: str, rows: DataFrame) -> str:
+    """A stored table of which one file is no parquet file."""
+    sink.write_load(rows, path, 0)
+    spark.range(1).select(F.lit("damaged").alias("value")).write.text(f"{path}/{sink.LOAD}=1")
+    return path
+
+
 @query
 def count_many(spark, sf):
     counts = _counts(spark, sf)
@@ -359,7 +367,7 @@ def unique_keys(spark, sf):
 
 @query
 def source_age_split(spark, sf):
-    return stats.source_age_split(stats.day_counts(_fresh(spark, sf)), TODAY)
+    return stats.source_age_split(stats.day_counts(_fresh(spark, sf)), TODAY).drop("rows_today")
 
 
 @query
@@ -443,7 +451,7 @@ def report_row_class(spark, sf):
 
 @query
 def error_class(spark, sf):
-    """Failure messages of the error events, in four shapes, by class."""
+    """Failure messages made from all events, in four shapes, by class."""
     i = F.col("event_id")
     message = (
         F.when(i % 4 == 0, F.concat(F.lit("('42P01', 'no view v_"), "user_id", F.lit("')\nat x")))
@@ -451,7 +459,7 @@ def error_class(spark, sf):
         .when(i % 4 == 2, F.lit("[UNRESOLVED_COLUMN.WITH_SUGGESTION] a column cannot be resolved\n42P"))
         .otherwise("read timed out")
     )
-    errors = table(spark, sf, "events").where(F.col("event_type") == "error").select(message.alias("m"))
+    errors = table(spark, sf, "events").select(message.alias("m"))
     first = classify.first_line(F.col("m"))
     return errors.groupBy(classify.error_class(first).alias("error_class")).agg(
         F.count("*").alias("n"), F.min(first).alias("example")
@@ -595,6 +603,48 @@ def catchup_then_delta(spark, sf):
     return sink.read_table(spark, f"{root}/table").select("key", "event_id", "load_id")
 
 
+@query
+def stream_bounded_files(spark, sf):
+    """The later half of the events arrives first; one file per batch stores what all at once would."""
+    root = work_dir(spark, "bounded")
+    events = table(spark, sf, "events")
+    late = F.col("ts") >= F.lit(TODAY).cast("timestamp_ntz")
+    for part in (events.where(late), events.where(~late)):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = views.events_source(continuous.read_stream(spark, f"{root}/in", events.schema, files_per_trigger=1))
+    run = continuous.start_load(
+        stream, "events", f"{root}/table", f"{root}/state", f"{root}/checkpoint", START, once=True
+    )
+    run.awaitTermination()
+    return sink.read_table(spark, f"{root}/table").select("key", "event_id", "load_id")
+
+
+@query
+def repeat_loads(spark, sf):
+    """Rows stored by three loads of an unchanged source: after the first, only those at the mark."""
+    root = work_dir(spark, "repeat")
+    events = views.src_events(spark, sf)
+    for load_id in range(3):
+        load.run_load(spark, events, "events", f"{root}/table", f"{root}/state", load_id, START)
+    return sink.read_loads(spark, f"{root}/table").groupBy("load_id").agg(F.count("*").alias("n"))
+
+
+@query
+def compact_then_replay(spark, sf):
+    """Two loads, a compaction, the second load repeated, a third load: all rows are there."""
+    root = work_dir(spark, "compact")
+    args = f"{root}/table", f"{root}/state"
+    events = views.src_events(spark, sf)
+    early = events.where(F.col("ts") < F.lit(YESTERDAY).cast("timestamp_ntz"))
+    until = events.where(F.col("ts") < F.lit(TODAY).cast("timestamp_ntz"))
+    load.run_load(spark, early, "events", *args, 0, START)
+    load.run_load(spark, until, "events", *args, 1, START)
+    sink.compact(spark, f"{root}/table")
+    load.run_load(spark, until, "events", *args, 1, START)
+    load.run_load(spark, events, "events", *args, 2, START)
+    return sink.read_table(spark, f"{root}/table").select("key", "event_id", "load_id")
+
+
 @query
 def replay_idempotent(spark, sf):
     """The same rows stored by three loads: rows offered against rows kept."""
@@ -653,13 +703,14 @@ def run_ledger_result(spark, sf):
 
 @query
 def smoke_run(spark, sf):
-    """Ten rows of every table, keyed and stored, and two sources that fail: the ledger."""
+    """The first ten rows of every table, keyed and stored, and two sources that fail."""
     root = work_dir(spark, "smoke")
 
     def one(name, source):
         def go():
-            sample = keys.with_key(extract.take_sample(source()))
-            sink.write_load(sample, f"{root}/{name}", 0, UPDATED_MS)
+            rows = source()
+            order = [f.name for f in rows.schema.fields if f.dataType.typeName() != "array"]
+            sink.write_load(keys.with_key(extract.smoke_sample(rows, order)), f"{root}/{name}", 0, UPDATED_MS)
             return sink.read_load(spark, f"{root}/{name}", 0).count()
         return name, go
 
@@ -667,27 +718,77 @@ def smoke_run(spark, sf):
     loads.append(one("absent", lambda: table(spark, sf, "absent")))
     loads.append(one("no_such_column", lambda: table(spark, sf, "orders").where("no_such_column = 1")))
     ledger = load.run_all(spark, loads, parallel=4)
-    return _alike(ledger.select("query", "status", "rows", "error_class"), "rows")
+    stored = _union(
+        sink.read_load(spark, f"{root}/{name}", 0).agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"))
+        .withColumn("query", F.lit(name)) for name in TABLES
+    )
+    return _alike(ledger.join(stored, "query", "left").select(
+        "query", "status", "rows", "error_class", "first_key", "last_key"), "rows")
 
 
-@query
-def inspect_stored(spark, sf):
-    """A table per event type, loaded before and after the start of 20 January, and inspected."""
-    root = work_dir(spark, "inspect")
+def _stored_events(spark, sf, root: str) -> dict[str, str]:
+    """A table per event type: what came before 20 January stored on the 19th, the rest on the 20th.
+
+    Views carry the field in lower case, sign-ups have it from the second load on. Locked is a
+    table with a damaged file. The events are split by type in one pass.
+    """
     events = views.src_events(spark, sf)
-    kinds = [r[0] for r in events.select("event_type").distinct().collect()]
+    names = [r.view.lower() for r in views.catalog(spark, sf).collect()]  # one line per table
+    columns = events.schema
+    events.write.partitionBy("event_type").parquet(f"{root}/in")
+    schema = [f for f in columns if f.name != "event_type"]
     early = F.col("ts") < F.lit(TODAY).cast("timestamp_ntz")
 
     def one(kind):
-        rows = events.where(F.col("event_type") == kind)
-        args = f"{root}/tb_{kind}", f"{root}/state"
+        path = f"{root}/tb_{kind}"
 
         def go():
-            load.run_load(spark, rows.where(early), kind, *args, 0, START, updated_ms=SINCE - 1)
-            return load.run_load(spark, rows, kind, *args, 1, START, updated_ms=SINCE + 1)
+            rows = spark.read.schema(type(columns)(schema)).parquet(f"{root}/in/event_type={kind}")
+            if kind in ("view", "signup"):
+                kept = keys.with_key(rows.where(F.col("DATETIMESTAMP") >= START))
+                lower = kept.withColumnRenamed("DATETIMESTAMP", "datetimestamp")
+                first, second = (lower, lower) if kind == "view" else (kept.drop("DATETIMESTAMP"), kept)
+                sink.write_load(first.where(early), path, 0, SINCE - 1)
+                sink.write_load(second.where(~early), path, 1, SINCE + 1)
+                return 0
+            load.run_load(spark, rows.where(early), kind, path, f"{root}/state", 0, START, updated_ms=SINCE - 1)
+            return load.run_load(spark, rows, kind, path, f"{root}/state", 1, START, updated_ms=SINCE + 1)
         return kind, go
 
-    load.run_all(spark, [one(k) for k in kinds], parallel=4)
-    tables = {f"tb_{k}": f"{root}/tb_{k}" for k in kinds}
+    kinds = [n for n in names if n not in ("absent", "gone", "locked")]
+    run = load.run_all(spark, [one(k) for k in kinds], parallel=4)
+    failed = run.where("status = 'failure'").select("message").collect()
+    if failed:
+        raise RuntimeError(failed[0].message)
+    stored = keys.with_key(events.limit(10))
+    _damaged(spark, f"{root}/tb_locked", stored.withColumn(sink.UPDATED, F.lit(SINCE + 1).cast("long")))
+    return {f"tb_{n}": f"{root}/tb_{n}" for n in names}
+
+
+@query
+def inspect_stored(spark, sf):
+    """The stored tables inspected on 20 January; one of them cannot be read."""
+    tables = _stored_events(spark, sf, work_dir(spark, "inspect"))
     found = inspect.inspect_tables(spark, views.catalog(spark, sf), tables, SINCE, TODAY)
-    return found.drop("top_source_days", "error")
+    return found.withColumn("failed", F.col("error").isNotNull()).drop("top_source_days", "error")
+
+
+@query
+def daily_inspection(spark, sf):
+    """Two daily inspections of the stored tables: the change per domain on the second day."""
+    root = work_dir(spark, "daily")
+    tables = _stored_events(spark, sf, root)
+    entries, runs = views.catalog(spark, sf), f"{root}/history"
+    args = runs, 1, f"{YESTERDAY}T23:00:00Z", TIERED
+    jobs.daily_inspection(spark, entries, tables, SINCE_YESTERDAY, YESTERDAY, *args)
+    args = runs, 2, f"{TODAY}T23:00:00Z", TIERED
+    return jobs.daily_inspection(spark, entries, tables, SINCE, TODAY, *args)[1]
+
+
+@query
+def reconcile_stored(spark, sf):
+    """Recorded counts of the event types against the stored tables, of which one cannot be read."""
+    tables = _stored_events(spark, sf, work_dir(spark, "reconcile"))
+    more = spark.createDataFrame([("tb_locked", 3)], "table string, expected_rows bigint")
+    report = jobs.reconcile_sources(spark, views.expected_counts(spark, sf).unionByName(more), tables)
+    return report.withColumn("failed", F.col("message").isNotNull()).drop("message")

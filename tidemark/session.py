@@ -9,44 +9,38 @@ from concurrent.futures import ThreadPoolExecutor
 from typing import TypeVar
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
+SHARED = "spark.checkpoint.dir"
 Item = TypeVar("Item")
 Result = TypeVar("Result")
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Pin the time zone: keys contain printed timestamps, so they depend on it."""
+    """Pin the time zone, for times printed in results; on a local session, give it a shared folder.
+
+    Keys do not depend on the zone. A cluster names its own folder in `spark.checkpoint.dir`.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    context = spark.sparkContext
+    if not _shared(spark) and context.master.startswith("local["):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
     return spark
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder for written intermediates, below the cluster's `spark.checkpoint.dir`.
+def _shared(spark: SparkSession) -> str | None:
+    return spark.conf.get(SHARED, None) or spark.sparkContext.getCheckpointDir()
 
-    Only a local session may fall back to a temporary folder: on a cluster the executors
-    do not share one.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the session's checkpoint folder, which must be set."""
+    base = _shared(spark)
     if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="tidemark-")
+        raise ValueError(f"set {SHARED} to a folder all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of `df`, computed now and read back from a written table.
-
-    For small results that several others derive from: their plans then start at the table, and
-    a lost executor costs at most reading it again.
-    """
-    path = work_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def in_parallel(
     spark: SparkSession, fn: Callable[[Item], Result], items: Iterable[Item], parallel: int
 ) -> list[Result]:

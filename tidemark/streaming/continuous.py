@@ -30,8 +30,8 @@ def read_stream(
 ) -> DataFrame:
     """New files of a folder or pattern; `files_per_trigger` bounds one micro-batch.
 
-    Files are taken in order of arrival. Rows of a later batch below the mark are not loaded, so
-    bound the batches only where files arrive in order of the incremental field.
+    Files are taken in order of arrival. However they are dealt to batches, and in whatever order
+    their rows come, the same rows are loaded.
     """
     reader = spark.readStream.schema(schema)
     if files_per_trigger is not None:
@@ -58,10 +58,11 @@ def start_load(
     now_ms: Callable[[], int] = lambda: int(time.time() * 1000),
     **options,
 ) -> StreamingQuery:
-    """Load every micro-batch: rows at or after the mark, keyed, stored, mark moved.
+    """Load every micro-batch: rows at or after the initial start, keyed, stored, mark moved.
 
-    The batch number is the load number. A batch repeated after a failure reads the mark as it
-    was before that batch and replaces its own rows, so it stores the same rows again. `once`
+    The checkpoint knows which files are new, so the mark need not tell and leaves no row out; it
+    only records how far the load has come. The batch number is the load number. A batch
+    repeated after a failure replaces its own rows and moves the mark as before. `once`
     takes what is there and stops; otherwise a batch starts every interval, or when the one
     before has finished if that took longer.
     """
@@ -69,7 +70,7 @@ def start_load(
     def load(batch: DataFrame, batch_id: int) -> None:
         run_load(
             batch.sparkSession, batch, query, sink, state, batch_id, initial_start, field, now_ms(),
-            **options,
+            new_rows_only=True, **options,
         )
 
     return _start(stream, load, query, checkpoint, once, interval)
@@ -91,7 +92,7 @@ def start_polling(
     """The same for a view, which has no files to watch: read it again at every trigger.
 
     The streaming source only serves as the clock that numbers the loads; the rows are those of
-    `read()` at or after the mark.
+    `read()` at or after the mark. Rows that appear below it later are not loaded (`late_rows`).
     """
 
     def load(_: DataFrame, batch_id: int) -> None:
