@@ -1,4 +1,3 @@
-import logging
 import os
 import sys
 
@@ -19,7 +18,6 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
-    session.sparkContext.setLogLevel("OFF")
-    logging.getLogger("DataFrameQueryContextLogger").setLevel(logging.CRITICAL)
+    session.sparkContext.setLogLevel("WARN")
     yield session
     session.stop()

@@ -19,8 +19,8 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+    if not session.sparkContext.getCheckpointDir():
+        session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
     return session
 
 
