@@ -101,7 +101,7 @@ def test_blocks_and_frequent_words(spark, seed):
     found = backoff_lm.score(df, F.col("doc_id") % 4 == 0, folder, chunk_tokens=300, bucket_pairs=100)
     model = check(found, rows, lambda i: i % 4 == 0)
     stored = spark.read.parquet(f"{folder}/answers").where("kind = 'pairs'").collect()
-    assert sum(len(r.b) // 8 for r in stored) == len(model.two)
+    assert sum(len(r.b) // 4 for r in stored) == len(model.two)
 
 
 def test_probabilities_sum_to_one():

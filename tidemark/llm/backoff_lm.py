@@ -296,7 +296,7 @@ def answered(
         times = np.bincount(np.minimum(total, CUT + 2), minlength=CUT + 3)[1 : CUT + 2]
         out.append((*_kind("times"), times.astype("<i8").tobytes(), b""))
         seen = total > 0
-        out.append((*_kind("pairs"), np.stack([f[seen], s[seen]]).astype("<i8").tobytes(), total[seen].astype("<i8").tobytes()))
+        out.append((*_kind("pairs"), np.stack([f[seen], s[seen]]).astype(wide).tobytes(), total[seen].astype("<u4").tobytes()))
         start = 0
         for (mine, _, _), chunk in zip(blocks, asked["chunk"]):
             got = total[pair[start : start + len(mine)]].astype("<u4")
@@ -368,13 +368,14 @@ def score(
     single words with half added to each count. Without training rows all words are unknown and scores 0. Repeated
     rows count and are scored each; other columns are not read. Words are told apart by 64-bit hashes.
 
-    ``folder`` keeps the model: ``unigrams`` and ``answers/kind=pairs`` (first and second words' numbers, counts).
+    ``folder`` keeps the model: ``unigrams`` and ``answers/kind=pairs`` (first and second words' numbers, counts; as
+    unsigned 32-bit integers, numbers of 64 bits for 2**31 words or more).
     Counts of counts and the statistics of frequent first words, fewer than four per bucket, go to the driver.
     """
     spark = documents.sparkSession
     common.ship(spark)
     with common.shuffles_dropped(spark):
-        parts = common.written(chunks(documents, held_out, id_col, text_col, chunk_tokens), f"{folder}/chunks")
+        parts = common.written(chunks(documents, held_out, id_col, text_col, chunk_tokens), f"{folder}/chunks", "zstd")
         words = _words(parts)
         vocabulary, first, value = numbered_words(words, folder)
         spread = F.expr("aggregate(zip_with(held, lengths, (h, n) -> int(NOT h)), 0, (a, x) -> a + x)")
@@ -393,7 +394,7 @@ def score(
         numbers = numbers.groupBy("chunk").applyInPandas(local, "chunk long, numbers binary")
         numbers = common.written(numbers, f"{folder}/numbers")
         found = answered(parts, numbers, unigrams, hot, buckets)
-        found.write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/answers")
+        found.write.mode("overwrite").option("compression", "zstd").partitionBy("kind").parquet(f"{folder}/answers")
     found = spark.read.schema("bucket int, chunk long, a binary, b binary, kind string").parquet(f"{folder}/answers")
     times = [np.frombuffer(r.a, "<i8") for r in found.where("kind = 'times'").select("a").collect()]
     ratio = pair_discounts([int(x) for x in np.sum(times, 0)] if times else [0] * (CUT + 1))
