@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,6 @@ FEATURES = 1 << 16
 SWITCH = 12.0
 MOST_LANGUAGES = 256
 SCRIPT_SHARE = 0.005
-MIN_SCORE = 0.3
 # First code points of script ranges, and the scripts written without spaces.
 SCRIPTS = (
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"),
@@ -41,13 +41,22 @@ SCRIPTS = (
     (0xFFA0, "hangul"), (0xFFE0, "other"), (0x20000, "han"),
 )
 UNSPACED = "฀-໿က-႟ក-៿⺀-ヿ㐀-鿿豈-﫿ｦ-ﾟ\U00020000-\U0003ffff"
-WORD = re.compile(f"(?:(?=[^\\W\\d_])[{UNSPACED}])|[^\\W\\d_{UNSPACED}]+")
+# Letters up to Latin Extended-A, and words of any script: one letter where words are not spaced.
+LATIN = re.compile("[a-zA-ZªµºÀ-ÖØ-öø-ſ]+")
+BEYOND = re.compile("[^\x00-ſ]")
+WORD = regex.compile(f"(?V1)[[{UNSPACED}]&&\\p{{L}}]|[\\p{{L}}--[{UNSPACED}]][[\\p{{L}}\\p{{M}}]--[{UNSPACED}]]*")
 NAMES = sorted({name for _, name in SCRIPTS})
 _STARTS = np.array([start for start, _ in SCRIPTS])
 _SCRIPT_AT = np.array([NAMES.index(name) for _, name in SCRIPTS])
 _LONGEST = 48  # words are remembered up to this length; longer ones are scored each time
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text, in lower case."""
+    low = text.lower()
+    return (WORD if BEYOND.search(low) else LATIN).findall(low)
+
+
 def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Three hashed features per letter, each word's first letter, and each word's script."""
     code = np.frombuffer(("\n" + "\n".join(words) + "\n").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
@@ -112,19 +121,23 @@ class LanguageModel:
     def label(self, scores: np.ndarray) -> np.ndarray | int:
         """The best language of every word; one number where a single language is best throughout."""
         best = int(scores.sum(0, dtype=np.float64).argmax())
-        gains = np.cumsum(scores - scores[:, best : best + 1], axis=0, dtype=np.float64)
-        low = np.minimum(np.minimum.accumulate(np.concatenate([np.zeros((1, gains.shape[1])), gains[:-1]])), 0)
-        # No run of words gains more than half a switch by another language, and n such runs need n - 1 switches at
-        # least; by one language throughout nothing is gained.
-        if (gains - low).max() <= self.switch / 2:
+        if scores.shape[1] == 1:
+            return best
+        # What any run of words can gain by other languages. A run costs two switches, one at an end of the text.
+        others = scores.copy()
+        others[:, best] = -np.inf
+        gain = np.cumsum(others.max(1) - scores[:, best], dtype=np.float64)
+        before = np.minimum.accumulate(np.concatenate([[0.0], gain[:-1]]))
+        at_start, at_end = gain.max(), gain[-1] - before.min()
+        if max(at_start, at_end) <= self.switch and (gain - before).max() <= 2 * self.switch:
             return best
-        return _viterbi(scores.astype(np.float64), self.switch)
+        return _viterbi(scores, self.switch)
 
     def identify(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
         """Language, score and spans (first and last character + 1, language) of each text."""
         if not self.languages:
             return [(UNDETERMINED, 0.0, [])] * len(texts)
-        words = [WORD.findall(t.lower()) if t else [] for t in texts]
+        words = [words_of(t) if t else [] for t in texts]
         out = []
         for text, some, scores in zip(texts, words, self._scores(words)):
             if not some:
@@ -132,8 +145,8 @@ class LanguageModel:
                 continue
             labels = self.label(scores)
             if isinstance(labels, int):
-                places = WORD.search(text), text
-                out.append((self.languages[labels], 1.0, [(places[0].start() if places[0] else 0, len(text.rstrip()), self.languages[labels])]))
+                name = self.languages[labels]
+                out.append((name, 1.0, [(len(text) - len(text.lstrip()), len(text.rstrip()), name)]))
                 continue
             sizes = np.bincount(labels, [len(w) for w in some], len(self.languages))
             best = int(sizes.argmax())
@@ -143,7 +156,7 @@ class LanguageModel:
     def _spans(self, text: str, labels: np.ndarray) -> list[tuple[int, int, str]]:
         # Words are found in the lower-cased text, whose length differs where a capital has two small characters.
         low = text.lower()
-        places = [m.span() for m in WORD.finditer(low)]
+        places = [m.span() for m in (WORD if BEYOND.search(low) else LATIN).finditer(low)]
         if len(low) != len(text):
             ends = np.concatenate([[0], np.cumsum([len(c.lower()) for c in text])])
             places = [tuple(np.searchsorted(ends, p, side="left").tolist()) for p in places]
@@ -153,19 +166,22 @@ class LanguageModel:
 
 
 def _viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
-    n, languages = scores.shape
-    total, came = scores[0].copy(), np.empty((n, languages), np.int32)
-    stay = np.arange(languages)
-    for t in range(1, n):
-        top = int(total.argmax())
-        moved = total[top] - switch > total
-        came[t] = np.where(moved, top, stay)
-        total = np.where(moved, total[top] - switch, total) + scores[t]
-    out = np.empty(n, np.int64)
-    at = int(total.argmax())
-    for t in range(n - 1, -1, -1):
+    """The best language of every word."""
+    came = []
+    rows = scores.astype(np.float64).tolist()
+    total = rows[0]
+    for row in rows[1:]:
+        top = max(total)
+        least, at = top - switch, total.index(top)
+        came.append([at if x < least else -1 for x in total])
+        total = [(least if x < least else x) + y for x, y in zip(total, row)]
+    out = np.empty(len(rows), np.int64)
+    at = total.index(max(total))
+    out[-1] = at
+    for t in range(len(came) - 1, -1, -1):
+        if came[t][at] >= 0:
+            at = came[t][at]
         out[t] = at
-        at = came[t, at]
     return out
 
 
@@ -201,7 +217,7 @@ def train(
         for batch in common.slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 seen = memory.setdefault(lang, {})
-                for word in WORD.findall(text.lower()):
+                for word in words_of(text):
                     seen[word] = seen.get(word, 0) + 1
             if sum(map(len, memory.values())) > 200_000:
                 flush()
