@@ -41,7 +41,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back: one row per capture."""
     folder = common.work_dir(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), folder)
-    records = warc.read_records(spark, folder).drop("payload")
+    records = common.written(warc.read_records(spark, folder).drop("payload"), f"{folder}/records")
     found = warc.captures(records).select(
         F.col("response.record_id").alias("record_id"), F.col("response.refers_to").alias("refers_to"),
         F.col("response.record_type").alias("record_type"), F.col("response.payload_bytes").alias("payload_bytes"),

@@ -190,7 +190,8 @@ def captures(records: DataFrame) -> DataFrame:
     ``response`` is the response, revisit or resource record. A request or metadata record belongs to it if either
     names the other in ``concurrent_to``, or if it is linked to a request that does. Records without such a link make
     rows of their own with a null ``response``. A record linked to several responses is in each of their rows;
-    records that only repeat an identifier are kept. Warcinfo records are left out.
+    records that only repeat an identifier are kept. Warcinfo records are left out. ``records`` are read several times,
+    so they should be a written table.
     """
     whole = F.struct(*(c for c in records.columns))
     anchor = F.col("record_type").isin(*ANCHORS)
