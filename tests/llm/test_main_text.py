@@ -3,6 +3,7 @@
 import re
 from html import unescape
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import common, main_text, queries
@@ -60,10 +61,12 @@ def site(n, host="h.example"):
     return [(i, f"http://{host}/{i}", page.format(i * 7, "w" * i)) for i in range(n)]
 
 
-def test_same_branches_of_a_site_go(spark):
+@pytest.mark.parametrize("keys", [0, main_text.BROADCAST_KEYS])
+def test_same_branches_of_a_site_go(spark, keys):
     rows = [*site(12), *site(2, "small.example")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {(r.page_id, r.url): r.text for r in main_text.main_text(df, common.work_dir(spark, "t")).collect()}
+    got = {(r.page_id, r.url): r.text for r in main_text.main_text(
+        df, common.work_dir(spark, "t"), broadcast_keys=keys).collect()}
     for i, url, _ in rows:
         if "small" in url:
             assert got[i, url].startswith("Welcome") and got[i, url].endswith("© us")

@@ -25,12 +25,15 @@ from tidemark.llm.html_dom import Page, parse
 DECAY = 0.9
 IMPORTANCE = 0.2
 LEAST_PAGES = 4
+BROADCAST_KEYS = 200_000
 # Elements, roles and words in classes and ids that declare a part of the page.
 NOISE_TAGS = frozenset(
     "head nav footer aside form script style noscript template iframe object embed applet button select textarea "
     "dialog menu canvas audio video svg math map search title option input label fieldset".split()
 )
-NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
+NOISE_ROLES = frozenset(
+    "navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split()
+)
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense banner sponsor sponsored promo promotion "
     "sidebar sidebars menu menus nav navbar navigation navi breadcrumb breadcrumbs masthead footer foot cookie cookies "
@@ -185,13 +188,13 @@ def _digest(host: str | None, html: str) -> bytes:
 
 def low_branches(
     pages: DataFrame, folder: str, decay: float = DECAY, importance: float = IMPORTANCE, least_pages: int = LEAST_PAGES
-) -> DataFrame:
-    """For pages (``host``, ``html``): ``digest`` of host and html, and ``low``, the keys of branches to remove.
+) -> tuple[DataFrame, DataFrame]:
+    """For pages (``host``, ``html``): the nodes of each page, and (``host``, ``key``) of the branches to remove.
 
     A node's importance is (1 - decay^l) times its entropy of presentations plus decay^l times its entropy of contents,
     for l presentations; entropies are of base m, for m different pages with the node. Equal pages of a host count
     once. Declared noise has importance 0. Other nodes on fewer than ``least_pages`` pages are left alone; pages
-    without a host have no row.
+    without a host are in no tree. Both results are written tables.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,48 +220,62 @@ def low_branches(
         total = each.groupBy("host", "key", "declared").agg(
             F.sum("n").alias("m"), F.count("*").alias("l"), F.sum(F.col("n") * F.log("n")).alias("s")
         )
-        return total.select("host", "key", "declared", "m", F.col("l").alias(f"{feature}_l"), (1 - F.col("s") / (F.col("m") * F.log(F.greatest("m", F.lit(2))))).alias(feature))
+        most = F.col("m") * F.log(F.greatest("m", F.lit(2)))
+        return total.select(
+            "host", "key", "declared", "m", F.col("l").alias(f"{feature}_l"), (1 - F.col("s") / most).alias(feature)
+        )
 
     both = entropy("look").join(entropy("text").drop("m"), ["host", "key", "declared"])
     share = F.pow(F.lit(decay), F.col("look_l"))
     own = F.when(F.col("declared"), 0.0).when(
         F.col("m") >= least_pages, (1 - share) * F.col("look") + share * F.col("text")
     ).otherwise(1.0)
-    low = both.where(own < importance).select("host", "key")
-    return nodes.join(low, ["host", "key"]).groupBy("digest").agg(F.collect_set("key").alias("low"))
+    return nodes, common.written(both.where(own < importance).select("host", "key"), f"{folder}/low")
 
 
 def main_text(
     pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-    text_col: str = "text", **options,
+    text_col: str = "text", broadcast_keys: int = BROADCAST_KEYS, **options,
 ) -> DataFrame:
     """One row per page: id, url and ``text``, the article's blocks joined by line ends.
 
     References are decoded, white space in a block is one space, blocks without text are left out; a null html gives an
     empty text. A null or malformed url has no host: such pages are read by their markup alone. Repeated rows each give
     their text. Where low importance would leave nothing, the text is kept. Other columns are not read.
+
+    The low branches of all sites go to every task where there are at most ``broadcast_keys``. If there are more, each
+    page gets the ones among its own nodes by joins, which shuffle the pages; the result is the same.
     """
     common.ship(pages.sparkSession)
     rows = pages.select(
         F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(url_col).alias("host"),
         F.coalesce(F.col(html_col), F.lit("")).alias("html"),
     )
-    low = common.written(low_branches(rows.select("host", "html"), folder, **options), f"{folder}/low")
-    keyed = rows.withColumn("digest", F.unhex(F.md5(F.concat_ws("\n", "host", "html"))))
-    joined = keyed.join(low, "digest", "left").select("page_id", "url", "html", "low")
+    nodes, low = low_branches(rows.select("host", "html"), folder, **options)
+    few = low.limit(broadcast_keys + 1).count() <= broadcast_keys
+    sites = None
+    if few:
+        known: dict[str, set[int]] = {}
+        for r in low.collect():
+            known.setdefault(r.host, set()).add(r.key)
+        sites = pages.sparkSession.sparkContext.broadcast(known)
+        joined = rows.select("page_id", "url", "html", "host", F.lit(None).cast("array<long>").alias("low"))
+    else:
+        own = nodes.join(low, ["host", "key"]).groupBy("digest").agg(F.collect_set("key").alias("low"))
+        keyed = rows.withColumn("digest", F.unhex(F.md5(F.concat_ws("\n", "host", "html"))))
+        joined = keyed.join(own, "digest", "left").select("page_id", "url", "html", "host", "low")
     kind = joined.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, 128):
             out = []
-            for html, keys in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for html, host, keys in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
                 marked = Marked(parse(html))
-                drop = None
-                if keys:
-                    numbers = set(keys)
-                    drop = {k for k in set(marked.keys) if _number(k) in numbers}
+                numbers = sites.value.get(host, ()) if few else set(keys or ())
+                drop = {k for k in set(marked.keys) if _number(k) in numbers} if host else None
                 out.append(marked.text(drop))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
+            columns = [batch.column(0), batch.column(1), pa.array(out, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text"])
 
     schema = f"page_id {kind['page_id'].dataType.simpleString()}, url string, text string"
     found = joined.mapInArrow(run, schema)
