@@ -211,7 +211,9 @@ def near_duplicates(
     common.ship(documents.sparkSession)
     rows_ = common.written(signed(documents, id_col, text_col, width, bands, rows), f"{folder}/signatures")
     # One node per different sequence of words: the smallest of its texts' keys.
-    nodes = rows_.where("word_key IS NOT NULL").groupBy("word_key").agg(F.min_by("keys", "text_key").alias("keys"), F.min("text_key").alias("node"))
+    nodes = rows_.where("word_key IS NOT NULL").groupBy("word_key").agg(
+        F.min_by("keys", "text_key").alias("keys"), F.min("text_key").alias("node")
+    )
     nodes = common.written(nodes, f"{folder}/nodes")
     places = nodes.select("node", F.explode("keys").alias("key"))
     crowded = places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -220,7 +222,8 @@ def near_duplicates(
     ranked = met.join(reach, "node")
     pivots = ranked.groupBy("key").agg(F.max_by("node", F.struct("reach", "node")).alias("pivot"))
     stars = met.join(pivots, "key").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    texts = documents.select(F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("text_key"), F.col(text_col).alias("text"))
+    text_key = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    texts = documents.select(text_key.alias("text_key"), F.col(text_col).alias("text"))
     wanted = reach.select(F.col("node").alias("text_key"))
     texts = texts.join(wanted, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
     texts = common.written(texts, f"{folder}/texts")

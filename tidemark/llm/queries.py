@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import backoff_lm, common, contamination, id_files, language, main_text, near_dedup, packing, pivot_search, unigram_count, warc
+from tidemark.llm import (
+    backoff_lm,
+    common,
+    contamination,
+    id_files,
+    language,
+    main_text,
+    near_dedup,
+    packing,
+    pivot_search,
+    unigram_count,
+    warc,
+)
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
