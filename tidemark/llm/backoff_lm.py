@@ -28,12 +28,23 @@ from tidemark.llm import common
 from tidemark.llm.token_ids import _Index
 
 CUT = 5  # counts up to this are discounted
-CHUNK_TOKENS = 4_000_000
-BUCKET_PAIRS = 2_000_000
+CHUNK_TOKENS = 1_000_000
+BUCKET_PAIRS = 1_000_000
 END = 1  # stands for the end of a text among the words' hashes
 WORD_LIMIT = 400_000
 
 
+def planes(values: np.ndarray, kind: str) -> bytes:
+    """Numbers by planes: all first bytes, then all second bytes and so on, which compresses better."""
+    data = np.ascontiguousarray(values.astype(kind))
+    return data.view("u1").reshape(-1, data.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data, "u1").reshape(size, len(data) // size).T.copy().view(kind).ravel()
+
+
 def tokens_of(text: str | None) -> list[bytes]:
     """Words between ASCII white space with A-Z in lower case; the end of the text is not listed."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -121,7 +132,7 @@ def chunks(documents: DataFrame, held: Column, id_col: str, text_col: str, chunk
             counts = np.bincount(tokens, train, len(words)).astype("<u4")[order]
             row = {
                 "chunk": (part << 24) + number, "words": words[order].astype("<u8").tobytes(), "counts": counts.tobytes(),
-                "tokens": place[tokens].astype("<u4").tobytes(), "ids": np.array([i or 0 for i in ids], "<i8").tobytes(),
+                "tokens": planes(place[tokens], "<u4"), "ids": np.array([i or 0 for i in ids], "<i8").tobytes(),
                 "named": np.array([i is not None for i in ids], "u1").tobytes(), "held": held_, "lengths": lengths,
             }
             return pa.RecordBatch.from_pylist([row], schema=CHUNKS)
@@ -262,7 +273,7 @@ def answered(
             chunk, places, tokens, lengths, held = _chunk(batch)
             first, second, place, bounds = _pairs(places, tokens, lengths, unigrams.size, hot, buckets)
             train = np.repeat(~held, lengths)
-            count = np.bincount(place, train, len(first)).astype("<u4")
+            count = np.bincount(place, train, len(first))
             rows = []
             for b in range(buckets):
                 some = slice(bounds[b], bounds[b + 1])
@@ -270,17 +281,17 @@ def answered(
                     continue
                 at = _runs(first[some])
                 rows.append({
-                    "bucket": b, "chunk": chunk, "firsts": first[some][at].astype(wide).tobytes(),
-                    "sizes": np.diff(np.append(at, len(first[some]))).astype("<u4").tobytes(),
-                    "seconds": second[some].astype(wide).tobytes(), "counts": count[some].tobytes(),
+                    "bucket": b, "chunk": chunk, "firsts": planes(first[some][at], wide),
+                    "sizes": planes(np.diff(np.append(at, len(first[some]))), "<u4"),
+                    "seconds": planes(second[some], wide), "counts": planes(count[some], "<u4"),
                 })
             yield pa.RecordBatch.from_pylist(rows, schema=ASKED)
 
     def answer(key, asked: pd.DataFrame) -> pd.DataFrame:
         blocks = []
         for r in asked.itertuples():
-            first = np.repeat(np.frombuffer(r.firsts, wide), np.frombuffer(r.sizes, "<u4")).astype(np.int64)
-            blocks.append((first, np.frombuffer(r.seconds, wide).astype(np.int64), np.frombuffer(r.counts, "<u4")))
+            first = np.repeat(from_planes(r.firsts, wide), from_planes(r.sizes, "<u4")).astype(np.int64)
+            blocks.append((first, from_planes(r.seconds, wide).astype(np.int64), from_planes(r.counts, "<u4")))
         first, second, count = (np.concatenate(c) for c in zip(*blocks))
         order = np.lexsort((second, first))
         f, s = first[order], second[order]
@@ -296,17 +307,19 @@ def answered(
         times = np.bincount(np.minimum(total, CUT + 2), minlength=CUT + 3)[1 : CUT + 2]
         out.append((*_kind("times"), times.astype("<i8").tobytes(), b""))
         seen = total > 0
-        out.append((*_kind("pairs"), np.stack([f[seen], s[seen]]).astype(wide).tobytes(), total[seen].astype("<u4").tobytes()))
+        out.append((*_kind("pairs"), planes(np.stack([f[seen], s[seen]]).ravel(), wide), planes(total[seen], "<u4")))
         start = 0
         for (mine, _, _), chunk in zip(blocks, asked["chunk"]):
-            got = total[pair[start : start + len(mine)]].astype("<u4")
+            got = total[pair[start : start + len(mine)]]
             start += len(mine)
             asked_words = mine[_runs(mine)]
             at = np.searchsorted(words, asked_words)
             known = np.zeros((len(asked_words), STATS))
             hit = (at < len(words)) & (words[np.minimum(at, max(len(words) - 1, 0))] == asked_words) if len(words) else at < 0
             known[hit] = stats[at[hit]]
-            out.append(("answers", int(chunk), got.tobytes(), known.astype("<f8").T.tobytes()))
+            known[asked_words < hot] = 0  # those come from all buckets
+            sums = planes(known[:, :-1].T.ravel(), "<u4") + planes(known[:, -1], "<f8")
+            out.append(("answers", int(chunk), planes(got, "<u4"), sums))
         frame = pd.DataFrame(out, columns=["kind", "chunk", "a", "b"])
         frame["bucket"] = key[0]
         return frame[["kind", "bucket", "chunk", "a", "b"]]
@@ -332,7 +345,7 @@ def _chunk(batch: pa.RecordBatch):
     """A block's number, word numbers by place, tokens, lengths and held-out marks."""
     row = {name: batch.column(name)[0] for name in batch.schema.names}
     return (
-        row["chunk"].as_py(), np.frombuffer(row["numbers"].as_py(), "<i8"), np.frombuffer(row["tokens"].as_py(), "<u4"),
+        row["chunk"].as_py(), from_planes(row["numbers"].as_py(), "<i8"), from_planes(row["tokens"].as_py(), "<u4"),
         np.array(row["lengths"].as_py(), np.int64), np.array(row["held"].as_py(), bool),
     )
 
@@ -369,7 +382,7 @@ def score(
     rows count and are scored each; other columns are not read. Words are told apart by 64-bit hashes.
 
     ``folder`` keeps the model: ``unigrams`` and ``answers/kind=pairs`` (first and second words' numbers, counts; as
-    unsigned 32-bit integers, numbers of 64 bits for 2**31 words or more).
+    planes of unsigned 32-bit integers, numbers of 64 bits for 2**31 words or more).
     Counts of counts and the statistics of frequent first words, fewer than four per bucket, go to the driver.
     """
     spark = documents.sparkSession
@@ -387,8 +400,8 @@ def score(
         hot = int(unigrams.first[int((unigrams.value > unigrams.tokens / (4 * buckets)).sum())]) if unigrams.tokens else 0
 
         def local(key, rows: pd.DataFrame) -> pd.DataFrame:
-            found = rows.sort_values("place")["number"].to_numpy().astype("<i8")
-            return pd.DataFrame([(key[0], found.tobytes())], columns=["chunk", "numbers"])
+            found = rows.sort_values("place")["number"].to_numpy()
+            return pd.DataFrame([(key[0], planes(found, "<i8"))], columns=["chunk", "numbers"])
 
         numbers = words.select("chunk", "place", "word").join(vocabulary.select("word", "number"), "word")
         numbers = numbers.groupBy("chunk").applyInPandas(local, "chunk long, numbers binary")
@@ -404,18 +417,19 @@ def score(
     def run(key, part: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         unigrams, ratio, often = state.value
         row = part.iloc[0]
-        tokens = np.frombuffer(row["tokens"], "<u4")
+        tokens = from_planes(row["tokens"], "<u4")
         lengths = np.array(row["lengths"], np.int64)
-        places = np.frombuffer(row["numbers"], "<i8")
+        places = from_planes(row["numbers"], "<i8")
         one, two, place, bounds = _pairs(places, tokens, lengths, unigrams.size, hot, buckets)
         count = np.zeros(len(one), np.int64)
         weight, under = np.ones(len(one)), np.ones(len(one))
         for r in answers.itertuples():
             some = slice(bounds[r.bucket], bounds[r.bucket + 1])
-            count[some] = np.frombuffer(r.a, "<u4")
+            count[some] = from_planes(r.a, "<u4")
             at = _runs(one[some])
             words = one[some][at]
-            stats = np.frombuffer(r.b, "<f8").reshape(STATS, -1).T.copy()
+            cut = 4 * (STATS - 1) * len(words)
+            stats = np.column_stack([from_planes(r.b[:cut], "<u4").reshape(STATS - 1, -1).T, from_planes(r.b[cut:], "<f8")])
             frequent = words < hot
             if len(often):
                 stats[frequent] = often[words[frequent]]
