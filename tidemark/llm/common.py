@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_KEPT: dict[tuple, Any] = {}
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, so that functions in it can be unpickled there."""
+    """Give the executors this package, so that functions in it can be unpickled there.
+
+    Also lowers the rows of an Arrow batch from Spark's default, which is made for short rows: batches of whole
+    documents exist several times in an executor and its workers.
+    """
+    if int(spark.conf.get(BATCH, "10000")) == 10_000:
+        spark.conf.set(BATCH, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -85,6 +97,29 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    give_back()
+
+
+def kept(key: tuple, make: Callable[[], Any]) -> Any:
+    """The object of a key, made once per worker. A worker keeps one such object at a time.
+
+    Workers live on from stage to stage; the word tables of several operators together would not fit beside each
+    other.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        give_back()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def give_back() -> None:
+    """Return freed memory to the system, which the allocators otherwise hold for later."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def texts_of(column: pa.Array) -> list[str]:

@@ -40,29 +40,19 @@ def width_of(vocabulary: int) -> int:
 
 
 def train_dictionary(
-    documents: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text",
-    sample: int = SAMPLE_DOCS,
+    documents: DataFrame, tokenizer: str, end_id: int, text_col: str = "text", sample: int = SAMPLE_DOCS
 ) -> bytes:
-    """A dictionary from the ``sample`` documents with the smallest id hashes, ``SAMPLE_BYTES`` of each.
+    """A dictionary from the first ``sample`` documents as read, ``SAMPLE_BYTES`` of the ids of each.
 
-    The bound concerns training only. Too few samples to train on give their plain content as dictionary.
+    The bound concerns training only, and saves a pass over all texts. Too few samples to train on give their plain
+    content as dictionary.
     """
-    rank = F.xxhash64(id_col)
-    chosen = documents.select(F.col(id_col).alias("k"), rank.alias("h")).orderBy("h", "k").limit(sample)
-    ids = [r.k for r in chosen.select("k").collect()]
-    taken = documents.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).where(F.col("k").isin(ids))
-    # Repeated ids can match more rows than were drawn; the bound holds for them too.
-    taken = taken.orderBy("k", F.xxhash64("t")).limit(sample)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
-        width = width_of(max(enc.size, end_id + 1))
-        for batch in common.slices(batches):
-            found = enc.encode(common.texts_of(batch.column(0)))
-            data = [serialized(np.append(i, end_id), width)[:SAMPLE_BYTES] for i in found]
-            yield pa.record_batch([pa.array(data, pa.binary())], ["data"])
-
-    samples = [bytes(r.data) for r in taken.select("t").mapInArrow(encode, "data binary").collect()]
+    enc = encoder(tokenizer)
+    width = width_of(max(enc.size, end_id + 1))
+    # No id needs more than 16 characters of plain text; longer ones only make a sample shorter.
+    start = F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, 16 * SAMPLE_BYTES // width).alias("t")
+    texts = [r.t for r in documents.select(start).take(sample)]
+    samples = [serialized(np.append(i, end_id), width)[:SAMPLE_BYTES] for i in enc.encode(texts)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
@@ -131,7 +121,7 @@ def write_ids(
     """
     spark = documents.sparkSession
     common.ship(spark)
-    dictionary = train_dictionary(documents, tokenizer, end_id, id_col, text_col)
+    dictionary = train_dictionary(documents, tokenizer, end_id, text_col)
     digest = hashlib.sha256(dictionary).hexdigest()
     common.write_file(f"{folder}/ids/{digest}.dictionary", dictionary)
 

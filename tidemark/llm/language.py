@@ -8,6 +8,7 @@ the words, and words of one label in a row make a span.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,6 +26,7 @@ FEATURES = 1 << 16
 SWITCH = 12.0
 MOST_LANGUAGES = 256
 SCRIPT_SHARE = 0.005
+WORDS_AT_ONCE = 20_000  # words whose letters are laid out in memory together
 # First code points of script ranges, and the scripts written without spaces.
 SCRIPTS = (
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"),
@@ -63,7 +65,9 @@ def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.flatnonzero(code != 10)
     one, two, three = code[at], code[at + 1], code[at - 1]
     mix = np.uint64(0x9E3779B97F4A7C15)
-    keys = np.stack([one, one << np.uint64(21) | two | np.uint64(1 << 62), one | two << np.uint64(21) | three << np.uint64(42) | np.uint64(1 << 63)], 1)
+    pair = one << np.uint64(21) | two | np.uint64(1 << 62)
+    triple = one | two << np.uint64(21) | three << np.uint64(42) | np.uint64(1 << 63)
+    keys = np.stack([one, pair, triple], 1)
     hashed = (keys ^ (keys >> np.uint64(29))) * mix
     hashed = ((hashed ^ (hashed >> np.uint64(32))) * mix >> np.uint64(48)).astype(np.int64)
     first = np.searchsorted(at, np.concatenate([[0], np.flatnonzero(code == 10)[1:-1]]) + 1)
@@ -79,12 +83,13 @@ class LanguageModel:
     logp: np.ndarray  # features x languages
     uses: np.ndarray  # scripts x languages
     switch: float = SWITCH
+    number: str = field(default_factory=lambda: uuid.uuid4().hex)
     index: _Index = field(default_factory=_Index)
     known: np.ndarray | None = None
     max_words: int = 300_000
 
     def __getstate__(self):
-        return {"languages": self.languages, "logp": self.logp, "uses": self.uses, "switch": self.switch}
+        return {"languages": self.languages, "logp": self.logp, "uses": self.uses, "switch": self.switch, "number": self.number}
 
     def __setstate__(self, state):
         self.__dict__.update(state, index=_Index(), known=None, max_words=300_000)
@@ -93,6 +98,9 @@ class LanguageModel:
         """Words x languages. A language that lacks the word's script is far below; a script nobody has says nothing."""
         if not words:
             return np.zeros((0, len(self.languages)), np.float32)
+        if len(words) > WORDS_AT_ONCE:
+            parts = range(0, len(words), WORDS_AT_ONCE)
+            return np.concatenate([self.score_words(words[at : at + WORDS_AT_ONCE]) for at in parts])
         hashed, first, script = _letters(words)
         scores = np.add.reduceat(self.logp[hashed].sum(1), first, axis=0)
         uses = self.uses[script]
@@ -103,7 +111,11 @@ class LanguageModel:
     def _scores(self, words: list[list[str]]) -> list[np.ndarray]:
         if len(self.index) > self.max_words or self.known is None:
             self.index, self.known = _Index(), np.zeros((0, len(self.languages)), np.float32)
-        long = [[i for i, w in enumerate(some) if len(w) > _LONGEST] if len(max(some, key=len, default="")) > _LONGEST else [] for some in words]
+        longest = [len(max(some, key=len, default="")) for some in words]
+        long = [
+            [i for i, w in enumerate(some) if len(w) > _LONGEST] if n > _LONGEST else []
+            for some, n in zip(words, longest)
+        ]
         places = []
         for some, over in zip(words, long):
             short = some if not over else [w[:1] if len(w) > _LONGEST else w for w in some]
@@ -207,11 +219,13 @@ def train(
                 if not seen:
                     continue
                 features, scripts = sums.setdefault(lang, (np.zeros(FEATURES, np.int64), np.zeros(len(NAMES), np.int64)))
-                hashed, first, script = _letters(list(seen))
-                times = np.fromiter(seen.values(), np.int64, len(seen))
-                each = np.repeat(times, np.diff(np.append(first, len(hashed))))
-                features += np.bincount(hashed.ravel(), np.repeat(each, 3), FEATURES).astype(np.int64)
-                scripts += np.bincount(script, times, len(NAMES)).astype(np.int64)
+                words, counts = list(seen), np.fromiter(seen.values(), np.int64, len(seen))
+                for at in range(0, len(words), WORDS_AT_ONCE):
+                    times = counts[at : at + WORDS_AT_ONCE]
+                    hashed, first, script = _letters(words[at : at + WORDS_AT_ONCE])
+                    each = np.repeat(times, np.diff(np.append(first, len(hashed))))
+                    features += np.bincount(hashed.ravel(), np.repeat(each, 3), FEATURES).astype(np.int64)
+                    scripts += np.bincount(script, times, len(NAMES)).astype(np.int64)
                 seen.clear()
 
         for batch in common.slices(batches):
@@ -265,8 +279,9 @@ def identify(documents: DataFrame, model: LanguageModel, text_col: str = "text")
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = common.kept(("language", state.value.number), lambda: state.value)
         for batch in common.slices(batches, 256):
-            found = state.value.identify(batch.column(place).to_pylist())
+            found = model.identify(batch.column(place).to_pylist())
             yield pa.RecordBatch.from_arrays([
                 *batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()),
                 pa.array([[{"start": a, "end": b, "lang": c} for a, b, c in f[2]] for f in found], spans),

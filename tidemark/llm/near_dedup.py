@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -78,9 +77,8 @@ def bands_of(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarra
     return key.view(np.int64)
 
 
-@lru_cache(maxsize=2)
 def _shingler(width: int) -> Shingler:
-    return Shingler(width)
+    return common.kept(("shingles", width), lambda: Shingler(width))
 
 
 def signed(

@@ -9,11 +9,15 @@ differently, are encoded whole by the library.
 from __future__ import annotations
 
 import json
+import os
 import re
-from functools import cached_property, lru_cache
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 
+from tidemark.llm import common
+
 # Pre-token patterns of the known kinds of tokenizer, and Latin letters, digits and white space.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -43,7 +47,9 @@ class _Index(dict):
 class TokenEncoder:
     """Ids of texts; ``max_words`` bounds the memory for known pre-tokens, not what is encoded."""
 
-    def __init__(self, path: str, max_words: int = 700_000):
+    def __init__(self, path: str, max_words: int = 1_200_000):
+        # Spark's tasks are the parallelism; threads of the library's own would only wait on each other.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.path, self.max_words = path, max_words
@@ -78,7 +84,7 @@ class TokenEncoder:
             return
         found = [x.ids for x in self.single.encode_batch_fast(new, add_special_tokens=False)]
         count = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(count.sum()))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(count.sum()))
         start, words = len(self.index) - len(new), len(self.index)
         while words > len(self.first):
             self.first, self.count = (np.concatenate([a, np.zeros_like(a)]) for a in (self.first, self.count))
@@ -134,7 +140,6 @@ def _rule(path: str):
     return True, LATIN[WORD_LEVEL]
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str) -> TokenEncoder:
-    """One encoder per file and worker."""
-    return TokenEncoder(path)
+    """The worker's encoder of a file."""
+    return common.kept(("token ids", path), lambda: TokenEncoder(path))

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -119,10 +118,9 @@ class UnigramCounter:
         ]
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> UnigramCounter:
-    """One counter per file and worker."""
-    return UnigramCounter(*vocabulary(path))
+    """The worker's counter of a file."""
+    return common.kept(("unigram counts", path), lambda: UnigramCounter(*vocabulary(path)))
 
 
 def token_counts(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
