@@ -44,6 +44,41 @@ def test_declared_parts_go():
     assert read(html) == "Title & more\nOne bolder line two\nUnclosed <p> end\nfirst\nsecond\na b"
 
 
+STORY = "<h1>Title</h1><p>One story, told in full.</p>"
+TOLD = "Title\nOne story, told in full."
+
+
+@pytest.mark.parametrize("html, text", [
+    (f'<body><div class="content has-sidebar"><article>{STORY}</article></div></body>', TOLD),
+    (f'<div id="wrap" class="no-sidebar"><div class="social-wide"><main>{STORY}</main></div></div><p>end</p>', TOLD),
+    (f'<form id="search-form"><div class="hidden rail"><article>{STORY}</article></div></form>', TOLD),
+    (f'<article>{STORY}<section id="discussion"><h2>Discussion</h2><p>We find much.</p></section>'
+     '<p class="share-price">It fell.</p><div class="share-price">42 USD</div>'
+     '<section class="related-work"><p>Others did.</p></section></article>',
+     f"{TOLD}\nDiscussion\nWe find much.\nIt fell.\n42 USD\nOthers did."),
+    (f'<div class="content has-sidebar">{STORY}</div><div class="sidebar"><p>Links</p></div>', TOLD),
+    (f'<div class="skip-lazy widget-area">{STORY}</div><div class="sidebar"><p>Links</p></div>', TOLD),
+    ('<div class="social"><p>a</p></div><div class="rail"><p>b</p></div>', "a\nb"),
+    ("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math>.</p><xmp><b> &amp; c</xmp><p>end</article>",
+     "So x=2.\n<b> &amp; c\nend"),
+])
+def test_names_alone_lose_no_article(html, text):
+    assert read(html) == text
+
+
+@pytest.mark.parametrize("keys", [0, main_text.BROADCAST_KEYS])
+def test_names_alone_lose_no_article_of_a_site(spark, keys):
+    page = (
+        '<body class="no-sidebar"><div class="content has-sidebar"><article><p>Story {0} of {1}</p>'
+        '<section id="discussion"><p>Point {0}</p></section><math><mi>x</mi><mo>=</mo></math></article></div>'
+        '<div class="widget"><article><p>Always here</p></article></div><footer>us</footer></body>'
+    )
+    rows = [(i, f"http://h.example/{i}", page.format(i, "w" * i)) for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = main_text.main_text(df, common.work_dir(spark, "t"), broadcast_keys=keys).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Story {i} of {'w' * i}".rstrip() + f"\nPoint {i}\nx=" for i in range(9)}
+
+
 def test_broken_markup_is_read():
     assert read("") == "" and read("a < b <b>c") == "a < b c"
     assert read("<article><p>x<p title='>'>y<!-- <p>no") == "x\ny"

@@ -8,11 +8,11 @@ from html import unescape
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe title xmp noembed noframes svg math".split())
+RAW = frozenset("script style noscript template textarea iframe title xmp noembed noframes svg annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search "
-    "section select summary table tbody td tfoot th thead tr ul".split()
+    "section select summary table tbody td tfoot th thead tr ul xmp".split()
 )
 # What an opening tag ends, up to an element of the second set.
 CLOSES = {
@@ -46,7 +46,7 @@ class Page:
 
 
 def parse(html: str) -> Page:
-    """Read any text as HTML. Raw elements (scripts, styles and their kind) keep no text."""
+    """Read any text as HTML. Raw elements (scripts, styles and their kind) keep no text, but xmp as it stands."""
     page = Page()
     stack, block, at, low = [0], 0, 0, None
     tags, texts = page.tags, page.texts
@@ -98,6 +98,9 @@ def parse(html: str) -> Page:
                 if len(low) != end:  # some capitals become two characters
                     low = re.sub(r"[A-Z]", lambda m: m[0].lower(), html)
             close = low.find(f"</{name}", at)
+            if name == "xmp":
+                texts.append((len(tags) - 1, block, html[at : close if close >= 0 else end]))
+                block += 1
             at = end if close < 0 else close
             if close >= 0:
                 gt = html.find(">", close)

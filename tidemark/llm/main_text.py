@@ -5,7 +5,8 @@ node, the pages' different presentations (tag structures below it) and contents
 and these its importance; a branch that looks and reads the same on all pages is of low importance and is removed from
 each page. Markup is prior knowledge about a node: what declares itself as navigation, advert, form, comments and so on
 has no importance whatever its entropy, since such parts can differ from page to page; running text inside the article
-is never removed, since copies of an article, or of a passage, are still text.
+is never removed, since copies of an article, or of a passage, are still text. Words in classes and ids are weaker than
+tags and roles: alone they never mark what holds or is inside an article, nor what holds most of a page's text.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ BROADCAST_KEYS = 200_000
 # Elements, roles and words in classes and ids that declare a part of the page.
 NOISE_TAGS = frozenset(
     "head nav footer aside form script style noscript template iframe object embed applet button select textarea "
-    "dialog menu canvas audio video svg math map search title option input label fieldset".split()
+    "dialog menu canvas audio video svg map search title option input label fieldset".split()
 )
 NOISE_ROLES = frozenset(
     "navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split()
@@ -43,24 +44,58 @@ NOISE_WORDS = frozenset(
 )
 WEAK_WORDS = frozenset("header notice notices alert message topbar top bar meta tags links form warning announcement".split())
 MAIN_WORDS = frozenset("article content main post entry story text body".split())
-NOISE_MARK = "!"
+MAIN_NAMES = MAIN_WORDS - {"text", "body"}  # as whole names; texts and bodies are also parts of widgets
+CONTROL_WORDS = frozenset("button buttons icon icons link links bar box block list count tools".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+WRAPPERS = frozenset(["form", "fieldset"])  # some sites put the whole page into a form
+LABEL_WORDS = 3
+RUNNING = HEADINGS | frozenset("section p pre blockquote li dt dd td th caption figure xmp math".split())
+NOISE_MARK = "!"
 FLOW = HEADINGS | frozenset(
     "p pre blockquote ul ol li dl dt dd table tbody thead tfoot tr td th caption figure figcaption a b i em strong u s "
-    "span small big sub sup code kbd samp var q cite abbr time mark font center br hr img".split()
+    "span small big sub sup code kbd samp var q cite abbr time mark font center br hr img xmp math semantics mrow mi mn mo "
+    "ms mtext mspace mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover "
+    "mmultiscripts mprescripts mtable mtr mtd mlabeledtr maction".split()
 )
 UNTOUCHED = frozenset(["#page", "html", "body", "article", "main"])
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+STATE = re.compile(r"(?:has|no|with|without)(?:[-_]|(?=[A-Z]))")  # says what is elsewhere: has-sidebar
+
+
+def _names(attributes: dict[str, str]) -> list[set[str]]:
+    """The words of each class and of the id, without those of a state."""
+    named = f"{attributes.get('class') or ''} {attributes.get('id') or ''}".split()
+    return [{w.lower() for w in WORDS.findall(x)} for x in named if not STATE.match(x)]
 
 
 def _words(attributes: dict[str, str]) -> set[str]:
-    named = f"{attributes.get('class') or ''} {attributes.get('id') or ''}"
-    return {w.lower() for w in WORDS.findall(named)}
+    return set().union(*_names(attributes))
+
+
+def _named(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether words in the class or id of an element say that it is not part of the article."""
+    if not attributes or tag in UNTOUCHED or tag in HEADINGS:
+        return False
+    names = _names(attributes)
+    words = set().union(*names)
+    if words & NOISE_WORDS:
+        whole = set().union(*(x for x in names if len(x) == 1))
+        return bool(whole & NOISE_WORDS) or not whole & MAIN_NAMES
+    return bool(words & WEAK_WORDS and not words & MAIN_WORDS)
+
+
+def _control(attributes: dict[str, str]) -> bool:
+    """Whether a class or the id is made of nothing but words of noise and controls."""
+    return any(x & NOISE_WORDS and x <= NOISE_WORDS | CONTROL_WORDS for x in _names(attributes))
+
+
+def _is_main(tag: str, attributes: dict[str, str]) -> bool:
+    return tag in ("article", "main") or (attributes.get("role") or "").lower() == "main"
 
 
 def _declared(tag: str, attributes: dict[str, str], inside: bool) -> bool:
-    """Whether the markup of an element says that it is not part of the article."""
-    if tag in NOISE_TAGS:
+    """Whether the tag, role or visibility of an element says that it is not part of the article."""
+    if tag in NOISE_TAGS and (inside or tag not in WRAPPERS):
         return True
     if tag == "header" and not inside:
         return True
@@ -70,10 +105,7 @@ def _declared(tag: str, attributes: dict[str, str], inside: bool) -> bool:
         return True
     if (attributes.get("aria-hidden") or "").lower() == "true":
         return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style") or "", re.I):
-        return True
-    words = _words(attributes)
-    return bool(words & NOISE_WORDS) or bool(words & WEAK_WORDS and not words & MAIN_WORDS)
+    return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style") or "", re.I))
 
 
 class Marked:
@@ -83,11 +115,28 @@ class Marked:
         self.page = page
         n = len(page.tags)
         self.noise, self.keys, inside = [False] * n, [""] * n, [False] * n
+        self.hidden = [False] * n  # noise by more than names
+        named, holds = [False] * n, [False] * n
+        for i in range(1, n):
+            tag, parent, attributes = page.tags[i], page.parents[i], page.attributes[i]
+            self.hidden[i] = self.hidden[parent] or _declared(tag, attributes, inside[parent])
+            inside[i] = inside[parent] or _is_main(tag, attributes)
+            if self.hidden[i]:
+                continue
+            named[i] = tag in WRAPPERS or _named(tag, attributes)
+            at = i if _is_main(tag, attributes) else 0
+            while at > 0 and not holds[at]:
+                holds[at], at = True, page.parents[at]
+        sizes = self._sizes() if any(named) else []
         mains: dict[str, list[int]] = {"article": [], "main": [], "named": []}
         for i in range(1, n):
             tag, parent, attributes = page.tags[i], page.parents[i], page.attributes[i]
-            self.noise[i] = self.noise[parent] or _declared(tag, attributes, inside[parent])
-            inside[i] = inside[parent] or tag in ("article", "main")
+            self.noise[i] = self.noise[parent] or self.hidden[i]
+            if named[i] and not holds[i] and not self.noise[i]:
+                if inside[i]:  # the names of a control, on what is a label and no running text
+                    self.noise[i] = tag not in FLOW and _control(attributes) and sizes[i][1] <= LABEL_WORDS
+                else:
+                    self.noise[i] = 2 * sizes[i][0] <= sizes[0][0]
             label = tag
             if attributes:
                 label += re.sub(r"\d{3,}", "", f".{attributes.get('class') or ''}#{attributes.get('id') or ''}")
@@ -96,7 +145,7 @@ class Marked:
                 continue
             if tag == "article":
                 mains["article"].append(i)
-            elif tag == "main" or (attributes.get("role") or "").lower() == "main":
+            elif _is_main(tag, attributes):
                 mains["main"].append(i)
             elif attributes and tag in ("div", "section", "td") and _words(attributes) & MAIN_WORDS:
                 mains["named"].append(i)
@@ -115,10 +164,31 @@ class Marked:
             if (extra or self.noise[up]) and not self.noise[i]:
                 self.noise[i] = True
                 self.keys[i] += NOISE_MARK
-        for i in self.mains:
+        # Of several articles, those in parts with names of noise are left to the importance of these parts.
+        strange = [False] * n
+        for i in range(1, n):
+            strange[i] = strange[page.parents[i]] or (named[i] and page.tags[i] not in WRAPPERS and not self.main[i])
+        plain = [i for i in self.mains if not strange[i]]
+        for i in plain or self.mains:
             while i > 0:
                 self.over[i], i = True, page.parents[i]
 
+    def _sizes(self) -> list[tuple[int, int]]:
+        """Characters and words of the text in each element, without hidden parts. Running text is more than a label."""
+        page = self.page
+        chars, words = [0] * len(page.tags), [0] * len(page.tags)
+        for element, _, text in page.texts:
+            if not self.hidden[element]:
+                some = text.split()
+                chars[element] += sum(map(len, some))
+                words[element] += len(some)
+        for i in range(len(page.tags) - 1, 0, -1):
+            if words[i] and page.tags[i] in RUNNING:
+                words[i] += LABEL_WORDS
+            chars[page.parents[i]] += chars[i]
+            words[page.parents[i]] += words[i]
+        return list(zip(chars, words))
+
     def removable(self, i: int) -> bool:
         """Whether a branch may go for low importance: declared noise, containers, running text outside the article."""
         tag = self.page.tags[i]
@@ -153,24 +223,30 @@ class Marked:
     def text(self, low: set[str] | None = None) -> str:
         """The blocks of the article, joined by line ends, without the branches whose keys are in ``low``.
 
-        Without ``low``, for pages that belong to no tree, the markup alone decides.
+        Without ``low``, for pages that belong to no tree, the markup alone decides; if it leaves nothing, all that is
+        not hidden.
         """
-        page, gone = self.page, list(self.noise)
+        gone = list(self.noise)
         if low is not None:
             gone = [False] * len(gone)
             for i in range(1, len(gone)):
-                gone[i] = gone[page.parents[i]] or (self.keys[i] in low and self.removable(i))
+                gone[i] = gone[self.page.parents[i]] or (self.keys[i] in low and self.removable(i))
+        out = self._blocks(gone, bool(self.mains))
+        if not out:
+            return self.text() if low is not None else self._blocks(self.hidden, False)
+        return out
+
+    def _blocks(self, gone: list[bool], only_main: bool) -> str:
         blocks, last, parts = [], None, []
-        for element, block, text in page.texts:
-            if gone[element] or (self.mains and not self.main[element]):
+        for element, block, text in self.page.texts:
+            if gone[element] or (only_main and not self.main[element]):
                 continue
             if block != last:
                 blocks.append(parts)
                 parts, last = [], block
             parts.append(text)
         blocks.append(parts)
-        out = "\n".join(x for x in (" ".join("".join(p).split()) for p in blocks) if x)
-        return self.text() if low is not None and not out else out
+        return "\n".join(x for x in (" ".join("".join(p).split()) for p in blocks) if x)
 
 
 def host_of(url: str) -> Column:
