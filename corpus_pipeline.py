@@ -37,13 +37,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first row of each class of near copies. Rows without words are alone in their class and stay.
 
-    Rows are numbered as they are read, so ``docs`` should come from files.
+    Rows are numbered as they are read, and written with their numbers: a second scan may be split in another way.
     """
-    numbered = docs.select(F.monotonically_increasing_id().alias("n"), "text")
     folder = common.work_dir(spark, "pipeline-dedup")
-    found = near_dedup.near_duplicates(numbered, folder, id_col="n")
+    rows = common.written(_boxed(docs).withColumn("n", F.monotonically_increasing_id()), f"{folder}/numbered")
+    found = near_dedup.near_duplicates(rows.select("n", "text"), folder, id_col="n")
     copies = found.where("doc_id <> class_id").select(F.col("doc_id").alias("n"))
-    rows = _boxed(docs).withColumn("n", F.monotonically_increasing_id())
     return _unboxed(rows.join(copies, "n", "left_anti"), docs.columns)
 
 

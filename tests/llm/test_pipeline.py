@@ -55,3 +55,25 @@ def test_stages_keep_clashing_columns(spark, edges):
         assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
     kept = pipeline.one_of_each(spark, docs, SF).collect()
     assert len(kept) == docs.count() - 1  # of the repeated row one stays
+
+
+def test_dedup_keeps_its_numbers_when_scans_split_differently(spark, monkeypatch):
+    text = "a text number {0} with words of its own {0} and {0} some more of them {0} until the end {0}"
+    rows = [(i, text.format(f"w{i % 30}x")) for i in range(40)]
+    folder = common.work_dir(spark, "t")
+    for part in range(8):
+        spark.createDataFrame(rows[part::8], "doc_id long, text string").coalesce(1).write.mode("append").parquet(folder)
+    found = pipeline.near_dedup.near_duplicates
+
+    def then_fewer_cores(*args, **kwargs):
+        classes = found(*args, **kwargs)
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        return classes
+
+    monkeypatch.setattr(pipeline.near_dedup, "near_duplicates", then_fewer_cores)
+    spark.conf.set("spark.sql.files.minPartitionNum", "8")
+    try:
+        kept = [r.text for r in pipeline.one_of_each(spark, spark.read.parquet(folder), SF).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert sorted(kept) == sorted({t for _, t in rows})
