@@ -25,12 +25,14 @@ def _unboxed(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is known: texts with letters of which one language has ``MIN_SCORE`` or more.
+    """Keep documents whose language is known: ``MIN_SCORE`` or more of the letters are in known words.
 
-    Null and empty texts, and texts without letters, go. The languages are learned from the labelled documents.
+    A mix of learned languages is known. Null and empty texts, texts without letters, and texts mostly in scripts that
+    no language uses, or of words unlike those of all languages, go. The languages are learned from the labelled
+    documents.
     """
-    found = language.identify(_boxed(docs), queries.language_model(spark, sf_dir))
-    kept = found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= MIN_SCORE))
+    found = language.identify(_boxed(docs), queries.language_model(spark, sf_dir), evidence_col="evidence")
+    kept = found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("evidence") >= MIN_SCORE))
     return _unboxed(kept, docs.columns)
 
 

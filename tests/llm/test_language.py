@@ -73,3 +73,13 @@ def test_long_words_and_capitals(model):
     text = "İİ " + "".join(rng.choice("abcdef") for _ in range(5000)) + " the and of to"
     (lang, _, spans), = model.identify([text])
     assert lang in model.languages and all(0 <= a < b <= len(text) for a, b, _ in spans)
+
+
+def test_unknown_words_are_no_evidence(spark, model):
+    rows = [(1, "这是一个完整的中文文档"), (2, "Это полностью русский текст о жизни"), (3, "xqzv kjwq zzxv pqpq wvxk jjqx"), (4, "ไทย")]
+    rows.append((5, "the time of the people and the world " * 3 + "русский"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in language.identify(docs, model, evidence_col="evidence").collect()}
+    assert [(got[i].lang_pred, got[i].score, got[i].evidence) for i in (1, 2, 3, 4)] == [("und", 0.0, 0.0)] * 4
+    letters = len("".join(rows[4][1].split()))
+    assert got[5].lang_pred == "en" and got[5].spans[-1].lang == "und" and got[5].score <= 1 - 7 / letters

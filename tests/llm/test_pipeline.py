@@ -77,3 +77,16 @@ def test_dedup_keeps_its_numbers_when_scans_split_differently(spark, monkeypatch
     finally:
         spark.conf.unset("spark.sql.files.minPartitionNum")
     assert sorted(kept) == sorted({t for _, t in rows})
+
+
+def test_language_stage_rejects_unknown_and_keeps_mixes(spark):
+    text = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        if len(r.text) > 300 and "|" not in r.text:
+            text.setdefault(r.lang, r.text[:300].rsplit(" ", 1)[0])
+    assert len(text) == 4
+    mix = " ".join(x[:240].rsplit(" ", 1)[0] for x in text.values())
+    rows = [(1, "这是一个完整的中文文档"), (2, "Это полностью русский текст о жизни"), (3, "xqzv kjwq zzxv pqpq"), (4, mix)]
+    rows += [(5 + i, x) for i, x in enumerate(text.values())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in pipeline.language_id(spark, docs, SF).collect()) == [4, 5, 6, 7, 8]

@@ -2,7 +2,8 @@
 
 The script of a word narrows its candidates to the languages that use the script in the training texts. Each word has
 a score per candidate from its letters and letter pairs and triples; Viterbi with a penalty per switch then labels
-the words, and words of one label in a row make a span.
+the words, and words of one label in a row make a span. A word is known if a language uses its script and its letters
+are about as likely as those of the training texts; others say nothing of the language of their text.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ FEATURES = 1 << 16
 SWITCH = 12.0
 MOST_LANGUAGES = 256
 SCRIPT_SHARE = 0.005
+FAR_BELOW = 6.0  # nats a letter under the mean of a language's training texts
 WORDS_AT_ONCE = 20_000  # words whose letters are laid out in memory together
 # First code points of script ranges, and the scripts written without spaces.
 SCRIPTS = (
@@ -82,6 +84,7 @@ class LanguageModel:
     languages: list[str]
     logp: np.ndarray  # features x languages
     uses: np.ndarray  # scripts x languages
+    least: np.ndarray  # per language: least log-probability a letter of a known word
     switch: float = SWITCH
     number: str = field(default_factory=lambda: uuid.uuid4().hex)
     index: _Index = field(default_factory=_Index)
@@ -89,28 +92,34 @@ class LanguageModel:
     max_words: int = 300_000
 
     def __getstate__(self):
-        return {"languages": self.languages, "logp": self.logp, "uses": self.uses, "switch": self.switch, "number": self.number}
+        names = ("languages", "logp", "uses", "least", "switch", "number")
+        return {name: getattr(self, name) for name in names}
 
     def __setstate__(self, state):
         self.__dict__.update(state, index=_Index(), known=None, max_words=300_000)
 
     def score_words(self, words: list[str]) -> np.ndarray:
-        """Words x languages. A language that lacks the word's script is far below; a script nobody has says nothing."""
+        """Words x languages, and what is known of each word: 1 all, 0 its script, -1 nothing.
+
+        A language that lacks the word's script is far below; a script nobody has says nothing.
+        """
         if not words:
-            return np.zeros((0, len(self.languages)), np.float32)
+            return np.zeros((0, len(self.languages) + 1), np.float32)
         if len(words) > WORDS_AT_ONCE:
             parts = range(0, len(words), WORDS_AT_ONCE)
             return np.concatenate([self.score_words(words[at : at + WORDS_AT_ONCE]) for at in parts])
         hashed, first, script = _letters(words)
         scores = np.add.reduceat(self.logp[hashed].sum(1), first, axis=0)
         uses = self.uses[script]
+        sizes = np.diff(np.append(first, len(hashed)))[:, None]
+        known = np.where((uses & (scores >= sizes * self.least)).any(1), 1, np.where(uses.any(1), 0, -1))
         scores = np.where(uses, scores, scores.max(1, keepdims=True) - 4 * self.switch)
         scores[~uses.any(1)] = 0
-        return (scores - scores.max(1, keepdims=True)).astype(np.float32)
+        return np.column_stack([scores - scores.max(1, keepdims=True), known]).astype(np.float32)
 
     def _scores(self, words: list[list[str]]) -> list[np.ndarray]:
         if len(self.index) > self.max_words or self.known is None:
-            self.index, self.known = _Index(), np.zeros((0, len(self.languages)), np.float32)
+            self.index, self.known = _Index(), np.zeros((0, len(self.languages) + 1), np.float32)
         longest = [len(max(some, key=len, default="")) for some in words]
         long = [
             [i for i, w in enumerate(some) if len(w) > _LONGEST] if n > _LONGEST else []
@@ -146,23 +155,37 @@ class LanguageModel:
         return _viterbi(scores, self.switch)
 
     def identify(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
-        """Language, score and spans (first and last character + 1, language) of each text."""
+        """Language, score and spans (first and last character + 1, language) of each text.
+
+        Of a text without known words the language is the first that could be, and the score 0.
+        """
+        return [found[:3] for found in self.examine(texts)]
+
+    def examine(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]], float]]:
+        """The same, and the share of the letters that are in known words of any language."""
+        nothing = (UNDETERMINED, 0.0, [], 0.0)
         if not self.languages:
-            return [(UNDETERMINED, 0.0, [])] * len(texts)
+            return [nothing] * len(texts)
         words = [words_of(t) if t else [] for t in texts]
         out = []
-        for text, some, scores in zip(texts, words, self._scores(words)):
+        for text, some, scored in zip(texts, words, self._scores(words)):
             if not some:
-                out.append((UNDETERMINED, 0.0, []))
+                out.append(nothing)
                 continue
+            scores, known = scored[:, :-1], scored[:, -1]
             labels = self.label(scores)
-            if isinstance(labels, int):
+            letters = np.fromiter(map(len, some), np.int64, len(some))
+            sure, foreign = np.where(known > 0, letters, 0), known < 0
+            every, evidence = int(letters.sum()), float(sure.sum() / letters.sum())
+            if isinstance(labels, int) and not foreign.any():
                 name = self.languages[labels]
-                out.append((name, 1.0, [(len(text) - len(text.lstrip()), len(text.rstrip()), name)]))
+                out.append((name, evidence, [(len(text) - len(text.lstrip()), len(text.rstrip()), name)], evidence))
                 continue
-            sizes = np.bincount(labels, [len(w) for w in some], len(self.languages))
-            best = int(sizes.argmax())
-            out.append((self.languages[best], float(sizes[best] / sizes.sum()), self._spans(text, labels)))
+            labels = np.broadcast_to(labels, len(some))
+            sizes = np.bincount(labels, sure, len(self.languages))
+            best = int(sizes.argmax()) if evidence else int(np.bincount(labels, letters).argmax())
+            spans = self._spans(text, np.where(foreign, len(self.languages), labels))
+            out.append((self.languages[best], float(sizes[best] / every), spans, evidence))
         return out
 
     def _spans(self, text: str, labels: np.ndarray) -> list[tuple[int, int, str]]:
@@ -174,7 +197,8 @@ class LanguageModel:
             places = [tuple(np.searchsorted(ends, p, side="left").tolist()) for p in places]
         cuts = np.flatnonzero(np.diff(labels)) + 1
         runs = zip([0, *cuts.tolist()], [*cuts.tolist(), len(labels)])
-        return [(places[a][0], places[b - 1][1], self.languages[int(labels[a])]) for a, b in runs]
+        names = [*self.languages, UNDETERMINED]
+        return [(places[a][0], places[b - 1][1], names[int(labels[a])]) for a, b in runs]
 
 
 def _viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
@@ -260,19 +284,24 @@ def _model(languages: list[str], sums, switch: float) -> LanguageModel:
     features, scripts = counts[:FEATURES], counts[FEATURES:]
     logp = np.log((features + 0.5) / (features.sum(0) + 0.5 * FEATURES))
     uses = scripts > SCRIPT_SHARE * scripts.sum(0)
-    return LanguageModel(languages, logp.astype(np.float32), uses, switch)
+    # A letter has three features.
+    mean = 3 * (features * logp).sum(0) / np.maximum(features.sum(0), 1)
+    return LanguageModel(languages, logp.astype(np.float32), uses, mean - FAR_BELOW, switch)
 
 
-def identify(documents: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+def identify(
+    documents: DataFrame, model: LanguageModel, text_col: str = "text", evidence_col: str | None = None
+) -> DataFrame:
     """Every row with ``lang_pred``, ``score`` and ``spans`` (start, end, lang) in place of columns so named.
 
-    ``lang_pred`` is the language with the most letters, ``score`` its share of them. A text that is null or has no
-    letter, and any text if nothing was learned, is ``und`` with score 0 and no spans. Of equal shares the language
-    first in order wins.
+    ``lang_pred`` is the language with the most letters in known words, ``score`` their share of all letters. A text
+    that is null or has no known word, and any text if nothing was learned, is ``und`` with score 0 and no spans. Of
+    equal shares the language first in order wins. Runs of words in a script that no language uses are spans of
+    ``und``. ``evidence_col`` adds the share of the letters that are in known words of any language.
     """
     spark = documents.sparkSession
     common.ship(spark)
-    results = ("lang_pred", "score", "spans")
+    results = ("lang_pred", "score", "spans", *([evidence_col] if evidence_col else []))
     keep = [c for c in documents.columns if c not in results]
     state = spark.sparkContext.broadcast(model)
     place = keep.index(text_col)
@@ -281,15 +310,19 @@ def identify(documents: DataFrame, model: LanguageModel, text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = common.kept(("language", state.value.number), lambda: state.value)
         for batch in common.slices(batches, 256):
-            found = model.identify(batch.column(place).to_pylist())
-            yield pa.RecordBatch.from_arrays([
-                *batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()),
+            found = model.examine(batch.column(place).to_pylist())
+            found = [f if f[3] else (UNDETERMINED, 0.0, [], 0.0) for f in found]
+            columns = [
+                pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()),
                 pa.array([[{"start": a, "end": b, "lang": c} for a, b, c in f[2]] for f in found], spans),
-            ], [*keep, *results])
+                pa.array([f[3] for f in found], pa.float64()),
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns[: len(results)]], [*keep, *results])
 
     kept = documents.select(*keep)
     schema = kept.limit(0).selectExpr(
-        "*", "'' AS lang_pred", "0D AS score", "array(named_struct('start', 0, 'end', 0, 'lang', '')) AS spans"
+        "*", "'' AS lang_pred", "0D AS score", "array(named_struct('start', 0, 'end', 0, 'lang', '')) AS spans",
+        *([f"0D AS `{evidence_col}`"] if evidence_col else []),
     ).schema
     return kept.mapInArrow(run, schema)
 
