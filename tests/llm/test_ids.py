@@ -68,6 +68,18 @@ def test_id_files_edges_and_short_access(spark, edges):
         id_files.IdFile(bytes(files[0].content), word + b"x")
 
 
+def test_dictionary_is_of_the_whole_table(spark):
+    # Clustered by source: the second comes after more documents than the sample holds.
+    rows = [(i, ("alpha beta gamma " if i < 1500 else "delta epsilon zeta ") * 9 + str(i)) for i in range(3000)]
+    rows[7] = (7, "word " * 50_000 + "end")
+    schema = "doc_id long, text string"
+    one, other = spark.createDataFrame(rows, schema), spark.createDataFrame(rows[::-1], schema)
+    word = id_files.train_dictionary(one, BYTE, 2)
+    assert word == id_files.train_dictionary(other, BYTE, 2)
+    second = np.array(plain(BYTE, [" epsilon zeta delta epsilon"], 2)[0][:-1], "<u2").tobytes()
+    assert second in word
+
+
 def test_empty_tables(spark, edges):
     none = edges.limit(0)
     folder = common.work_dir(spark, "t")

@@ -2,7 +2,8 @@
 
 A file holds a header (dictionary hash, width of an id, counts), an index (document id, first token, token count,
 frame offset) and one zstandard frame per document, so that a short document is read with one seek. The dictionary
-is trained on the serialized id arrays of a bounded sample of the documents and kept beside the files.
+is trained on the serialized id arrays of a bounded sample of all documents, drawn by hashes of their ids, and kept
+beside the files.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ MAGIC = b"IDFILE1\n"
 SUFFIX = ".ids"
 SAMPLE_DOCS = 1024
 SAMPLE_BYTES = 4096
+WINDOWS = 4
 DICTIONARY_BYTES = 1 << 16
 FILE_BYTES = 8 << 20
 
@@ -39,20 +41,37 @@ def width_of(vocabulary: int) -> int:
     return 2 if vocabulary <= 1 << 16 else 4
 
 
+def _spread(ids: np.ndarray, most: int) -> np.ndarray:
+    """At most ``most`` ids, from windows spread over all."""
+    if len(ids) <= most:
+        return ids
+    size = most // WINDOWS
+    starts = np.linspace(0, len(ids) - size, WINDOWS).astype(int)
+    return np.concatenate([ids[at : at + size] for at in starts])
+
+
 def train_dictionary(
-    documents: DataFrame, tokenizer: str, end_id: int, text_col: str = "text", sample: int = SAMPLE_DOCS
+    documents: DataFrame, tokenizer: str, end_id: int, text_col: str = "text", sample: int = SAMPLE_DOCS,
+    id_col: str = "doc_id",
 ) -> bytes:
-    """A dictionary from the first ``sample`` documents as read, ``SAMPLE_BYTES`` of the ids of each.
+    """A dictionary from the ``sample`` documents with the smallest id hashes, ``SAMPLE_BYTES`` of the ids of each.
 
-    The bound concerns training only, and saves a pass over all texts. Too few samples to train on give their plain
-    content as dictionary.
+    The bound concerns training only. Documents come from the whole table, and the ids of a long one from windows
+    spread over it; the order of rows and files has no influence. Too few samples to train on give their plain content
+    as dictionary.
     """
     enc = encoder(tokenizer)
     width = width_of(max(enc.size, end_id + 1))
     # No id needs more than 16 characters of plain text; longer ones only make a sample shorter.
-    start = F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, 16 * SAMPLE_BYTES // width).alias("t")
-    texts = [r.t for r in documents.select(start).take(sample)]
-    samples = [serialized(np.append(i, end_id), width)[:SAMPLE_BYTES] for i in enc.encode(texts)]
+    size = 16 * SAMPLE_BYTES // width // WINDOWS
+    text, places = F.coalesce(F.col(text_col), F.lit("")), [F.lit(i / (WINDOWS - 1)) for i in range(WINDOWS)]
+    parts = [F.substring(text, ((F.length(text) - size) * at).cast("int") + 1, F.lit(size)) for at in places]
+    some = F.when(F.length(text) <= WINDOWS * size, text).otherwise(F.concat(*parts)).alias("t")
+    hashed = F.xxhash64(F.col(id_col).cast("long")).alias("h")
+    last = documents.select(hashed).distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    rows = documents.where(hashed <= F.lit(last)).select(hashed, some)
+    texts = [r.t for r in rows.orderBy("h", F.xxhash64("t"), "t").limit(sample).collect()]
+    samples = [serialized(_spread(np.append(i, end_id), SAMPLE_BYTES // width), width) for i in enc.encode(texts)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
@@ -121,7 +140,7 @@ def write_ids(
     """
     spark = documents.sparkSession
     common.ship(spark)
-    dictionary = train_dictionary(documents, tokenizer, end_id, text_col)
+    dictionary = train_dictionary(documents, tokenizer, end_id, text_col, id_col=id_col)
     digest = hashlib.sha256(dictionary).hexdigest()
     common.write_file(f"{folder}/ids/{digest}.dictionary", dictionary)
 
