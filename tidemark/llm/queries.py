@@ -12,13 +12,16 @@ from tidemark.llm import (
     backoff_lm,
     common,
     contamination,
+    divergence,
     id_files,
     language,
     main_text,
     near_dedup,
     packing,
     pivot_search,
+    turn_repair,
     unigram_count,
+    vantage,
     warc,
 )
 
@@ -121,6 +124,23 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "spans")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the words of every source are from those of each other source of its language, and its own terms."""
+    return divergence.compare_sources(table(spark, sf_dir, "documents"), common.work_dir(spark, "divergence"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after damage: its faults and the cheapest repair of its structure."""
+    damaged = turn_repair.damaged(table(spark, sf_dir, "conversations"))
+    return turn_repair.repair(damaged, common.work_dir(spark, "turn-repair"))
+
+
+def op13_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest found for every vector whose id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return vantage.nearest(vectors, F.col("vec_id") % 20 == 0, common.work_dir(spark, "vantage"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_main_text": op2_main_text,
@@ -132,6 +152,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_contamination": op8_contamination,
     "op9_token_counts": op9_token_counts,
     "op10_language": op10_language,
+    "op11_divergence": op11_divergence,
+    "op12_turn_repair": op12_turn_repair,
+    "op13_vantage": op13_vantage,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_top_k": """
@@ -148,4 +171,45 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op11_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+            FROM documents
+        ), w AS (
+            SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+        ), c AS (
+            SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM w GROUP BY ALL
+        ), k AS (
+            SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING sum(docs) >= 3
+        ), l AS (
+            SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY ALL
+        ), g AS (
+            SELECT DISTINCT lang, source FROM d
+        ), s AS (
+            SELECT g.lang, g.source, coalesce(any_value(l.v), 0) AS v, coalesce(sum(c.n), 0) AS n
+            FROM g LEFT JOIN l USING (lang)
+                LEFT JOIN (SELECT * FROM c SEMI JOIN k USING (lang, term)) c USING (lang, source)
+            GROUP BY ALL
+        ), p AS (
+            SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n,
+                1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (s.n + s.v) AS p
+            FROM s JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)
+        ), q AS (
+            SELECT k.lang, k.term, 1 + (1000000000::HUGEINT * (k.n + 1)) // (l.n + l.v) AS q FROM k JOIN l USING (lang)
+        ), f AS (
+            SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS f
+            FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ), o AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.f, 0)::BIGINT AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM p JOIN q USING (lang, term)
+            WHERE n > 0 AND p > q
+        ), r AS (
+            SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM o
+        )
+        SELECT * FROM r WHERE part = 'pair' OR rank <= 200
+    """,
 }
