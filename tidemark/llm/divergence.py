@@ -51,7 +51,7 @@ def term_counts(documents: DataFrame) -> DataFrame:
         for (lang, source), (n, docs) in groups.items():
             terms = list(n)
             columns = [
-                pa.array([lang] * len(terms)), pa.array([source] * len(terms)),
+                pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()),
                 pa.array(terms, pa.binary()).cast(pa.string()),
                 pa.array([n[t] for t in terms], pa.int64()), pa.array([docs[t] for t in terms], pa.int64()),
             ]

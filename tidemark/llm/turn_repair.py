@@ -266,8 +266,10 @@ def repair(rows: DataFrame, folder: str, segment: int = SEGMENT, keep_turns: boo
     done = segments.where("whole").select("conv_id", *_measures(), "cost", "audit", "sha", "roles", "texts")
     open_rows = segments.where("NOT whole").repartition("conv_id").sortWithinPartitions("conv_id", "part", "place")
     names = "gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, sha string"
-    rest = open_rows.mapInArrow(_merged, f"conv_id {kind}, {names}")
-    rest = rest.withColumns({c: F.lit(None).cast("array<string>") for c in ("roles", "texts")})
+    rest = open_rows.mapInArrow(
+        lambda batches: _merged(batches, segment if keep_turns else 0),
+        f"conv_id {kind}, {names}, roles array<string>, texts array<string>",
+    )
     found = done.unionByName(rest).withColumnRenamed("sha", "repaired_sha256")
     if keep_turns:
         found = found.withColumn("turns", F.arrays_zip(F.col("roles").alias("role"), F.col("texts").alias("text")))
@@ -379,15 +381,25 @@ def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
 
 
 class _Chain:
-    """A conversation read segment by segment: for each state the cheapest way there, and the hash of its turns."""
+    """A conversation read segment by segment: for each state the cheapest way there, and the hash of its turns.
 
-    def __init__(self) -> None:
+    Its rows are kept as long as they are no more than ``most``.
+    """
+
+    def __init__(self, most: int) -> None:
+        self.most, self.n, self.roles, self.texts = most, 0, [], []
         self.ways = {START: (0, "", hashlib.sha256())}
         self.said = ""  # audit that all ways share
         self.sums = dict.fromkeys(("blank", "duplicate", "truncated", "illegal", "days"), 0)
         self.low = self.high = self.last = None
 
     def add(self, row: dict) -> None:
+        self.n += row["n"]
+        if self.n <= self.most:
+            self.roles += row["roles"]
+            self.texts += row["texts"]
+        else:
+            self.roles, self.texts = [], []
         for c in self.sums:
             self.sums[c] += row[c]
         if row["low"] is not None:
@@ -429,23 +441,27 @@ class _Chain:
         days = sums.pop("days")
         gaps = 0 if self.low is None else self.high - self.low + 1 - days
         sha = self._hashed(before, edits, [], []).hexdigest()
-        return {"conv_id": conv, "gaps": gaps, **sums, "cost": cost, "audit": self.said + audit, "sha": sha}
+        found = {"conv_id": conv, "gaps": gaps, **sums, "cost": cost, "audit": self.said + audit, "sha": sha}
+        if self.n <= self.most:
+            turns = repaired(START, found["audit"], self.roles, self.texts)
+            found |= {"roles": [r for r, _ in turns], "texts": [t for _, t in turns]}
+        return found
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Conversations from the lines of their segments, in order."""
+def _merged(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Conversations from the lines of their segments, in order; with their turns if they have up to ``most`` rows."""
     current, chain, out, schema = None, None, [], None
     for batch in common.slices(batches, 4):
         schema = schema or pa.schema([
             ("conv_id", batch.schema.field("conv_id").type),
             *((c, pa.int64()) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")),
-            ("audit", pa.string()), ("sha", pa.string()),
+            ("audit", pa.string()), ("sha", pa.string()), ("roles", pa.list_(pa.string())), ("texts", pa.list_(pa.string())),
         ])
         for row in batch.to_pylist():
             if current is None or current[0] != row["conv_id"]:
                 if current is not None:
                     out.append(chain.result(current[0]))
-                current, chain = (row["conv_id"],), _Chain()
+                current, chain = (row["conv_id"],), _Chain(most)
             chain.add(row)
         if len(out) >= 512:
             yield _batch(out, schema)

@@ -72,8 +72,10 @@ def nearest(
         return F.create_map(*(F.lit(x) for dim, s in sizes.items() for x in (dim, s[at])))[F.col("dim")]
 
     home, turn = F.pmod("h", of_dim(0)).cast("int"), F.pmod("h", of_dim(1)).cast("int")
-    there = rows.select("id", "v", "dim", home.alias("shard"))
-    asked = rows.where("q").select("id", "v", "dim", home.alias("home"), turn.alias("turn"), F.lit(None).cast("double").alias("bound"))
+    # Named anew, so that the two sides have no column in common.
+    columns = [F.col(c).alias(c) for c in ("id", "v", "dim")]
+    there = rows.select(*columns, home.alias("shard"))
+    asked = rows.where("q").select(*columns, home.alias("home"), turn.alias("turn"), F.lit(None).cast("double").alias("bound"))
     schema = "query_id long, dim int, found long, score double"
 
     def search(key: tuple, asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
