@@ -60,12 +60,39 @@ def test_unusable_and_empty(spark):
         pivot_search.top_k(big, F.col("vec_id") > 0, common.work_dir(spark, "t")).collect()
 
 
-def test_bounds_skip_candidates():
+def table_of(x, pivots):
+    return np.sqrt(((x[:, None, :].astype(float) - pivots[None]) ** 2).sum(2))
+
+
+def plain(asked, q, ids, x, k):
+    scores = [[sum(int(a) * int(b) for a, b in zip(v, w)) for w in x] for v in q]
+    return [
+        (r, s, i) for r, own in enumerate(asked)
+        for s, i in sorted(((s, int(i)) for s, i in zip(scores[r], ids) if i != own), key=lambda t: (-t[0], t[1]))[:k]
+    ]
+
+
+def test_bounds_skip_candidates(monkeypatch):
+    monkeypatch.setattr(pivot_search, "TILE", 50)
     rng = np.random.default_rng(3)
     centres = rng.integers(-200, 200, (20, 8))
     x = (centres[rng.integers(0, 20, 2000)] + rng.integers(-4, 5, (2000, 8))).astype(np.int64)
-    pivots = x[:32]
-    d = np.sqrt(((x[:, None, :] - pivots[None]) ** 2).sum(2))
-    best = pivot_search.best_of(7, x[7], d[7], np.arange(2000), x, d, (x * x).sum(1), 5)
-    scores = x @ x[7]
-    assert best == sorted(((int(s), i) for i, s in enumerate(scores) if i != 7), key=lambda r: (-r[0], r[1]))[:5]
+    d, ids, some = table_of(x, x[:32]), np.arange(2000), np.arange(0, 2000, 100)
+    seen = []
+    partition = np.partition
+    monkeypatch.setattr(np, "partition", lambda s, *a, **o: seen.append(s.size) or partition(s, *a, **o))
+    got = pivot_search.best_of(some, x[some], d[some], ids, x, d, 5)
+    assert list(zip(*(a.tolist() for a in got))) == plain(some, x[some], ids, x, 5)
+    assert sum(seen) < len(some) * len(x)
+
+
+@pytest.mark.parametrize("dim", [3, 2048])
+def test_largest_components_do_not_overflow(dim):
+    """Components of almost 2**26, many dimensions: bounds and scores near the end of a long."""
+    rng = np.random.default_rng(dim)
+    top = pivot_search.LIMIT - 1
+    x = rng.choice([top, -top, top - 1], (60, dim))
+    x[:5] = top
+    d, ids = table_of(x, x[10:14]), np.arange(60)
+    got = pivot_search.best_of(ids[:6], x[:6], d[:6], ids, x, d, 4)
+    assert list(zip(*(a.tolist() for a in got))) == plain(ids[:6], x[:6], ids, x, 4)

@@ -15,17 +15,11 @@ def brute(rows, asked, k):
     """(query_id, rank, vec_id, score) of the best by score, ties to the smaller id."""
     out = []
     for q in sorted({i for i, _ in asked}):
-        best = set()
-        scores = []
-        for n, (i, v) in enumerate(rows):
-            if i != q:
-                scores += [(-float((np.array(v) * np.array(w)).sum()), i, n) for j, w in asked if j == q and len(w) == len(v)]
-        seen = []
-        for s, i, n in sorted(scores):
-            if n not in best:
-                best.add(n)
-                seen.append((i, -s))
-        out += [(q, rank + 1, i, s) for rank, (i, s) in enumerate(seen[:k])]
+        asking = {tuple(w) for j, w in asked if j == q}
+        seen = sorted(
+            (-float((np.array(v) * np.array(w)).sum()), i) for i, v in rows for w in asking if i != q and len(w) == len(v)
+        )
+        out += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(seen[:k])]
     return out
 
 

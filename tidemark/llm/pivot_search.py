@@ -20,7 +20,7 @@ from tidemark.llm import common
 PIVOTS = 32
 BLOCK = 4096
 QUERY_BLOCK = 1024
-STEP = 64
+TILE = 512
 LIMIT = 1 << 26  # of a component's size, so that scores of up to 2**11 dimensions fit a long
 
 
@@ -105,16 +105,15 @@ def top_k(
     )
 
     def search(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(asked) and len(there):
-            ids = there["id"].to_numpy(np.int64)
-            x = np.array(there["v"].tolist(), np.int64).reshape(len(ids), -1)
-            d = np.array(there["d"].tolist(), np.float64)
-            norms = (x * x).sum(1)
-            for query, v, dist in zip(asked["id"], asked["v"], asked["d"]):
-                for score, found in best_of(int(query), np.array(v, np.int64), np.array(dist), ids, x, d, norms, k):
-                    out.append((query, found, score))
-        return pd.DataFrame(out, columns=["query_id", "found", "score"]).astype("int64")
+        if not len(asked) or not len(there):
+            return pd.DataFrame({c: np.empty(0, np.int64) for c in ("query_id", "found", "score")})
+        arrays = []
+        for side in (asked, there):
+            arrays.append(side["id"].to_numpy(np.int64))
+            for c, kind in (("v", np.int64), ("d", np.float64)):
+                arrays.append(np.concatenate(side[c].tolist()).astype(kind).reshape(len(side), -1 if len(side[c].iloc[0]) else 0))
+        row, score, found = best_of(*arrays, k)
+        return pd.DataFrame({"query_id": arrays[0][row], "found": found, "score": score})
 
     pairs = asked.groupBy("dim", "t", "b").cogroup(candidates.groupBy("dim", "t", "b"))
     found = pairs.applyInPandas(search, "query_id long, found long, score long")
@@ -136,22 +135,46 @@ def _best_lists(found: DataFrame, k: int, order: Column) -> DataFrame:
     return lists.select("query_id", F.posexplode("some").alias("at", "one"))
 
 
-def best_of(query, v, dist, ids, x, d, norms, k: int) -> list[tuple[int, int]]:
-    """The ``k`` best (score, id) of a query in a block, evaluated in the order of their upper bounds."""
-    own = int((v * v).sum())
-    low = np.abs(d - dist).max(1) if d.shape[1] else np.zeros(len(ids))
-    # Roots are rounded: the slack keeps the bounds above the true scores.
-    low = np.maximum(low * (1 - 1e-12) - 1e-6, 0)
-    bound = (own + norms - low * low) / 2 + 1
-    order = np.argsort(-bound, kind="stable")
-    order = order[ids[order] != query]
-    best: list[tuple[int, int]] = []
-    at, step = 0, STEP
-    while at < len(order):
-        if len(best) == k and bound[order[at]] < best[-1][0]:
+def best_of(
+    asked: np.ndarray, q: np.ndarray, q_table: np.ndarray, ids: np.ndarray, x: np.ndarray, table: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query row, score and id of the ``k`` best of a block for each query, best first.
+
+    Candidates are taken in tiles by their greatest bound, each only for the queries that one of its bounds still
+    concerns. Products are of doubles where these are exact, else of longs.
+    """
+    most = [float(np.abs(m).max(initial=0)) for m in (q, x)]
+    kind = np.float64 if most[0] * most[1] * q.shape[1] < 2**53 else np.int64
+    q, x = q.astype(kind), x.astype(kind)
+    norms = [(m.astype(np.float64) ** 2).sum(1) for m in (q, x)]
+    low = np.zeros((len(q), len(x)))
+    for one, other in zip(q_table.T, table.T):
+        # Roots and sums are rounded: the slack keeps the bounds above the true scores.
+        np.maximum(low, np.abs(one[:, None] - other) - 1e-11 * (one[:, None] + other) - 1e-6, out=low)
+    size = norms[0][:, None] + norms[1]
+    bound = (size - low * low) / 2 + 1e-11 * size + 1
+    reach = bound.max(0)
+    order = np.argsort(-reach, kind="stable")
+    least = -np.inf if kind is np.float64 else np.iinfo(np.int64).min
+    kth = np.full(len(q), least, kind)
+    row, score, found = np.empty(0, np.int64), np.empty(0, kind), np.empty(0, np.int64)
+    for at in range(0, len(order), TILE):
+        some = order[at : at + TILE]
+        if reach[some[0]] < kth.min():
             break
-        some = order[at : at + step]
-        scores = x[some] @ v
-        best = sorted([*best, *zip(scores.tolist(), ids[some].tolist())], key=lambda r: (-r[0], r[1]))[:k]
-        at, step = at + step, min(step * 2, 1024)
-    return best
+        who = np.flatnonzero((bound[:, some] >= kth[:, None]).any(1))
+        scores = q[who] @ x[some].T
+        scores[ids[some] == asked[who, None]] = least
+        enough = kth[who]
+        if len(some) > k:
+            enough = np.maximum(enough, np.partition(scores, -k, axis=1)[:, -k])
+        r, c = np.nonzero((scores >= enough[:, None]) & (scores > least))
+        row = np.concatenate([row, who[r]])
+        score, found = np.concatenate([score, scores[r, c]]), np.concatenate([found, ids[some[c]]])
+        best = np.lexsort((found, -score, row))
+        place = np.arange(len(best)) - np.searchsorted(row[best], row[best])
+        best = best[place < k]
+        row, score, found = row[best], score[best], found[best]
+        last = place[place < k] == k - 1
+        kth[row[last]] = score[last]
+    return row, score.astype(np.int64), found

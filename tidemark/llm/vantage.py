@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common
 
-FACTOR = 6.0
+FACTOR = 4.0
 SHARD = 8192
 QUERY_BLOCK = 8192
 AT_ONCE = 512  # queries that go down a tree together
@@ -43,7 +43,8 @@ def nearest(
 
     Rows with null ids or unusable vectors take no part. Vectors of other lengths than the query's are no candidates;
     nor is a row with the query's id. Equal scores go to the smaller id; of repeated rows each is a candidate of its
-    own, while query rows with one id are answered together. Other columns do not matter.
+    own, while query rows with one id are answered together, each of their vectors with candidates of its own. Other
+    columns do not matter.
 
     Rows are dealt to shards of about ``shard`` rows by a hash of id and vector, so a vector that is very common is in
     all of them; a shard keeps one node for equal vectors. Each query first asks one shard. The k-th best there is a
@@ -75,7 +76,7 @@ def nearest(
     # Named anew, so that the two sides have no column in common.
     columns = [F.col(c).alias(c) for c in ("id", "v", "dim")]
     there = rows.select(*columns, home.alias("shard"))
-    asked = rows.where("q").select(*columns, home.alias("home"), turn.alias("turn"), F.lit(None).cast("double").alias("bound"))
+    asked = rows.where("q").dropDuplicates(["id", "v"]).select(*columns, home.alias("home"), turn.alias("turn"), F.lit(None).cast("double").alias("bound"))
     schema = "query_id long, dim int, found long, score double"
 
     def search(key: tuple, asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
@@ -93,7 +94,7 @@ def nearest(
     rest = common.written(rest.applyInPandas(search, schema), f"{folder}/rest")
     # k rows per query and shard; salted, so that those of many shards are cut before they meet.
     row = F.struct((-F.col("score")).alias("s"), "found")
-    lists = first.unionByName(rest).distinct().groupBy("query_id", F.pmod(F.xxhash64("found"), F.lit(16)).alias("salt"))
+    lists = first.unionByName(rest).groupBy("query_id", F.pmod(F.xxhash64("found"), F.lit(16)).alias("salt"))
     lists = lists.agg(F.slice(F.sort_array(F.collect_list(row)), 1, k).alias("some")).groupBy("query_id")
     lists = lists.agg(F.slice(F.sort_array(F.flatten(F.collect_list("some"))), 1, k).alias("some"))
     return lists.select("query_id", F.posexplode("some").alias("at", "one")).select(
