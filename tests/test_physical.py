@@ -120,8 +120,8 @@ def test_statistics_read_the_rows_twice(spark, tmp_path):
     text = plan(found)
     final = text[:text.index("Initial Plan")]
     assert final.count("FileScan parquet") == 3 and final.count("key#") > 0  # the catalogue is the third
-    scans = [line for line in final.split("\n") if "FileScan parquet" in line and "/rows" in line]
-    assert len(scans) == 2 and sum("key:string" in line for line in scans) == 1
+    scans = [line for line in final.split("\n") if "FileScan parquet" in line and "view:string" not in line]
+    assert len(scans) == 2 and sum("key:string" in line for line in scans) == 1  # ReadSchema, whatever the folder's length
 
 
 def test_reading_a_table_sorts_only_rows_of_repeated_keys(spark, tmp_path):
