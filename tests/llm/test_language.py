@@ -77,9 +77,12 @@ def test_long_words_and_capitals(model):
 
 def test_unknown_words_are_no_evidence(spark, model):
     rows = [(1, "这是一个完整的中文文档"), (2, "Это полностью русский текст о жизни"), (3, "xqzv kjwq zzxv pqpq wvxk jjqx"), (4, "ไทย")]
+    rows += [(6, "12 + 34 = !?"), (7, None), (8, " ")]
     rows.append((5, "the time of the people and the world " * 3 + "русский"))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in language.identify(docs, model, evidence_col="evidence").collect()}
-    assert [(got[i].lang_pred, got[i].score, got[i].evidence) for i in (1, 2, 3, 4)] == [("und", 0.0, 0.0)] * 4
-    letters = len("".join(rows[4][1].split()))
+    assert all(got[i].lang_pred in model.languages and (got[i].score, got[i].evidence) == (0.0, 0.0) for i in (1, 2, 3, 4))
+    assert {s.lang for i in (1, 2, 4) for s in got[i].spans} == {"und"}
+    assert [got[i].lang_pred for i in (6, 7, 8)] == ["und"] * 3
+    letters = len("".join(rows[-1][1].split()))
     assert got[5].lang_pred == "en" and got[5].spans[-1].lang == "und" and got[5].score <= 1 - 7 / letters

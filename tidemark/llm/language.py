@@ -295,9 +295,10 @@ def identify(
     """Every row with ``lang_pred``, ``score`` and ``spans`` (start, end, lang) in place of columns so named.
 
     ``lang_pred`` is the language with the most letters in known words, ``score`` their share of all letters. A text
-    that is null or has no known word, and any text if nothing was learned, is ``und`` with score 0 and no spans. Of
-    equal shares the language first in order wins. Runs of words in a script that no language uses are spans of
-    ``und``. ``evidence_col`` adds the share of the letters that are in known words of any language.
+    that is null or has no letter, and any text if nothing was learned, is ``und`` with score 0 and no spans. A text
+    with letters always has a learned language: without known words, that of the most letters, with score 0. Of equal
+    shares the language first in order wins. Runs of words in a script that no language uses are spans of ``und``.
+    ``evidence_col`` adds the share of the letters that are in known words of any language; a caller rejects by it.
     """
     spark = documents.sparkSession
     common.ship(spark)
@@ -311,7 +312,6 @@ def identify(
         model = common.kept(("language", state.value.number), lambda: state.value)
         for batch in common.slices(batches, 256):
             found = model.examine(batch.column(place).to_pylist())
-            found = [f if f[3] else (UNDETERMINED, 0.0, [], 0.0) for f in found]
             columns = [
                 pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()),
                 pa.array([[{"start": a, "end": b, "lang": c} for a, b, c in f[2]] for f in found], spans),
