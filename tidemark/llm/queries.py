@@ -67,7 +67,9 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = found.where("record_type = 'response'").select(
         F.col("record_id").alias("refers_to"), F.col("payload_bytes").alias("first_bytes"), F.col("page_id").alias("first_page")
     )
+    # Responses refer to nothing; a key of their own, which no response has, spreads them over the tasks.
     revisit = F.col("record_type") == "revisit"
+    found = found.withColumn("refers_to", F.coalesce("refers_to", F.concat(F.lit("-"), "record_id")))
     return found.join(first, "refers_to", "left").select(
         "page_id", F.when(revisit, F.col("first_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
         "payload_digest", "record_type", F.when(revisit, F.col("first_page")).alias("refers_to"), "target_uri",
