@@ -1,5 +1,7 @@
 """Inspection and reconciliation of tables that loads have stored."""
 
+import pytest
+
 from tidemark.operators import inspect, load, reconcile, sink
 
 START = "2026-08-01 00:00:00"
@@ -69,6 +71,27 @@ def test_lower_case_field_and_field_gained_later(spark, tmp_path):
     assert got == {"low": (1, 1, 0), "late": (1, 1, 2)}
 
 
+@pytest.mark.parametrize("exact", ["false", "true"])
+def test_field_that_changes_its_case_between_loads(spark, tmp_path, exact):
+    rows = spark.createDataFrame([("k1", "2026-08-03 01:00:00")], "key string, DATETIMESTAMP string")
+    lower = spark.createDataFrame([("k2", "2026-08-02 01:00:00"), ("k3", None)], "key string, datetimestamp string")
+    path = f"{tmp_path}/t"
+    catalog = spark.createDataFrame([("erp", "t", "t", "1")], "domain string, view string, table string, tier string")
+    spark.conf.set("spark.sql.caseSensitive", exact)
+    try:
+        sink.write_load(lower, path, 0, DAY)
+        sink.write_load(rows, path, 1, DAY)
+        for fold in (False, True):
+            if fold:
+                sink.compact(spark, path)
+                sink.write_load(lower.limit(1).selectExpr("'k4' key", "datetimestamp"), path, 2, DAY)
+            r = inspect.inspect_tables(spark, catalog, {"t": path}, DAY, "2026-08-03").first()
+            assert (r["status"], r["rows_today"], r["source_day_today"], r["source_day_before"], r["source_day_missing"]) \
+                == ("OK", 3 + fold, 1, 1 + fold, 1)
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", "false")
+
+
 def test_a_damaged_file_concerns_its_table_alone(spark, tmp_path):
     rows = spark.createDataFrame([("k", "2026-08-03 01:00:00")], "key string, DATETIMESTAMP string")
     for name in ("good", "bad"):

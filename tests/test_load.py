@@ -1,5 +1,6 @@
 """Incremental loads into keyed tables."""
 
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -173,6 +174,84 @@ def test_compaction_then_replay_of_any_load(spark, root):
     assert {r["key"] for r in sink.read_table(spark, f"{root}/t", since_load=1).collect()} == {"b", "c"}
 
 
+def versions(spark, root):
+    return {r["key"]: (r["v"], r["load_id"]) for r in sink.read_table(spark, f"{root}/t").collect()}
+
+
+def store(spark, root, load_id, v, *keys):
+    df = spark.createDataFrame([(k, v) for k in keys], "key string, v string")
+    sink.write_load(df, f"{root}/t", load_id)
+
+
+@pytest.mark.parametrize("rows", [("a",), ("c",), ()])
+def test_a_repeated_load_replaces_its_folded_rows(spark, root, rows):
+    """As without the compaction: rows it no longer has go, those of earlier loads that it had replaced are back."""
+    for load_id, v, names in ((0, "0", "ab"), (1, "1", "bd"), (2, "2", "d")):
+        store(spark, root, load_id, v, *names)
+    sink.compact(spark, f"{root}/t")
+    assert versions(spark, root) == {"a": ("0", 0), "b": ("1", 1), "d": ("2", 2)}
+    store(spark, root, 1, "1b", *rows)
+    want = {"a": ("0", 0), "b": ("0", 0), "d": ("2", 2)} | {k: ("1b", 1) for k in rows}
+    assert versions(spark, root) == want
+    store(spark, root, 2, "2b")
+    store(spark, root, 0, "0b", "a", "d")
+    want = {"a": ("0b", 0), "d": ("0b", 0)} | {k: ("1b", 1) for k in rows}
+    assert versions(spark, root) == want
+    sink.compact(spark, f"{root}/t")
+    assert versions(spark, root) == want
+    assert sink.read_loads(spark, f"{root}/t").count() == len(want)
+
+
+def test_vacuum_settles_loads(spark, root):
+    folders = lambda: sorted(p.name for p in Path(f"{root}/t").iterdir() if p.name.startswith("load_id="))
+    with pytest.raises(ValueError, match="no base"):
+        sink.vacuum(spark, f"{root}/t")
+    for load_id, v, names in ((0, "0", "ab"), (1, "1", "bc"), (2, "2", "c")):
+        store(spark, root, load_id, v, *names)
+    sink.compact(spark, f"{root}/t")
+    store(spark, root, 1, "1", "b", "c")
+    with pytest.raises(ValueError, match="compact first"):
+        sink.vacuum(spark, f"{root}/t")
+    sink.compact(spark, f"{root}/t", before_load=2)
+    assert sink.vacuum(spark, f"{root}/t") == 2 and folders() == ["load_id=2"]
+    assert sink.vacuum(spark, f"{root}/t") == 0
+    want = {"a": ("0", 0), "b": ("1", 1), "c": ("2", 2)}
+    assert versions(spark, root) == want
+    with pytest.raises(ValueError, match="settled"):
+        store(spark, root, 1, "x", "a")
+    with pytest.raises(ValueError, match="settled"):
+        sink.compact(spark, f"{root}/t", before_load=1)
+    sink.compact(spark, f"{root}/t")  # load 2 replaces c, whose earlier row is in the settled base alone
+    assert versions(spark, root) == want
+    store(spark, root, 2, "2b", "d")
+    assert versions(spark, root) == {"a": ("0", 0), "b": ("1", 1), "c": ("1", 1), "d": ("2b", 2)}
+    sink.compact(spark, f"{root}/t")
+    assert sink.vacuum(spark, f"{root}/t") == 1 and folders() == []
+    assert versions(spark, root) == {"a": ("0", 0), "b": ("1", 1), "c": ("1", 1), "d": ("2b", 2)}
+    assert len(list(Path(f"{root}/t/_base").iterdir())) == 1
+    store(spark, root, 3, "3", "a")
+    assert versions(spark, root)["a"] == ("3", 3) and len(versions(spark, root)) == 4
+
+
+LOADS = st.lists(st.tuples(st.integers(0, 3), st.sets(st.sampled_from("abcd")), st.sampled_from(["", "", "fold", "part"])),
+                 min_size=1, max_size=7)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(LOADS)
+def test_loads_and_compactions_in_any_order(spark, tmp_path_factory, loads):
+    root, want = str(tmp_path_factory.mktemp("any")), {}
+    for n, (load_id, names, then) in enumerate(loads):
+        store(spark, root, load_id, str(n), *names)
+        want[load_id] = {k: (str(n), load_id) for k in names}
+        if then:
+            sink.compact(spark, f"{root}/t", before_load=None if then == "fold" else load_id + 1)
+        table = {}
+        for i in sorted(want):
+            table |= want[i]
+        assert versions(spark, root) == table
+
+
 def test_compaction_that_dies_changes_nothing(spark, root):
     df = spark.createDataFrame([("a", "1")], "key string, v string")
     sink.write_load(df, f"{root}/t", 0)

@@ -26,14 +26,18 @@ ROWS = "table string, key string, last_updated_time bigint, source_day string"
 def _source_day(loads: DataFrame, field: str) -> Column:
     """The source day of a typed column, of columns kept as one VARIANT, or null without the field.
 
-    The field as it is spelled comes first, then its lower-case spelling.
+    The field as it is spelled comes first, then its lower-case spelling, row by row. Loads that
+    spell it differently are one column already, unless the session tells the spellings apart.
     """
     types = {f.name: f.dataType for f in loads.schema.fields}
-    found = next((name for name in (field, field.lower()) if name in types), None)
-    if found is not None:
-        if isinstance(types[found], (T.NumericType, T.BooleanType)):
-            return source_day_of_number(F.col(found))
-        return source_day(F.col(found).cast("string"))
+    days = None
+    for name in dict.fromkeys((field.lower(), field)):
+        if name in types:
+            numeric = isinstance(types[name], (T.NumericType, T.BooleanType))
+            day = source_day_of_number(F.col(name)) if numeric else source_day(F.col(name).cast("string"))
+            days = day if days is None else F.when(F.col(name).isNotNull(), day).otherwise(days)
+    if days is not None:
+        return days
     if isinstance(types.get(COLUMNS), T.VariantType):
         return source_day_of_variant(field_with_fallback(F.col(COLUMNS), field))
     return F.lit(None).cast("string")

@@ -5,10 +5,13 @@ sub-folder, so repeating it after a failure replaces its own rows and nothing el
 cost of a load follows the rows of the load, not the rows of the table. Reading collapses the
 loads.
 
-`compact` does that once for all rows so far. It writes them beside the loads, as a base, and then
+`compact` does that once for the rows so far. It writes them beside the loads, as a base, and then
 the list of the files they came from. Readers take the base and every file that is not in its
-list: later loads, and loads repeated since, whose files are new. So loads and streams go on
-writing as before, and a repeated load loses nothing.
+list. A folded load that has such a file was repeated since: its rows in the base no longer count,
+and where they had replaced rows of earlier loads, those are read again. So loads and streams go
+on writing as before, and a repeated load replaces its rows whether it was folded or not.
+
+`vacuum` removes the files of folded loads, which from then on cannot be repeated.
 """
 
 from __future__ import annotations
@@ -16,9 +19,10 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +30,7 @@ LOAD = "load_id"
 UPDATED = "last_updated_time"
 COLUMNS = "columns"
 # Folders beside the loads; readers of loads do not look into them.
-SCHEMAS, BASES, FOLDED = "_schemas", "_base", "_folded"
+SCHEMAS, BASES, FOLDED, SETTLED = "_schemas", "_base", "_folded", "_settled"
 ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
@@ -95,7 +99,13 @@ def write_load(
     updated_ms: int | None = None,
     rows_per_file: int | None = None,
 ) -> None:
-    """Store the rows of one load. Running the same load again replaces them."""
+    """Store the rows of one load. Running the same load again replaces them.
+
+    A load whose files `vacuum` has removed is an error.
+    """
+    settled = _settled(df.sparkSession, path)
+    if settled and load_id <= settled["load"]:
+        raise ValueError(f"{path}: loads up to {settled['load']} are settled, {load_id} cannot be repeated")
     taken = {LOAD} if updated_ms is None else {LOAD, UPDATED}
     if taken & {c.lower() for c in df.columns}:
         raise ValueError(f"rows already have a column named {sorted(taken)}")
@@ -120,7 +130,9 @@ def _keep_schema(df: DataFrame, path: str, load_id: int) -> None:
 def table_schema(spark: SparkSession, path: str) -> T.StructType | None:
     """The columns of all loads in the order of their first load; None if none were noted.
 
-    A column whose type has changed makes the table unreadable; `schemaless` rows avoid that.
+    Spellings of a name that differ in case are one column, named as in its first load, unless the
+    session tells them apart. A column whose type has changed makes the table unreadable;
+    `schemaless` rows avoid that.
     """
     try:
         lines = [json.loads(r[0]) for r in spark.read.text(f"{path}/{SCHEMAS}/*").collect()]
@@ -128,10 +140,11 @@ def table_schema(spark: SparkSession, path: str) -> T.StructType | None:
         if e.getCondition() in ABSENT:
             return None
         raise
+    exact = spark.conf.get("spark.sql.caseSensitive") == "true"
     fields: dict[str, T.StructField] = {}
     for line in sorted(lines, key=lambda x: (x[LOAD], x["schema"])):
         for f in T.StructType.fromJson(json.loads(line["schema"])).fields:
-            known = fields.setdefault(f.name, T.StructField(f.name, f.dataType))
+            known = fields.setdefault(f.name if exact else f.name.lower(), T.StructField(f.name, f.dataType))
             if known.dataType != f.dataType:
                 raise ValueError(f"{path}: column {f.name!r} is {known.dataType} and {f.dataType}")
     return T.StructType(list(fields.values()))
@@ -151,38 +164,88 @@ def _read(spark: SparkSession, paths: Sequence[str], schema: T.StructType | None
 
 def _bases(spark: SparkSession, path: str) -> int | None:
     """The number of the current base: the last one whose list of files is complete."""
-    done = _read(spark, [f"{path}/{FOLDED}"], T.StructType.fromDDL("file string, base int"))
+    done = _read(spark, [f"{path}/{FOLDED}"], T.StructType.fromDDL("file string, load bigint, base int"))
     return None if done is None else done.agg(F.max("base")).first()[0]
 
 
+def _settled(spark: SparkSession, path: str) -> Row | None:
+    """The base whose loads cannot be repeated any more, and the last of them."""
+    noted = _read(spark, [f"{path}/{SETTLED}"], T.StructType.fromDDL("load bigint, base int"))
+    return None if noted is None else noted.orderBy(F.col("base").desc()).first()
+
+
+def _load_of(file: str) -> int:
+    """The load that a listed file belongs to."""
+    return int(file.rpartition(f"{LOAD}=")[2].partition("/")[0])
+
+
+class _Files:
+    """What a table consists of: its base, and the files of loads by what the base knows of them."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType | None):
+        self.spark, self.path = spark, path
+        number = T.StructField(LOAD, T.LongType())
+        self.loads = _read(spark, [path], None if schema is None else T.StructType([*schema.fields, number]))
+        self.base = None if self.loads is None else _bases(spark, path)
+        if self.loads is None:
+            return
+        self.schema = T.StructType([f for f in self.loads.schema.fields if f.name != LOAD] + [number])
+        self.listed = list(self.loads.inputFiles())
+        lines = []
+        if self.base is not None:
+            listing = T.StructType.fromDDL("file string, load bigint")
+            lines = _read(spark, [f"{path}/{FOLDED}/base={self.base}"], listing).collect()  # as in any listing
+        names = {r.file for r in lines}
+        self.new = [f for f in self.listed if f.rpartition("/")[2] not in names]
+        self.old = [f for f in self.listed if f.rpartition("/")[2] in names]
+        self.repeated = {r.load for r in lines} & {_load_of(f) for f in self.new}
+
+    def files(self, names: list[str]) -> list[DataFrame]:
+        return [_read(self.spark, names, self.schema, self.path).select(*self.schema.names)] if names else []
+
+    def base_rows(self, base: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{BASES}/{base}")
+
+    def rows(self, key: str, before_load: int | None = None) -> DataFrame:
+        """Rows of all loads, or of those before one; rows that a later load replaced may be missing."""
+        if self.base is None:
+            rows = self.loads.withColumn(LOAD, F.col(LOAD).cast("long"))
+            return rows if before_load is None else rows.where(F.col(LOAD) < before_load)
+        gone = F.col(LOAD).isin(*self.repeated) if self.repeated else F.lit(False)
+        if before_load is not None:
+            gone = gone | (F.col(LOAD) >= before_load)
+        base = self.base_rows(self.base)
+        parts = [base.where(~gone)]
+        if self.repeated or before_load is not None:
+            # rows of earlier loads that a row which no longer counts had replaced
+            stale = base.where(gone).select(F.col(key).alias("_key"))
+            earlier = self.files([f for f in self.old if _load_of(f) not in self.repeated])
+            settled = _settled(self.spark, self.path)
+            if settled is not None and settled["base"] != self.base:
+                earlier.append(self.base_rows(settled["base"]))
+            parts += [e.where(~gone).join(stale, F.col(key) == F.col("_key"), "left_semi") for e in earlier]
+        new = self.new if before_load is None else [f for f in self.new if _load_of(f) < before_load]
+        return reduce(DataFrame.union, [p.select(*self.schema.names) for p in parts + self.files(new)])
+
+
 def read_loads(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, since_load: int | None = None
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None = None,
+    since_load: int | None = None,
+    key: str = "key",
 ) -> DataFrame | None:
     """The rows of all loads of a table, collapsed or not, or None when nothing was ever stored.
 
     The columns are those noted by the loads, or else those of all footers. `since_load` leaves
-    out earlier loads. Rows in a base keep the number of their load.
+    out earlier loads. Rows in a base keep the number of their load. `key` is needed where a
+    folded load was repeated: the keys it had are looked up in the loads before it.
     """
-    schema = schema or table_schema(spark, path)
-    loads = _read(spark, [path], schema)
-    if loads is None:
+    found = _Files(spark, path, schema or table_schema(spark, path))
+    if found.loads is None:
         return None
-    number = F.col(LOAD).cast("long")
-    base = _bases(spark, path)
-    if base is None:
-        loads = loads.withColumn(LOAD, number)
-    else:
-        columns = [c for c in loads.columns if c != LOAD] + [LOAD]
-        folded = _read(spark, [f"{path}/{FOLDED}/base={base}"], T.StructType.fromDDL("file string"))
-        known = {r.file for r in folded.collect()}  # one line per file, as in any listing
-        kept = T.StructType([f for f in loads.schema.fields if f.name != LOAD] + [T.StructField(LOAD, T.LongType())])
-        rows = spark.read.schema(kept).parquet(f"{path}/{BASES}/{base}").select(*columns)
-        new = [f for f in loads.inputFiles() if f.rpartition("/")[2] not in known]
-        if new:
-            later = _read(spark, new, T.StructType([f for f in loads.schema.fields if f.name != LOAD]), path)
-            rows = rows.union(later.withColumn(LOAD, number).select(*columns))
-        loads = rows
-    return loads if since_load is None else loads.where(F.col(LOAD) >= since_load)
+    rows = found.rows(key)
+    return rows if since_load is None else rows.where(F.col(LOAD) >= since_load)
 
 
 def read_load(
@@ -205,7 +268,7 @@ def read_table(
     `since_load` keeps the keys written by that load or a later one. Their latest row is in one
     of these loads, so the others are not read.
     """
-    loads = read_loads(spark, path, schema, since_load)
+    loads = read_loads(spark, path, schema, since_load, key)
     return None if loads is None else collapse(loads, key, [LOAD])
 
 
@@ -222,18 +285,57 @@ def collapse(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     return single.unionByName(last_per_key(rest, key, order))
 
 
-def compact(spark: SparkSession, path: str, key: str = "key") -> None:
-    """Collapse all rows so far into a new base. Readers use it once its list of files is written.
+def compact(spark: SparkSession, path: str, key: str = "key", before_load: int | None = None) -> None:
+    """Collapse the rows so far into a new base. Readers use it once its list of files is written.
 
-    A run that fails before that leaves the table as it was and is simply repeated.
+    `before_load` leaves that load and later ones as they are, so that `vacuum` may remove the
+    files of the others. A run that fails before the list is written leaves the table as it was
+    and is simply repeated.
     """
-    schema = table_schema(spark, path)
-    loads = _read(spark, [path], schema)
-    rows = read_table(spark, path, key, schema=schema)
-    if rows is None:
+    found = _Files(spark, path, table_schema(spark, path))
+    if found.loads is None:
         raise ValueError(f"nothing stored at {path}")
-    base = (_bases(spark, path) or 0) + 1
-    files = [(f.rpartition("/")[2],) for f in loads.inputFiles()]
+    settled = _settled(spark, path)
+    if settled and before_load is not None and before_load <= settled["load"]:
+        raise ValueError(f"{path}: loads up to {settled['load']} are settled, they stay in the base")
+    base = (found.base or 0) + 1
+    taken = [f for f in found.listed if before_load is None or _load_of(f) < before_load]
+    rows = collapse(found.rows(key, before_load), key, [LOAD])
     rows.write.mode("overwrite").parquet(f"{path}/{BASES}/{base}")
-    folded = spark.createDataFrame(files, "file string").coalesce(1)
+    lines = [(f.rpartition("/")[2], _load_of(f)) for f in taken]
+    folded = spark.createDataFrame(lines, "file string, load bigint").coalesce(1)
     folded.write.mode("overwrite").parquet(f"{path}/{FOLDED}/base={base}")
+
+
+def vacuum(spark: SparkSession, path: str) -> int:
+    """Remove the files of the loads that the base holds, and bases before it. Returns the loads removed.
+
+    These loads are settled then: storing one of them again is an error. That is noted first, so
+    a run that fails is simply repeated. Loads repeated since the compaction must be compacted
+    before. Readers that listed the files earlier must start again. So the listing of a table
+    holds the loads since its last vacuum, however many there were.
+    """
+    found = _Files(spark, path, table_schema(spark, path))
+    if found.loads is None or found.base is None:
+        raise ValueError(f"no base at {path}")
+    if found.repeated:
+        raise ValueError(f"{path}: loads {sorted(found.repeated)} were repeated, compact first")
+    loads = sorted({_load_of(f) for f in found.old})
+    settled = _settled(spark, path)
+    if loads:
+        later = [n for n in (_load_of(f) for f in found.new) if n <= loads[-1]]
+        if later:
+            raise ValueError(f"{path}: loads {sorted(set(later))} are not in the base, compact first")
+        last = max(loads[-1], settled["load"]) if settled else loads[-1]
+        note = spark.createDataFrame([(last,)], "load bigint").coalesce(1)
+        note.write.mode("overwrite").parquet(f"{path}/{SETTLED}/base={found.base}")
+    elif settled is None or settled["base"] != found.base:
+        return 0
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    stale = [f"{path}/{LOAD}={n}" for n in loads]
+    for kind, name in ((BASES, ""), (FOLDED, "base="), (SETTLED, "base=")):
+        stale += [f"{path}/{kind}/{name}{n}" for n in range(1, found.base)]
+    for folder in stale:
+        files.delete(hadoop(folder), True)
+    return len(loads)

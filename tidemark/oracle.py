@@ -498,6 +498,10 @@ marks AS (SELECT max("DATETIMESTAMP") FILTER (WHERE ts < TIMESTAMP '{YESTERDAY}'
 SELECT key, event_id, CAST(CASE WHEN {_WELL} THEN CAST("DATETIMESTAMP" >= m1 AS INT) + CAST("DATETIMESTAMP" >= m2 AS INT)
   ELSE CAST(ts >= TIMESTAMP '{YESTERDAY}' AS INT) + CAST(ts >= TIMESTAMP '{TODAY}' AS INT) END AS BIGINT) AS load_id
 FROM loaded, marks"""
+    sql["replay_other_rows"] = """
+SELECT CAST(event_id AS VARCHAR) AS key, event_type,
+  CASE event_type WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 ELSE 0 END AS attempt,
+  CAST(CASE event_type WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 ELSE 0 END AS BIGINT) AS load_id FROM events"""
     sql["replay_idempotent"] = events + f""", loaded AS ({loaded})
 SELECT 'offered' AS "rows", 2 * count(*) AS n, {UPDATED_MS} AS first_update FROM loaded
 UNION ALL SELECT 'kept', count(DISTINCT key), {UPDATED_MS + 1} FROM loaded"""

@@ -645,6 +645,29 @@ def compact_then_replay(spark, sf):
     return sink.read_table(spark, f"{root}/table").select("key", "event_id", "load_id")
 
 
+@query
+def replay_other_rows(spark, sf):
+    """Loads repeated with other rows after a compaction and after a vacuum: what they had replaced is back."""
+    path = f"{work_dir(spark, 'other')}/table"
+    events = table(spark, sf, "events")
+    key = F.col("event_id").cast("string").alias("key")
+
+    def store(load_id, attempt, kind=None):
+        rows = events if kind is None else events.where(F.col("event_type") == kind)
+        sink.write_load(rows.select(key, "event_type", F.lit(attempt).alias("attempt")), path, load_id)
+
+    store(0, 0)
+    store(1, 1, "click")
+    store(2, 2, "view")
+    sink.compact(spark, path)
+    store(1, 3, "purchase")
+    sink.compact(spark, path, before_load=2)
+    sink.vacuum(spark, path)
+    sink.compact(spark, path)
+    store(2, 4, "signup")
+    return sink.read_table(spark, path).select("key", "event_type", "attempt", "load_id")
+
+
 @query
 def replay_idempotent(spark, sf):
     """The same rows stored by three loads: rows offered against rows kept."""
@@ -729,7 +752,7 @@ def smoke_run(spark, sf):
 def _stored_events(spark, sf, root: str) -> dict[str, str]:
     """A table per event type: what came before 20 January stored on the 19th, the rest on the 20th.
 
-    Views carry the field in lower case, sign-ups have it from the second load on. Locked is a
+    Views carry the field in lower case at first, sign-ups have it from the second load on. Locked is a
     table with a damaged file. The events are split by type in one pass.
     """
     events = views.src_events(spark, sf)
@@ -747,7 +770,7 @@ def _stored_events(spark, sf, root: str) -> dict[str, str]:
             if kind in ("view", "signup"):
                 kept = keys.with_key(rows.where(F.col("DATETIMESTAMP") >= START))
                 lower = kept.withColumnRenamed("DATETIMESTAMP", "datetimestamp")
-                first, second = (lower, lower) if kind == "view" else (kept.drop("DATETIMESTAMP"), kept)
+                first, second = (lower, kept) if kind == "view" else (kept.drop("DATETIMESTAMP"), kept)
                 sink.write_load(first.where(early), path, 0, SINCE - 1)
                 sink.write_load(second.where(~early), path, 1, SINCE + 1)
                 return 0
