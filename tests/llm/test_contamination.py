@@ -75,7 +75,28 @@ def test_blocks_edges_and_clashing_names(spark, block_chars):
     assert out.columns == ["doc_id", "text", "item_id", "leaks"]
     got = sorted((r.doc_id or 0, sorted((x.item_id, x.distance) for x in r.leaks)) for r in out.collect())
     both = [(1, 0), (2, 0)]
-    assert got == [(0, both), (1, both), (1, both), (2, []), (3, []), (4, []), (5, [(6, 1)])]
+    assert got == [(0, both), (1, both), (1, both), (2, []), (3, []), (4, [(3, 0)]), (5, [(6, 1)])]
     assert contamination.leaks(df.limit(0), bench, common.work_dir(spark, "t")).count() == 0
     none = contamination.leaks(df, bench.limit(0), common.work_dir(spark, "t"))
     assert none.where(F.size("leaks") > 0).count() == 0
+
+
+def test_short_items_are_whole_lines_or_texts(spark):
+    items = [(1, "What is 2 + 2?\n4"), (2, "yes"), (3, "a b"), (4, " \n "), (5, "YES ")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = ["what is 2 + 2? 4", "They said yes to that", "one line\r\n  Yes\t\nyes", "a\nb", "x a b y", "b\n\n\u2028a  B", "yes" * 9, " \n "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = contamination.leaks(docs, bench, common.work_dir(spark, "t"))
+    got = {r.doc_id: [(x.item_id, x.distance, normal(texts[r.doc_id])[x.start:x.end], x.start) for x in r.leaks] for r in out.collect()}
+    assert {i: sorted(x) for i, x in got.items()} == {
+        0: [(1, 0, "what is 2 + 2? 4", 0)], 1: [], 2: [(2, 0, "yes", 9), (5, 0, "yes", 9)], 3: [(3, 0, "a b", 0)],
+        4: [], 5: [(3, 0, "a b", 2)], 6: [], 7: []}
+
+
+def test_lines_have_their_places():
+    rng = random.Random(3)
+    for _ in range(200):
+        text = "".join(rng.choice("ab \n\r\t\u2028\x1cΣİ") for _ in range(rng.randint(0, 30)))
+        whole = normal(text)
+        assert " ".join(line for _, line in contamination.lines(text)) == whole
+        assert all(whole.startswith(line, at) for at, line in contamination.lines(text))

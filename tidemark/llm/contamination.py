@@ -3,6 +3,8 @@
 An item with an error budget of ``k`` edits is cut into ``k + 1`` pieces: whatever ``k`` edits do, one piece stays
 whole (pigeonhole). Aho-Corasick finds all pieces of all items in a text at once; where one is found, Myers'
 bit-parallel algorithm gives the least edit distance of the item to a passage around it.
+
+Short items have no budget and are words of any text, so they are compared with whole lines and whole texts.
 """
 
 from __future__ import annotations
@@ -27,6 +29,16 @@ def normal(text: str | None) -> str:
     return " ".join(text.lower().split()) if text else ""
 
 
+def lines(text: str) -> Iterator[tuple[int, str]]:
+    """The normalised lines of a text that are not empty, with their places in the normalised text."""
+    at = 0
+    for line in text.splitlines():
+        line = normal(line)
+        if line:
+            yield at, line
+            at += len(line) + 1
+
+
 def pieces(item: str, edits: float) -> list[tuple[int, str]]:
     """``budget + 1`` pieces of nearly equal length, with their offsets."""
     budget = int(len(item) * edits)
@@ -89,9 +101,11 @@ def myers_from_start(pattern: str, text: str, distance: int) -> int:
 
 
 class Finder:
-    """Finds items (number, normalised text) in normalised texts."""
+    """Finds items (number, normalised text) in texts; those under ``least_chars`` as whole lines or texts only."""
 
-    def __init__(self, items: list[tuple[int, str]], edits: float):
+    def __init__(self, items: list[tuple[int, str]], edits: float, least_chars: int = 0):
+        self.short = {t: n for n, t in items if len(t) < least_chars}
+        items = [(n, t) for n, t in items if len(t) >= least_chars]
         self.items, self.budget = dict(items), {n: int(len(t) * edits) for n, t in items}
         self.automaton = ahocorasick.Automaton()
         spots: dict[str, list[tuple[int, int]]] = {}
@@ -103,6 +117,18 @@ class Finder:
         if items:
             self.automaton.make_automaton()
 
+    def find_all(self, text: str | None) -> list[tuple[int, int, int, int]]:
+        """``find`` in the normalised text, and the short items that are a line, or all, of the text as it stands."""
+        whole = normal(text)
+        found = self.find(whole)
+        if self.short and whole:
+            places: dict[int, tuple[int, int]] = {}
+            for at, line in [(0, whole), *lines(text)]:
+                if line in self.short:
+                    places.setdefault(self.short[line], (at, at + len(line)))
+            found = sorted(found + [(n, 0, a, b) for n, (a, b) in places.items()])
+        return found
+
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """Per item found: number, distance, start and end of its closest passage, the first of equal ones."""
         if not self.items or not text:
@@ -152,8 +178,9 @@ def leaks(
 
     Both sides are normalised (``normal``). An item leaks if some passage is within ``edits`` times its length of it, in
     edits of single characters; ``start`` and ``end`` are places in the normalised text. Items under ``least_chars``
-    characters, null ones included, are no evidence and not searched. Items with equal texts each appear. A null text
-    has no leaks; a column named ``leaks`` is replaced.
+    characters leak where they are a whole line or the whole text, at the first such place: within a line, a few
+    common words are no evidence. Null items and those of white space are not searched. Items with equal texts each
+    appear. A null text has no leaks; a column named ``leaks`` is replaced.
 
     Items are taken in blocks of about ``block_chars`` characters, so that a task's automaton stays small however
     many items there are. One block, as a rule, is one pass; several are written between passes.
@@ -161,7 +188,7 @@ def leaks(
     spark = documents.sparkSession
     common.ship(spark)
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
-    items = items.where(F.length("text") >= least_chars)
+    items = items.where(F.length("text") > 0)
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-size // block_chars) or 1
     items = items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks)))
@@ -171,8 +198,8 @@ def leaks(
     schema = docs.schema
     for block in range(blocks):
         some = [(r.item, normal(r.text)) for r in items.where(F.col("block") == block).collect()]
-        finder = spark.sparkContext.broadcast(_grouped([x for x in some if len(x[1]) >= least_chars]))
-        docs = docs.mapInArrow(_pass(finder, use.index(text_col), len(use), edits), schema)
+        finder = spark.sparkContext.broadcast(_grouped([x for x in some if x[1]]))
+        docs = docs.mapInArrow(_pass(finder, use.index(text_col), len(use), edits, least_chars), schema)
         if blocks > 1:
             docs = common.written(docs, f"{folder}/block-{block}")
     return docs.select(*keep, F.coalesce("leaks", F.expr(f"CAST(array() AS {LEAKS})")).alias("leaks"))
@@ -186,17 +213,17 @@ def _grouped(items: list[tuple[int, str]]) -> list[tuple[str, list[int]]]:
     return list(found.items())
 
 
-def _pass(shared, text_at: int, leaks_at: int, edits: float):
+def _pass(shared, text_at: int, leaks_at: int, edits: float, least_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = shared.value
-        finder = Finder([(i, text) for i, (text, _) in enumerate(groups)], edits)
+        finder = Finder([(i, text) for i, (text, _) in enumerate(groups)], edits, least_chars)
         for batch in common.slices(batches):
             out = []
             before = batch.column(leaks_at)
             for text, old in zip(batch.column(text_at).to_pylist(), before.to_pylist()):
                 new = [
                     {"item_id": item, "distance": d, "start": a, "end": b}
-                    for i, d, a, b in finder.find(normal(text)) for item in groups[i][1]
+                    for i, d, a, b in finder.find_all(text) for item in groups[i][1]
                 ]
                 out.append((old or []) + new or None)
             columns = list(batch.columns)
