@@ -1,6 +1,7 @@
 """Main text against articles cut out by hand, and importance on small sites."""
 
 import re
+import tracemalloc
 from html import unescape
 
 import pytest
@@ -66,8 +67,7 @@ def test_names_alone_lose_no_article(html, text):
     assert read(html) == text
 
 
-@pytest.mark.parametrize("keys", [0, main_text.BROADCAST_KEYS])
-def test_names_alone_lose_no_article_of_a_site(spark, keys):
+def test_names_alone_lose_no_article_of_a_site(spark):
     page = (
         '<body class="no-sidebar"><div class="content has-sidebar"><article><p>Story {0} of {1}</p>'
         '<section id="discussion"><p>Point {0}</p></section><math><mi>x</mi><mo>=</mo></math></article></div>'
@@ -75,7 +75,7 @@ def test_names_alone_lose_no_article_of_a_site(spark, keys):
     )
     rows = [(i, f"http://h.example/{i}", page.format(i, "w" * i)) for i in range(9)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = main_text.main_text(df, common.work_dir(spark, "t"), broadcast_keys=keys).collect()
+    got = main_text.main_text(df, common.work_dir(spark, "t")).collect()
     assert {r.page_id: r.text for r in got} == {i: f"Story {i} of {'w' * i}".rstrip() + f"\nPoint {i}\nx=" for i in range(9)}
 
 
@@ -96,12 +96,21 @@ def site(n, host="h.example"):
     return [(i, f"http://{host}/{i}", page.format(i * 7, "w" * i)) for i in range(n)]
 
 
-@pytest.mark.parametrize("keys", [0, main_text.BROADCAST_KEYS])
-def test_same_branches_of_a_site_go(spark, keys):
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_same_branches_of_a_site_go(spark, threshold):
+    """Whether Spark broadcasts the low branches or not."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        _same_branches(spark)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def _same_branches(spark):
     rows = [*site(12), *site(2, "small.example")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {(r.page_id, r.url): r.text for r in main_text.main_text(
-        df, common.work_dir(spark, "t"), broadcast_keys=keys).collect()}
+        df, common.work_dir(spark, "t")).collect()}
     for i, url, _ in rows:
         if "small" in url:
             assert got[i, url].startswith("Welcome") and got[i, url].endswith("© us")
@@ -124,3 +133,31 @@ def test_edges(spark):
     assert got.columns == ["page_id", "url", "text"]
     assert sorted((r.page_id or 0, r.text[:4]) for r in got.collect()) == [(0, "x"), (1, ""), (2, ""), (2, ""), (3, "y\ny\n")]
     assert main_text.main_text(df.limit(0), common.work_dir(spark, "t")).count() == 0
+
+
+def test_deep_nesting_is_held_once():
+    page = parse("<p>text</p>" + "".join(f"<div class=c{i % 7}>some words {i}" for i in range(20_000)))
+    tracemalloc.start()
+    marked = Marked(page)
+    assert len(marked.nodes()) == 20_001 and len(set(marked.keys)) == 20_002
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+
+
+def test_contents_are_sequences_of_texts():
+    def content(html):
+        marked = Marked(parse(html))
+        return marked.nodes()[marked.keys[1]][1]
+
+    same = content("<div><p>a b</p><p>c</p></div>")
+    assert same == content("<div> <p>a  b</p>\n<div><span>c</span></div> </div>")
+    assert same == content("<div>a b<p>c</p></div>")
+    assert len({same, content("<div><p>c</p><p>a b</p></div>"), content("<div><p>a b</p></div>"), content("<div></div>")}) == 4
+
+
+def test_declared_parts_are_in_no_tree(spark):
+    rows = [(i, "h.example", f"<nav>Menu</nav><div class=x>same</div><div class=y>other {i}</div>") for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, host string, html string").select("host", "html")
+    nodes, low = main_text.low_branches(pages, common.work_dir(spark, "t"))
+    assert nodes.select("key").distinct().count() == 2 and low.count() == 1

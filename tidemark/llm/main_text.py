@@ -4,7 +4,7 @@ Pages of a host are merged into one tree: elements on the same path of tags, cla
 node, the pages' different presentations (tag structures below it) and contents (texts below it) give two entropies,
 and these its importance; a branch that looks and reads the same on all pages is of low importance and is removed from
 each page. Markup is prior knowledge about a node: what declares itself as navigation, advert, form, comments and so on
-has no importance whatever its entropy, since such parts can differ from page to page; running text inside the article
+has no importance whatever its entropy, since such parts can differ from page to page, and is in no tree; running text inside the article
 is never removed, since copies of an article, or of a passage, are still text. Words in classes and ids are weaker than
 tags and roles: alone they never mark what holds or is inside an article, nor what holds most of a page's text.
 """
@@ -26,7 +26,7 @@ from tidemark.llm.html_dom import Page, parse
 DECAY = 0.9
 IMPORTANCE = 0.2
 LEAST_PAGES = 4
-BROADCAST_KEYS = 200_000
+MODULUS, BASE = (1 << 61) - 1, 0x1F3D5B79A2C4E681 % ((1 << 61) - 1)
 # Elements, roles and words in classes and ids that declare a part of the page.
 NOISE_TAGS = frozenset(
     "head nav footer aside form script style noscript template iframe object embed applet button select textarea "
@@ -50,7 +50,6 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WRAPPERS = frozenset(["form", "fieldset"])  # some sites put the whole page into a form
 LABEL_WORDS = 3
 RUNNING = HEADINGS | frozenset("section p pre blockquote li dt dd td th caption figure xmp math".split())
-NOISE_MARK = "!"
 FLOW = HEADINGS | frozenset(
     "p pre blockquote ul ol li dl dt dd table tbody thead tfoot tr td th caption figure figcaption a b i em strong u s "
     "span small big sub sup code kbd samp var q cite abbr time mark font center br hr img xmp math semantics mrow mi mn mo "
@@ -114,7 +113,7 @@ class Marked:
     def __init__(self, page: Page):
         self.page = page
         n = len(page.tags)
-        self.noise, self.keys, inside = [False] * n, [""] * n, [False] * n
+        self.noise, self.keys, inside = [False] * n, [0] * n, [False] * n
         self.hidden = [False] * n  # noise by more than names
         named, holds = [False] * n, [False] * n
         for i in range(1, n):
@@ -140,7 +139,7 @@ class Marked:
             label = tag
             if attributes:
                 label += re.sub(r"\d{3,}", "", f".{attributes.get('class') or ''}#{attributes.get('id') or ''}")
-            self.keys[i] = f"{self.keys[parent]}/{label}{NOISE_MARK * self.noise[i]}"
+            self.keys[i] = _number(f"{self.keys[parent]}/{label}")
             if self.noise[i]:
                 continue
             if tag == "article":
@@ -161,16 +160,14 @@ class Marked:
                 nested.add(i)
             self.main[i] = self.main[up] or i in self.mains
             extra = i in nested or (page.tags[up] == "header" and page.tags[i] not in HEADINGS and self.main[up])
-            if (extra or self.noise[up]) and not self.noise[i]:
-                self.noise[i] = True
-                self.keys[i] += NOISE_MARK
+            self.noise[i] = self.noise[i] or extra or self.noise[up]
         # Of several articles, those in parts with names of noise are left to the importance of these parts.
         strange = [False] * n
         for i in range(1, n):
             strange[i] = strange[page.parents[i]] or (named[i] and page.tags[i] not in WRAPPERS and not self.main[i])
         plain = [i for i in self.mains if not strange[i]]
         for i in plain or self.mains:
-            while i > 0:
+            while i > 0 and not self.over[i]:
                 self.over[i], i = True, page.parents[i]
 
     def _sizes(self) -> list[tuple[int, int]]:
@@ -190,20 +187,24 @@ class Marked:
         return list(zip(chars, words))
 
     def removable(self, i: int) -> bool:
-        """Whether a branch may go for low importance: declared noise, containers, running text outside the article."""
+        """Whether a branch may go for low importance: containers, and running text outside the article."""
         tag = self.page.tags[i]
-        if self.noise[i]:
-            return not self.noise[self.page.parents[i]]
-        return tag not in UNTOUCHED and not self.over[i] and not (self.main[i] and tag in FLOW)
+        return not (self.noise[i] or tag in UNTOUCHED or self.over[i] or (self.main[i] and tag in FLOW))
 
-    def nodes(self) -> dict[str, tuple[int, int]]:
-        """Of each removable node's key: hashes of its presentation and its content on this page."""
+    def nodes(self) -> dict[int, tuple[int, int]]:
+        """Of each removable node's key: hashes of its presentation and its content on this page.
+
+        A content is the sequence of texts below a node. Its hash is a polynomial of theirs, so that a node's follows
+        from its children's and nothing is held twice, however deep they are nested.
+        """
         page = self.page
         below: list[list[str]] = [[] for _ in page.tags]
-        said: list[list[str]] = [[] for _ in page.tags]
+        own, said = [(0, 1)] * len(page.tags), [(0, 1)] * len(page.tags)  # hash, and the base to the number of texts
         for element, _, text in page.texts:
-            said[element].append(text)
-        found: dict[str, tuple[int, int]] = {}
+            text = " ".join(text.split())
+            if text:
+                own[element] = _after(own[element], (_number(text), BASE))
+        found: dict[int, tuple[int, int]] = {}
         for i in range(len(page.tags) - 1, 0, -1):
             up = page.parents[i]
             kind = below[i][::-1]
@@ -212,28 +213,27 @@ class Marked:
             look = f"{page.tags[i]}({','.join(kind)})"
             look = look if len(look) < 200 else xxhash.xxh3_64_hexdigest(look)
             below[up].append(look)
-            said[up].append("".join(reversed(said[i])) if len(said[i]) > 1 else said[i][0] if said[i] else "")
+            below[i] = []
+            content = _after(own[i], said[i])
+            said[up] = _after(content, said[up])
             if self.removable(i):
-                text = " ".join(said[up][-1].split())
                 a, b = found.get(self.keys[i], (0, 0))
-                digest = xxhash.xxh3_64_intdigest(look.encode()), xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace"))
-                found[self.keys[i]] = (a + digest[0]) & (1 << 63) - 1, (b + digest[1]) & (1 << 63) - 1
+                found[self.keys[i]] = (a + _number(look)) & (1 << 63) - 1, (b * 31 + content[0]) & (1 << 63) - 1
         return found
 
-    def text(self, low: set[str] | None = None) -> str:
+    def text(self, low: set[int] | None = None) -> str:
         """The blocks of the article, joined by line ends, without the branches whose keys are in ``low``.
 
         Without ``low``, for pages that belong to no tree, the markup alone decides; if it leaves nothing, all that is
         not hidden.
         """
         gone = list(self.noise)
-        if low is not None:
-            gone = [False] * len(gone)
+        if low:
             for i in range(1, len(gone)):
-                gone[i] = gone[self.page.parents[i]] or (self.keys[i] in low and self.removable(i))
+                gone[i] = gone[i] or gone[self.page.parents[i]] or (self.keys[i] in low and self.removable(i))
         out = self._blocks(gone, bool(self.mains))
         if not out:
-            return self.text() if low is not None else self._blocks(self.hidden, False)
+            return self.text() if low else self._blocks(self.hidden, False)
         return out
 
     def _blocks(self, gone: list[bool], only_main: bool) -> str:
@@ -258,6 +258,11 @@ def _number(key: str) -> int:
     return xxhash.xxh3_64_intdigest(key.encode("utf-8", "replace")) >> 1
 
 
+def _after(first: tuple[int, int], second: tuple[int, int]) -> tuple[int, int]:
+    """Hash and power of two sequences of texts, one after the other."""
+    return (first[0] * second[1] + second[0]) % MODULUS, first[1] * second[1] % MODULUS
+
+
 def _digest(host: str | None, html: str) -> bytes:
     return hashlib.md5(f"{host}\n{html}".encode()).digest()
 
@@ -269,49 +274,43 @@ def low_branches(
 
     A node's importance is (1 - decay^l) times its entropy of presentations plus decay^l times its entropy of contents,
     for l presentations; entropies are of base m, for m different pages with the node. Equal pages of a host count
-    once. Declared noise has importance 0. Other nodes on fewer than ``least_pages`` pages are left alone; pages
-    without a host are in no tree. Both results are written tables.
+    once. Declared noise has importance 0 without any statistics and is in neither result. Nodes on fewer than
+    ``least_pages`` pages are left alone; pages without a host are in no tree. Both results are written tables.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, 128):
-            out: tuple[list, ...] = ([], [], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [])
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 digest = _digest(host, html)
                 for key, (look, text) in Marked(parse(html)).nodes().items():
-                    row = (host, _number(key), digest, look, text, key.endswith(NOISE_MARK))
-                    for column, value in zip(out, row):
+                    for column, value in zip(out, (host, key, digest, look, text)):
                         column.append(value)
-            kinds = (pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_())
-            names = ["host", "key", "digest", "look", "text", "declared"]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], names)
+            kinds = (pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], ["host", "key", "digest", "look", "text"])
 
-    schema = "host string, key long, digest binary, look long, text long, declared boolean"
-    nodes = pages.where("host <> ''").mapInArrow(run, schema)
+    nodes = pages.where("host <> ''").mapInArrow(run, "host string, key long, digest binary, look long, text long")
     nodes = common.written(nodes, f"{folder}/nodes")
     nodes = nodes.distinct()
 
     def entropy(feature: str) -> DataFrame:
-        each = nodes.groupBy("host", "key", "declared", feature).agg(F.count("*").alias("n"))
-        total = each.groupBy("host", "key", "declared").agg(
+        each = nodes.groupBy("host", "key", feature).agg(F.count("*").alias("n"))
+        total = each.groupBy("host", "key").agg(
             F.sum("n").alias("m"), F.count("*").alias("l"), F.sum(F.col("n") * F.log("n")).alias("s")
         )
         most = F.col("m") * F.log(F.greatest("m", F.lit(2)))
-        return total.select(
-            "host", "key", "declared", "m", F.col("l").alias(f"{feature}_l"), (1 - F.col("s") / most).alias(feature)
-        )
+        return total.select("host", "key", "m", F.col("l").alias(f"{feature}_l"), (1 - F.col("s") / most).alias(feature))
 
-    both = entropy("look").join(entropy("text").drop("m"), ["host", "key", "declared"])
+    both = entropy("look").join(entropy("text").drop("m"), ["host", "key"])
     share = F.pow(F.lit(decay), F.col("look_l"))
-    own = F.when(F.col("declared"), 0.0).when(
-        F.col("m") >= least_pages, (1 - share) * F.col("look") + share * F.col("text")
-    ).otherwise(1.0)
-    return nodes, common.written(both.where(own < importance).select("host", "key"), f"{folder}/low")
+    own = (1 - share) * F.col("look") + share * F.col("text")
+    low = both.where((F.col("m") >= least_pages) & (own < importance)).select("host", "key")
+    return nodes, common.written(low, f"{folder}/low")
 
 
 def main_text(
     pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-    text_col: str = "text", broadcast_keys: int = BROADCAST_KEYS, **options,
+    text_col: str = "text", **options,
 ) -> DataFrame:
     """One row per page: id, url and ``text``, the article's blocks joined by line ends.
 
@@ -319,8 +318,8 @@ def main_text(
     empty text. A null or malformed url has no host: such pages are read by their markup alone. Repeated rows each give
     their text. Where low importance would leave nothing, the text is kept. Other columns are not read.
 
-    The low branches of all sites go to every task where there are at most ``broadcast_keys``. If there are more, each
-    page gets the ones among its own nodes by joins, which shuffle the pages; the result is the same.
+    The low branches of each page are written by the digest of the page before they are joined to it, so that Spark
+    knows how much they are: little is broadcast, much is a shuffle of the pages by digest.
     """
     common.ship(pages.sparkSession)
     rows = pages.select(
@@ -328,28 +327,17 @@ def main_text(
         F.coalesce(F.col(html_col), F.lit("")).alias("html"),
     )
     nodes, low = low_branches(rows.select("host", "html"), folder, **options)
-    few = low.limit(broadcast_keys + 1).count() <= broadcast_keys
-    sites = None
-    if few:
-        known: dict[str, set[int]] = {}
-        for r in low.collect():
-            known.setdefault(r.host, set()).add(r.key)
-        sites = pages.sparkSession.sparkContext.broadcast(known)
-        joined = rows.select("page_id", "url", "html", "host", F.lit(None).cast("array<long>").alias("low"))
-    else:
-        own = nodes.join(low, ["host", "key"]).groupBy("digest").agg(F.collect_set("key").alias("low"))
-        keyed = rows.withColumn("digest", F.unhex(F.md5(F.concat_ws("\n", "host", "html"))))
-        joined = keyed.join(own, "digest", "left").select("page_id", "url", "html", "host", "low")
+    own = nodes.join(low, ["host", "key"]).groupBy("digest").agg(F.collect_set("key").alias("low"))
+    own = common.written(own, f"{folder}/own")
+    keyed = rows.withColumn("digest", F.unhex(F.md5(F.concat_ws("\n", "host", "html"))))
+    joined = keyed.join(own, "digest", "left").select("page_id", "url", "html", "low")
     kind = joined.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, 128):
             out = []
-            for html, host, keys in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
-                marked = Marked(parse(html))
-                numbers = sites.value.get(host, ()) if few else set(keys or ())
-                drop = {k for k in set(marked.keys) if _number(k) in numbers} if host else None
-                out.append(marked.text(drop))
+            for html, keys in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                out.append(Marked(parse(html)).text(set(keys or ())))
             columns = [batch.column(0), batch.column(1), pa.array(out, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text"])
 
