@@ -1,14 +1,17 @@
 """Load planning against the recorded volumes, totals, split and order."""
 
+import random
 from collections import Counter
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import ranges
 from tidemark.operators.extract import SAMPLE_ROWS
 from tidemark.functions import classify
 from tidemark.plans import jobs, load_plan
+from tidemark.session import configure
 from tidemark.sources import catalogue
 
 
@@ -144,3 +147,33 @@ def test_previous_extract_of_every_source(spark):
             rows = out.collect()
             assert len(rows) == want, s
             assert rows[0][0] == "_".join(c.lower() for c in s.key_columns)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_running_sums_over_ranges(spark, parts):
+    """Against a plain loop, with nulls, ties that the last column tells apart, and no rows."""
+    configure(spark)
+    rng = random.Random(parts)
+    lines = [(rng.choice([None, 0, 1, 5, 5, 10**12]), f"t{i:04}", i) for i in range(700)]
+    df = spark.createDataFrame(lines, "n long, name string, x int").repartition(parts)
+    found = ranges.running(df, [F.desc("n"), F.asc("name")], ["n", "x"])
+    want, n, x = [], 0, 0
+    for i, r in enumerate(sorted(lines, key=lambda r: (r[0] is None, -(r[0] or 0), r[1])), 1):
+        n, x = n + (r[0] or 0), x + r[2]
+        want.append((*r, i, n, x))
+    got = [(r.n, r.name, r.x, r.place, r.n_so_far, r.x_so_far) for r in found.orderBy("place").collect()]
+    assert got == want
+    assert {(r.n_total, r.x_total) for r in found.collect()} == {(n, x)}
+    assert ranges.running(df.limit(0), [F.col("n")], ["n"]).count() == 0
+    with pytest.raises(ValueError, match="n_so_far"):
+        ranges.running(df.withColumn("N_so_far", F.lit(1)), [F.col("n")], ["n"])
+
+
+def test_places_of_a_plan_need_no_single_task(spark):
+    configure(spark)
+    tables = spark.range(3000, numPartitions=4).selectExpr("concat('t', id) name", "if(id % 7 = 0, null, id % 50) n", "'1' tier")
+    for found in (load_plan.volume_concentration(tables), load_plan.small_first_order(tables)):
+        text = found._jdf.queryExecution().toString()
+        assert "SinglePartition" not in text and "Window" in text
+    assert [r.queue_place for r in load_plan.small_first_order(tables).orderBy("queue_place").collect()] == list(range(1, 3001))
+    assert load_plan.volume_concentration(tables).agg(F.max("cum_pct")).first()[0] == 100

@@ -371,6 +371,8 @@ SELECT {SRC_EVENT_KEY} AS key, event_id, event_type FROM src_events ORDER BY key
     sql["key_projection"] = events + f"SELECT {SRC_EVENT_KEY} AS key, {as_text.format('ts', 'ts')} FROM src_events"
     sql["updated_since"] = raw + f"""
 SELECT "table", key, last_updated_time FROM raw_rows WHERE last_updated_time >= {SINCE}"""
+    sql["updated_since_zone"] = raw + f"""
+SELECT "table", key, last_updated_time FROM raw_rows WHERE last_updated_time >= {SINCE} + 3 * 3600 * 1000"""
     sql["catalog_filter"] = f"""WITH {CATALOG}
 SELECT * FROM catalog WHERE domain IN ('erp', 'ledger_in') AND (domain <> 'erp' OR tier IN ('1', '2', '?'))"""
     sql["single_table_filter"] = f"""WITH {CATALOG}

@@ -1,8 +1,9 @@
 """Load planning: volume tiers, orders, and the balanced split over extractors.
 
 Inputs have one row per table of a catalogue: `name`, `tier`, `n` (rows, null when not counted)
-and for the split `place` (order of the source list). Their size is the number of tables, which
-does not grow with the data, so windows over a whole plan are small; `one_plan` makes sure of it.
+and for the split `place` (order of the source list). Their size is the number of tables. Places and
+shares come from ranges of the order, for plans of any size; the split folds over a plan in one
+task, and `one_plan` makes sure that it is small.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.classify import LOAD_ORDER, SPLIT_ORDER, tier_of_volume, tier_rank
-
+from tidemark.operators.ranges import running
 
 TOTAL = "total"
 MOST_TABLES = 100_000
@@ -54,23 +55,19 @@ def tier_volume_summary(tables: DataFrame) -> DataFrame:
 
 def volume_concentration(tables: DataFrame) -> DataFrame:
     """Counted tables from the largest down, with the share of all rows up to each."""
-    largest = Window.orderBy(F.desc("n"), F.asc("name"))
-    so_far = F.sum("n").over(largest.rowsBetween(Window.unboundedPreceding, 0))
-    return one_plan(tables).where(F.col("n").isNotNull()).select(
-        F.row_number().over(largest).alias("top"),
-        "name",
-        "n",
-        (so_far.cast("double") * 100 / F.sum("n").over(Window.partitionBy())).alias("cum_pct"),
+    counted = tables.where(F.col("n").isNotNull()).select("name", "n")
+    ranked = running(counted, [F.desc("n"), F.asc("name")], ["n"], "top")
+    return ranked.select(
+        F.col("top").cast("int"), "name", "n", (F.col("n_so_far").cast("double") * 100 / F.col("n_total")).alias("cum_pct")
     )
 
 
 def small_first_order(tables: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The load queue: by tier, small tables first, uncounted ones by name; one queue per `by`."""
-    queue = Window.partitionBy(*by).orderBy(
-        tier_rank(F.col("tier"), LOAD_ORDER), F.coalesce("n", F.lit(0)), "name"
-    )
-    tables = tables if by else one_plan(tables)
-    return tables.withColumn("queue_place", F.row_number().over(queue))
+    order = [tier_rank(F.col("tier"), LOAD_ORDER), F.coalesce("n", F.lit(0)), F.col("name")]
+    if not by:
+        return running(tables, order, place="queue_place").withColumn("queue_place", F.col("queue_place").cast("int"))
+    return tables.withColumn("queue_place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
 def balanced_split(tables: DataFrame, workers: int, plan: str | None = None) -> DataFrame:

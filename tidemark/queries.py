@@ -290,6 +290,13 @@ def updated_since(spark, sf):
     )
 
 
+@query
+def updated_since_zone(spark, sf):
+    """The day starts at midnight of a named zone, three hours after that of UTC."""
+    since = times.day_start_ms(datetime.fromisoformat(f"{TODAY}T12:00:00"), "America/Sao_Paulo")
+    return stats.updated_since(views.raw_rows(spark, sf), since).select("table", "key", "last_updated_time")
+
+
 @query
 def catalog_filter(spark, sf):
     return load_plan.catalog_filter(
